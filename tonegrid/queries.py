@@ -1,15 +1,316 @@
-"""Queries over the fixture scores and the SQL that gives the same rows."""
+"""Queries over the fixture scores, one per operator; :mod:`tonegrid.oracle` has the same in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from . import fixtures
+from .config import TokenizerConfig
+from .functions import half_even
+from .operators import controls, decode, events, scores, subword, tokens
+from .operators.chords import detect_chords
+from .operators.scores import ScoreTables, bars
+from .oracle import oracle_sql as oracle_sql  # noqa: PLC0414
+from .plans.tokenizer import Tokenizer
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+#: One stream per score with programs, no repeated notes.
+CONFIG = TokenizerConfig(use_programs=True, remove_duplicated_notes=True)
+NOTE = ["score_id", "program", "time", "duration", "pitch", "velocity"]
+
+
+def raw(spark: SparkSession, sf_dir: str) -> ScoreTables:
+    return fixtures.score_tables(spark, sf_dir)
+
+
+def tokenizer(name: str, **changes) -> Tokenizer:
+    return Tokenizer.of(name, CONFIG.with_(**changes))
+
+
+def prepared(spark: SparkSession, sf_dir: str, **changes) -> tuple[ScoreTables, TokenizerConfig]:
+    t = tokenizer("TSD", **changes)
+    return t.preprocess(raw(spark, sf_dir)), t.config
+
+
+def encoded(name: str, spark: SparkSession, sf_dir: str, **changes) -> tuple[Tokenizer, DataFrame]:
+    t = tokenizer(name, **changes)
+    return t, t.encode(raw(spark, sf_dir))
+
+
+def _tokens(name: str, **changes) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, out = encoded(name, spark, sf_dir, **changes)
+        if t.is_compound:
+            return out.select("score_id", "pos", F.array_join("tokens", " ").alias("token"))
+        return out.select("score_id", *(["seq_idx"] if not t.one_stream else []), "pos", "token")
+
+    return query
+
+
+def _decoded(name: str, **changes) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, out = encoded(name, spark, sf_dir, **changes)
+        return t.decode(out).notes.select("score_id", "program", F.col("time").cast("long").alias("time"), F.col("duration").cast("long").alias("duration"), "pitch", "velocity")
+
+    return query
+
+
+def _errors(name: str, **changes) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, out = encoded(name, spark, sf_dir, **changes)
+        return t.error_ratio(out).groupBy("score_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_errors").alias("n_errors"))
+
+    return query
+
+
+def notes_pitch_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(spark, sf_dir).notes.where(scores.in_pitch_range(CONFIG)).select(*NOTE)
+
+
+def notes_velocity_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(spark, sf_dir).notes.withColumn("velocity", scores.snapped_velocity(CONFIG)).select(*NOTE)
+
+
+def notes_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda c: half_even(F.col(c).cast("double") * 8 / 480).alias(c)
+    return raw(spark, sf_dir).notes.select("score_id", "program", at("time"), F.greatest(at("duration"), F.lit(1)).alias("duration"), "pitch", "velocity")
+
+
+def notes_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.deduplicate_notes(raw(spark, sf_dir).notes).select(*NOTE)
+
+
+def notes_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared(spark, sf_dir)[0].notes.select(*NOTE)
+
+
+def notes_prepared_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared(spark, sf_dir, use_time_signatures=True)[0].notes.select(*NOTE)
+
+
+def tracks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = raw(spark, sf_dir).notes.withColumn("program", F.when(F.col("program") == -1, -1).otherwise(F.col("program") % 16).cast("int"))
+    return scores.merge_tracks(notes).groupBy("score_id", "track_idx", "program").agg(F.count("*").alias("n_notes"))
+
+
+def tracks_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, _ = prepared(spark, sf_dir)
+    return t.notes.select("score_id", "track_idx", "program").distinct()
+
+
+def overlaps_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.fix_overlaps(scores.deduplicate_notes(raw(spark, sf_dir).notes)).select(*NOTE)
+
+
+def pedals_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.merge_pedals(raw(spark, sf_dir).pedals).select("score_id", "program", "time", "duration")
+
+
+def tempos_snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, _ = prepared(spark, sf_dir, use_tempos=True)
+    return t.tempos.select("score_id", "time", "qpm")
+
+
+def bends_snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, _ = prepared(spark, sf_dir, use_pitch_bends=True)
+    return t.pitch_bends.select("score_id", "program", "time", "value")
+
+
+def signatures_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = CONFIG.with_(use_time_signatures=True, time_signature_range={"4": [3, 4]})
+    return scores.supported_signatures(raw(spark, sf_dir).time_signatures, c).select("score_id", "time", "num", "den")
+
+
+def signatures_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = raw(spark, sf_dir)
+    late = t.time_signatures.where("not (time = 0 and num = 3)")
+    return scores.with_default_signature(late, t.scores).select("score_id", "time", "num", "den")
+
+
+def signatures_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, _ = prepared(spark, sf_dir, use_time_signatures=True)
+    return t.time_signatures.select("score_id", "seq", "time", "num", "den")
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def bars_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(*prepared(spark, sf_dir))
+
+
+def beats_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(*prepared(spark, sf_dir), "beat")
+
+
+def notes_bar_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, c = prepared(spark, sf_dir)
+    rows = scores.with_sections(t.notes, t, c).withColumn("s", scores.section_at(F.col("time")))
+    bar = scores.bar_at(F.col("time"), F.col("s"))
+    return rows.select("score_id", "program", "time", "pitch", bar.alias("bar"), (F.col("time") - scores.bar_tick(bar, F.col("s"))).alias("position"))
+
+
+def pitch_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, c = prepared(spark, sf_dir, use_pitch_intervals=True)
+    rows = events.pitch_intervals(t.notes, t, c)
+    return rows.select("score_id", "program", "time", "pitch", F.coalesce("interval_type", F.lit("none")).alias("interval_type"), F.coalesce(F.col("interval"), F.lit(0)).cast("int").alias("interval"))
+
+
+def program_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, c = prepared(spark, sf_dir, program_changes=True)
+    rows = events.events(t, c).where("type = 'Program'")
+    return rows.groupBy("score_id", "program").agg(F.count("*").alias("n_changes"))
+
+
+def global_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, c = prepared(spark, sf_dir, use_tempos=True)
+    return events.global_events(t, c).select("score_id", "time", "type", "value")
+
+
+def events_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, c = prepared(spark, sf_dir)
+    rows = events.events(t, c)
+    pos = (F.row_number().over(events.stream_order()) - 1).cast("long").alias("pos")
+    return rows.select("score_id", pos, "time", "type", "value")
+
+
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, out = encoded("TSD", spark, sf_dir)
+    return t.ids(out).select("score_id", "pos", "id")
+
+
+def ids_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, out = encoded("TSD", spark, sf_dir)
+    return t.tokens(t.ids(out).drop("token")).select("score_id", "pos", "token")
+
+
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, out = encoded("TSD", spark, sf_dir)
+    packed = tokens.to_bytes(t.ids(out), t.vocabulary)
+    return tokens.from_bytes(packed, t.vocabulary).select("score_id", "pos", "token")
+
+
+def compound_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, out = encoded("Octuple", spark, sf_dir)
+    return t.ids(out).select("score_id", "pos", "vocab_idx", "id")
+
+
+def vocab_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokens.types_in(spark, tokenizer("TSD").vocabulary)
+    return rows.select("type", F.size("ids").cast("long").alias("n_ids"), F.array_min("ids").cast("long").alias("first_id"))
+
+
+def note_on_off_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On and off marks of the raw notes, paired first in, first out."""
+    n = raw(spark, sf_dir).notes
+    marks = n.select("score_id", F.lit(0).alias("seq_idx"), "program", "pitch", "velocity", F.explode(F.array(F.struct(F.col("time").alias("tick"), F.lit(True).alias("is_on")), F.struct((F.col("time") + F.col("duration")).alias("tick"), F.lit(False).alias("is_on")))).alias("m"))
+    marks = marks.select("score_id", "seq_idx", "program", "pitch", "velocity", "m.tick", "m.is_on")
+    # Offs come before ons of their tick.
+    marks = marks.withColumn("pos", F.row_number().over(Window.partitionBy("score_id").orderBy("tick", "is_on", "program", "pitch", "velocity")))
+    out = decode.note_pairs(marks)
+    return out.groupBy("score_id", "program", "pitch").agg(F.count("*").alias("n_notes"), F.sum("duration").alias("ticks"), F.min("time").alias("first"), F.max("time").alias("last"))
+
+
+def dup_note_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated pitches that the check finds when duplicates were not removed."""
+    t = tokenizer("TSD", remove_duplicated_notes=False)
+    out = t.encode(raw(spark, sf_dir))
+    rows = tokenizer("TSD").errors(out)
+    return rows.groupBy("score_id").agg(F.sum(F.col("bad_note").cast("long")).alias("n_errors"))
+
+
+def _controls(make: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, c = prepared(spark, sf_dir)
+        ticks = bars(t, c)
+        return make(t.notes, controls.with_bar(t.notes, ticks), ticks, c)
+
+    return query
+
+
+def split_by_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokenizer("TSD")
+    p = t.preprocess(raw(spark, sf_dir))
+    parts = tokens.split_at_ticks(t.encode(p, preprocessed=True), t.bars(p))
+    return parts.groupBy("score_id", F.col("part").cast("long").alias("part")).agg(F.count("*").alias("n_tokens"))
+
+
+def split_by_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, out = encoded("MMM", spark, sf_dir)
+    return tokens.split_tracks(out, keep_markers=False).groupBy("score_id", "seq_idx").agg(F.count("*").alias("n_tokens"))
+
+
+def sliced_and_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred tokens, and those after them, joined again."""
+    _, out = encoded("TSD", spark, sf_dir)
+    return tokens.appended(tokens.sliced(out, 0, 100), tokens.sliced(out, 100)).select("score_id", "pos", "token")
+
+
+def chords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, c = prepared(spark, sf_dir, use_chords=True, chord_unknown=(3, 6), chord_tokens_with_root_note=True)
+    return detect_chords(t, c)
+
+
+def model() -> subword.SubwordModel:
+    """A small model over the bytes of the TSD vocabulary: common neighbours merged."""
+    v = tokenizer("TSD").vocabulary
+    ch = lambda name: v.byte_of(v.id_of(name))
+    pairs = [(ch(f"Program_{p}"), ch(f"{kind}_{n}")) for p, kind in ((-1, "PitchDrum"), (0, "Pitch"), (8, "Pitch")) for n in range(30, 80)]
+    pieces = {v.byte_of(i): i for i in range(v.sizes[0])}
+    for a, b in pairs:
+        pieces.setdefault(a + b, len(pieces))
+    return subword.SubwordModel(pieces, tuple(pairs))
+
+
+def bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokenizer("TSD")
+    p = t.preprocess(raw(spark, sf_dir))
+    out = subword.encode_ids(t.ids(t.encode(p, preprocessed=True)), t.vocabulary, model(), t.bars(p))
+    return out.groupBy("score_id").agg(F.count("*").alias("n_ids"), F.sum("id").alias("sum_ids"))
+
+
+def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokenizer("TSD")
+    p = t.preprocess(raw(spark, sf_dir))
+    out = subword.encode_ids(t.ids(t.encode(p, preprocessed=True)), t.vocabulary, model(), t.bars(p))
+    return subword.decode_ids(out, t.vocabulary, model()).select("score_id", "pos", "id")
+
+
+RESTS = {"use_rests": True}
+SIGNATURES = {"use_time_signatures": True, "use_tempos": True}
+FULL = {"use_rests": True, "use_tempos": True, "use_time_signatures": True, "use_sustain_pedals": True, "use_pitch_bends": True}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    plain = [
+        notes_pitch_filter, notes_velocity_quantized, notes_resampled, notes_dedup, notes_prepared, notes_prepared_signatures, tracks_merged, tracks_nonempty,
+        overlaps_fixed, pedals_merged, tempos_snapped, bends_snapped, signatures_supported, signatures_default, signatures_aligned, bars_ticks, beats_ticks,
+        notes_bar_position, pitch_intervals, program_changes, global_events, events_sorted, token_ids, ids_to_tokens, token_bytes, compound_ids, vocab_types,
+        note_on_off_pairs, dup_note_errors, split_by_bar, split_by_track, sliced_and_joined, chords, bpe_ids, bpe_decoded,
+    ]
+    out = {f.__name__: f for f in plain}
+    for name in ("TSD", "MIDILike", "Structured", "REMI", "MMM", "Octuple", "CPWord", "MuMIDI", "PerTok"):
+        out[f"{name.lower()}_tokens"] = _tokens(name)
+        out[f"{name.lower()}_decoded"] = _decoded(name)
+        out[f"{name.lower()}_errors"] = _errors(name)
+    out["tsd_tokens_rests"] = _tokens("TSD", **RESTS)
+    out["tsd_decoded_rests"] = _decoded("TSD", **RESTS)
+    out["remi_tokens_rests"] = _tokens("REMI", **RESTS)
+    out["tsd_tokens_tracks"] = _tokens("TSD", one_token_stream_for_programs=False)
+    out["remi_tokens_signatures"] = _tokens("REMI", **SIGNATURES)
+    out["remi_decoded_signatures"] = _decoded("REMI", **SIGNATURES)
+    out["octuple_decoded_signatures"] = _decoded("Octuple", **SIGNATURES)
+    out["tsd_decoded_intervals"] = _decoded("TSD", use_pitch_intervals=True)
+    for name in ("TSD", "MIDILike", "REMI"):
+        out[f"{name.lower()}_errors_full"] = _errors(name, **FULL)
+    c = controls
+    out |= {
+        "bar_density": _controls(lambda n, b, t, k: c.bar_density(b, k)),
+        "bar_polyphony": _controls(lambda n, b, t, k: c.bar_polyphony(b, k)),
+        "bar_pitch_class": _controls(lambda n, b, t, k: c.bar_pitch_class(b, k)),
+        "bar_durations": _controls(lambda n, b, t, k: c.bar_durations(b, k)),
+        "track_polyphony": _controls(lambda n, b, t, k: c.track_polyphony(n, k)),
+        "track_density": _controls(lambda n, b, t, k: c.track_density(b, t, k)),
+        "track_durations": _controls(lambda n, b, t, k: c.track_durations(n, k)),
+        "track_repetition": _controls(lambda n, b, t, k: c.track_repetition(n, t, k)),
+    }
+    return out
