@@ -37,9 +37,6 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.col("longest.words").alias("longest_words"),
-        F.col("longest.start").alias("longest_start"),
-        F.col("longest.item").alias("longest_item"),
     )
 
 
