@@ -65,7 +65,7 @@ def timed_graph(name: str, c: TokenizerConfig) -> Graph:
     e.add("TimeShift", "TimeShift")
     e.add("NoteOff", {"NoteOff", first, "TimeShift"})
     e.add("TimeShift", "NoteOff" if not inline else set())
-    e.add("Program" if c.use_programs and c.one_token_stream_for_programs else {last, clock, "NoteOff"}, intervals)
+    e.add("Program" if inline else {last, clock, "NoteOff"}, intervals)
     if bars:
         e.add("Bar", {"TimeSig"} if c.use_time_signatures else moves)
         if c.use_time_signatures and c.additional_params.get("use_bar_end_tokens"):

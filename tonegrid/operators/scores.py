@@ -175,8 +175,9 @@ def with_sections(df: DataFrame, tables: ScoreTables, c: TokenizerConfig) -> Dat
 
 
 def section_at(time: Column) -> Column:
-    """The section of ``sections`` that holds a tick."""
-    return F.element_at(F.filter("sections", lambda s: s.start <= F.greatest(time, F.lit(0))), -1)
+    """The section of ``sections`` that holds a tick; the only one where there is one (folded to a constant without signatures)."""
+    last = F.element_at(F.filter("sections", lambda s: s.start <= F.greatest(time, F.lit(0))), -1)
+    return F.when(F.size("sections") == 1, F.get("sections", F.lit(0))).otherwise(last)
 
 
 def bar_at(time: Column, section: Column) -> Column:
@@ -243,7 +244,8 @@ def preprocess(tables: ScoreTables, c: TokenizerConfig, note_on_off: bool = Fals
             return merge_tracks(df) if c.one_token_stream_for_programs else df
         return df
 
-    notes = tracks(tables.notes.where(in_pitch_range(c)))
+    # The one exchange of the notes: all joins and windows that follow are within scores.
+    notes = tracks(tables.notes.where(in_pitch_range(c)).repartition("score_id"))
     notes = with_sections(scaled(notes, "time", "duration"), result, c)
     if c.use_velocities:
         notes = notes.withColumn("velocity", snapped_velocity(c))
