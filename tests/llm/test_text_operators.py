@@ -292,7 +292,7 @@ def test_urls(spark):
 
     for r in urlfilter.filter_urls(pages, URL_RULES).collect():
         assert (r.host, r.path, r.rule, r.verdict) == judged(r.url), r.url
-    assert urlfilter.filter_urls(pages.limit(0), URL_RULES).count() == 0
+    assert urlfilter.filter_urls(pages.limit(0), URL_RULES).count() == 0  # the same rules again
     assert all(r.verdict == "allow" for r in urlfilter.filter_urls(pages, []).collect())
 
 

@@ -25,7 +25,7 @@ SENTENCE_BYTES = bytes(
 )
 
 #: Bounds of the sample that the model is fitted on: labelled rows, characters of a text.
-SAMPLE_ROWS, SAMPLE_CHARS = 12_000, 50_000
+SAMPLE_ROWS, SAMPLE_CHARS = 10_000, 50_000
 THRESHOLD = 0.3
 
 SENTENCES = T.ArrayType(T.StructType([T.StructField("sentence", T.LongType()), T.StructField("words", T.StringType()), T.StructField("score", T.DoubleType())]))
@@ -68,11 +68,11 @@ def fit(sample: list[tuple[str, int]], least_docs: int = 5, steps: int = 250, l1
                 doc.append(d)
         frequency = np.append(frequency, np.zeros(max(0, len(ids) - len(frequency)), np.int64))
         frequency[np.unique(np.frombuffer(word, np.intc)[start:])] += 1
-    number = np.where(frequency >= least_docs, np.cumsum(frequency >= least_docs) - 1, -1)
+    number = np.where(frequency >= least_docs, np.cumsum(frequency >= least_docs) - 1, -1).astype(np.int32)
     vocabulary = {w: int(number[i]) for w, i in ids.items() if number[i] >= 0}
     del ids
-    doc, n = np.array(doc, np.int64), len(size)
-    sentence, word = np.repeat(np.arange(n), np.array(size)), number[np.array(word, np.int64)]
+    doc, n = np.array(doc, np.int32), len(size)
+    sentence, word = np.repeat(np.arange(n, dtype=np.int32), np.array(size)), number[np.frombuffer(word, np.intc)]
     sentence, word = sentence[word >= 0], word[word >= 0]
     theta = np.zeros(len(vocabulary) + 1)
     theta[-1] = -6.0

@@ -108,12 +108,23 @@ class DigestArray:
         return [b and (name(b[1]), "block" if self.block[b[1]] else "allow") for b in best]
 
 
+#: Application and file name to the path that was shipped: Spark takes a name once.
+_shipped: dict[tuple[str, str], str] = {}
+
+
 def ship(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> dict[str, str]:
-    """Write the rules' files on the driver and have Spark copy them to every executor, later ones too."""
+    """Write the rules' files on the driver and have Spark copy them to every executor, later ones too.
+
+    File names follow from the contents, so rules that were shipped before are not shipped again.
+    """
+    sc = spark.sparkContext
     paths = DigestArray.write(rules, tempfile.mkdtemp(prefix="tonegrid-rules-"))
-    for p in paths.values():
-        spark.sparkContext.addFile(p)
-    return {k: os.path.basename(p) for k, p in paths.items()}
+    names = {k: os.path.basename(p) for k, p in paths.items()}
+    for k, name in names.items():
+        if (sc.applicationId, name) not in _shipped:
+            sc.addFile(paths[k])
+            _shipped[sc.applicationId, name] = paths[k]
+    return names
 
 
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], url: str = "url", otherwise: str = "allow") -> DataFrame:
