@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tonegrid.llm import decontamination, packing, quality, secrets, simhash
 from tonegrid.llm.queries import table, tokenizer_path
-from tonegrid.llm.storage import checkpointed
+from tonegrid.llm.storage import written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what a stage returns is written (checkpointed) before the next one reads it."""
+    """All stages on ``documents``; what a stage returns is written as Parquet before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
-            docs = checkpointed(docs)
+            docs = written(docs)
     return docs
