@@ -169,7 +169,10 @@ def with_program_changes(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("counted", F.when(counts, F.col("program")))
     last = F.last_value("counted", ignoreNulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("changes", F.coalesce(F.col("counted") != F.coalesce(last, F.lit(-2)), F.lit(False))).drop("counted")
-    columns = [c for c in SCHEMA if c in rows.columns]
-    own = rows.withColumn("sub", F.col("sub") * 2 + 1).drop("changes")
-    change = rows.where("changes").withColumns({"sub": F.col("sub") * 2, "type": F.lit("Program"), "value": F.col("program").cast("string"), "note_end": F.lit(None).cast("long")})
-    return own.select(*columns).unionByName(change.select(*columns))
+    # Both events come out of their row: a union of two plans would compute the windows twice.
+    sub, names = F.col("sub"), ["sub", "type", "value", "note_end"]
+    own = F.struct((sub * 2 + 1).alias("sub"), "type", "value", "note_end")
+    change = F.struct((sub * 2).alias("sub"), F.lit("Program").alias("type"), F.col("program").cast("string").alias("value"), F.lit(None).cast(rows.schema["note_end"].dataType).alias("note_end"))
+    both = F.explode(F.when(F.col("changes"), F.array(change, own)).otherwise(F.array(own))).alias("e")
+    kept = [c for c in SCHEMA if c in rows.columns and c not in names]
+    return rows.select(*kept, both).select(*kept, *(f"e.{n}" for n in names))
