@@ -45,6 +45,34 @@ def test_few_rows_and_none(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_outliers_find_k_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 20  # far from all others, on a centroid of its own
+    x[11], x[12] = 9 * x[10], 9 * x[10]  # so are two copies
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    for list_rows in (4, 20):
+        by: dict = {}
+        for r in neighbours.search(df, F.col("vec_id").isin(7, 11, 50), k=10, list_rows=list_rows).collect():
+            by.setdefault(r.query_id, []).append(r)
+        assert {q: len(own) for q, own in by.items()} == {7: 10, 11: 10, 50: 10}
+        assert min(by[11], key=lambda r: r["rank"]).vec_id == 12
+    far = {i for i in np.argsort(((x - x[7]) ** 2).sum(1))[1:11].tolist()}
+    assert len({r.vec_id for r in by[7]} & far) >= 9
+
+
+def test_lists_are_probed_until_k_rows_are_covered():
+    line = np.arange(200.0)[:, None]
+    g = neighbours.CentroidGraph.of(np.hstack([line, 0 * line]))
+    held = np.zeros(200, np.int64)
+    held[[0, 150, 190]] = 1, 10, 5  # all other lists are empty
+    row, lists = neighbours.probed(g, np.array([[0.0, 0.0], [190.0, 0.0]]), held, 10, 24, 1.25)
+    assert held[lists[row == 0]].sum() > 10 and held[lists[row == 1]].sum() > 10
+    row, lists = neighbours.probed(g, np.array([[0.0, 0.0]]), held, 100, 24, 1.25)
+    assert sorted(lists) == list(range(200))
+
+
 def test_graph_finds_the_nearest_centroids():
     rng = np.random.default_rng(0)
     g = neighbours.CentroidGraph.of(rng.normal(size=(300, 8)))

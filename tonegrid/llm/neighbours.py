@@ -2,9 +2,10 @@
 
 Centroids are fitted on a bounded sample and kept as an in-memory graph.  Every vector is posted
 to its nearest centroid and, near a boundary, to further ones whose distance is within a ratio of
-the nearest.  A query walks the graph to its nearest centroids, keeps the lists within a distance
-ratio, and meets their vectors in a join on the list; long lists are dealt to parts, which all get
-the query, so a task's share of a list is bounded whatever one vector or region weighs.
+the nearest.  A query walks the graph to its nearest centroids, keeps the lists within a ratio of
+the distance at which enough rows are covered, and meets their vectors in a join on the list; long
+lists are dealt to parts, which all get the query, so a task's share of a list is bounded whatever
+one vector or region weighs.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from .storage import checkpointed
 SAMPLE_ROWS, LIST_ROWS, MAX_LISTS = 20_000, 256, 4096
 #: Boundary vectors: lists a vector is posted to at most, within this ratio of its nearest distance.
 REPLICAS, POST_RATIO = 4, 1.05
-#: Share of the lists that a query may probe, the least and most of them; within this ratio of its nearest distance.
+#: Share of the lists that a query may probe, the least and most of them; beyond the least, within this ratio
+#: of the distance of the list with which more than k rows are covered.
 PROBE_SHARE, PROBE_LEAST, PROBE_MOST, PROBE_RATIO = 0.22, 24, 512, 1.25
 #: Rows of a posting list, and queries, that one group compares.
 PART_ROWS, QUERY_PART = 4096, 512
@@ -114,6 +116,38 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 5
     return centroids
 
 
+def covering(d: np.ndarray, held: np.ndarray, k: int, probes: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of each query's lists to probe, and whether those given hold more than ``k`` rows.
+
+    ``d`` are the distances, nearest first, and ``held`` the rows whose nearest centroid is the
+    list's, so that none counts twice.  Kept are the lists up to the one with which more than ``k``
+    rows are covered, the nearest PROBE_LEAST, and of the first ``probes`` those within ``ratio``
+    of that one's distance: the nearest alone may lie on the query and hold few rows.
+    """
+    there = np.isfinite(d)
+    enough = np.cumsum(np.where(there, held, 0), axis=1) > k
+    full = enough[:, -1]
+    last = np.where(full, enough.argmax(1), d.shape[1] - 1)[:, None]
+    place = np.arange(d.shape[1])
+    near = d <= ratio * np.take_along_axis(d, last, 1) + 1e-12
+    return there & ((place <= last) | (place < PROBE_LEAST) | (near & (place < probes))), full
+
+
+def probed(graph: CentroidGraph, x: np.ndarray, held: np.ndarray, k: int, probes: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of the lists that the queries ``x`` probe; they hold ``k`` rows besides each query, or all rows."""
+    ids, d = graph.nearest(x, probes)
+    keep, full = covering(d, held[ids], k, probes, ratio)
+    row, col = np.nonzero(keep & full[:, None])
+    rows, lists = [row], [ids[row, col]]
+    if len(short := np.flatnonzero(~full)):  # the lists found hold too few rows: all are ranked
+        every = np.sqrt(squared(x[short], graph.centroids))
+        order = np.argsort(every, axis=1, kind="stable")
+        keep, _ = covering(np.take_along_axis(every, order, 1), held[order], k, probes, ratio)
+        row, col = np.nonzero(keep)
+        rows, lists = [*rows, short[row]], [*lists, order[row, col]]
+    return np.concatenate(rows), np.concatenate(lists)
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector is there, not zero, and all its components are finite."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -134,7 +168,7 @@ def search(
     probe_share: float = PROBE_SHARE,
     probe_ratio: float = PROBE_RATIO,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row its ``k`` nearest other rows found.
+    """(query_id, rank, vec_id, score): for each query row its ``k`` nearest other rows found, all if there are fewer.
 
     ``score`` is the Euclidean distance of the original vectors in double precision; ties go to the
     smaller vec_id, ranks run from 1.  Null and zero vectors, vectors with null or non-finite
@@ -163,29 +197,38 @@ def search(
         for whole in batches:
             for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
                 x = _matrix(b.column(1), dimension)
-                q = b.column(2).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
                 ids, d = g.nearest(x, REPLICAS)
                 row, col = np.nonzero(d <= POST_RATIO * d[:, :1] + 1e-12)
-                kinds, rows, target = [np.zeros(len(row), bool)], [row], [ids[row, col]]
-                if q.any():
-                    at = np.flatnonzero(q)
-                    ids, d = g.nearest(x[at], probes)
-                    row, col = np.nonzero(d <= probe_ratio * d[:, :1] + 1e-12)
-                    kinds, rows, target = [*kinds, np.ones(len(row), bool)], [*rows, at[row]], [*target, ids[row, col]]
-                take = pa.array(np.concatenate(rows))
+                take = pa.array(row)
+                query = b.column(2).fill_null(False).take(take)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(target).astype(np.int32)), pa.array(np.concatenate(kinds)), b.column(0).take(take), b.column(1).take(take)], names=["list", "query", "vec_id", "v"]
+                    [pa.array(ids[row, col].astype(np.int32)), pa.array(col == 0), query, b.column(0).take(take), b.column(1).take(take)], names=["list", "home", "query", "vec_id", "v"]
                 )
 
-    schema = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("query", T.BooleanType()), T.StructField("vec_id", id_type), own.schema["v"]])
-    posted = checkpointed(own.mapInArrow(post, schema))
+    of_list = [T.StructField("list", T.IntegerType())]
+    row_fields = [T.StructField("vec_id", id_type), own.schema["v"]]
+    flags = [T.StructField("home", T.BooleanType()), T.StructField("query", T.BooleanType())]
+    posted = checkpointed(own.mapInArrow(post, T.StructType(of_list + flags + row_fields)))
+    held = np.zeros(lists, np.int64)
+    for r in posted.where("home").groupBy("list").agg(F.count("*").alias("n")).collect():  # MAX_LISTS rows at most
+        held[r["list"]] = r.n
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = sent.value
+        for whole in batches:
+            for b in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
+                row, target = probed(g, _matrix(b.column(1), dimension), held, k, probes, probe_ratio)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(target.astype(np.int32)), b.column(0).take(take), b.column(1).take(take)], names=["list", "vec_id", "v"])
+
+    routed = checkpointed(posted.where("home and query").select("vec_id", "v").mapInArrow(route, T.StructType(of_list + row_fields)))
     # Long lists are dealt to parts; a list's queries go to each of them, themselves in parts.
-    parts = posted.groupBy("list").agg(F.ceil(F.count_if(~F.col("query")) / PART_ROWS).alias("parts"), F.ceil(F.count_if("query") / QUERY_PART).alias("query_parts"))
-    dealt = posted.join(F.broadcast(parts), "list")  # MAX_LISTS rows at most
-    salt = lambda m: F.pmod(F.xxhash64("vec_id"), F.greatest(m, F.lit(1))).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.greatest(m, F.lit(1)).cast("int") - 1))
-    data = dealt.where("not query and query_parts > 0").select("list", salt(F.col("parts")).alias("part"), every(F.col("query_parts")).alias("query_part"), "vec_id", "v")
-    asked = dealt.where("query and parts > 0").select(
+    count = lambda df, name, rows: df.groupBy("list").agg(F.ceil(F.count("*") / rows).alias(name))
+    parts = F.broadcast(count(posted, "parts", PART_ROWS).join(count(routed, "query_parts", QUERY_PART), "list"))  # MAX_LISTS rows at most
+    salt = lambda m: F.pmod(F.xxhash64("vec_id"), m).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), m.cast("int") - 1))
+    data = posted.join(parts, "list").select("list", salt(F.col("parts")).alias("part"), every(F.col("query_parts")).alias("query_part"), "vec_id", "v")
+    asked = routed.join(parts, "list").select(
         F.col("list").alias("list"), every(F.col("parts")).alias("part"), salt(F.col("query_parts")).alias("query_part"), F.col("vec_id").alias("vec_id"), F.col("v").alias("v")
     )
 
