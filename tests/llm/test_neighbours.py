@@ -73,6 +73,22 @@ def test_lists_are_probed_until_k_rows_are_covered():
     assert sorted(lists) == list(range(200))
 
 
+def test_the_share_of_lists_probed_holds_at_any_size():
+    for lists in (200, 1000, 4096):
+        assert neighbours.probed_lists(lists) == int(neighbours.PROBE_SHARE * lists)
+    assert neighbours.probed_lists(40) == 24 and neighbours.probed_lists(3) == 3
+
+
+def test_a_wide_walk_finds_the_nearest_centroids():
+    rng = np.random.default_rng(4)
+    g = neighbours.CentroidGraph.of(rng.normal(size=(neighbours.MAX_LISTS, 16)))
+    v = rng.normal(size=(8, 16))
+    count = neighbours.probed_lists(neighbours.MAX_LISTS)
+    ids, _ = g.nearest(v, count)
+    true = np.argsort(neighbours.squared(v, g.centroids), axis=1)[:, :count]
+    assert np.mean([len(set(a) & set(b)) / count for a, b in zip(ids.tolist(), true.tolist(), strict=True)]) > 0.99
+
+
 def test_graph_finds_the_nearest_centroids():
     rng = np.random.default_rng(0)
     g = neighbours.CentroidGraph.of(rng.normal(size=(300, 8)))

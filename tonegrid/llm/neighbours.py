@@ -25,9 +25,9 @@ from .storage import checkpointed
 SAMPLE_ROWS, LIST_ROWS, MAX_LISTS = 20_000, 256, 4096
 #: Boundary vectors: lists a vector is posted to at most, within this ratio of its nearest distance.
 REPLICAS, POST_RATIO = 4, 1.05
-#: Share of the lists that a query may probe, the least and most of them; beyond the least, within this ratio
+#: Share of the lists that a query may probe, at any size, and the least of them; beyond these, within this ratio
 #: of the distance of the list with which more than k rows are covered.
-PROBE_SHARE, PROBE_LEAST, PROBE_MOST, PROBE_RATIO = 0.22, 24, 512, 1.25
+PROBE_SHARE, PROBE_LEAST, PROBE_RATIO = 0.22, 24, 1.25
 #: Rows of a posting list, and queries, that one group compares.
 PART_ROWS, QUERY_PART = 4096, 512
 
@@ -60,11 +60,13 @@ class CentroidGraph:
     def nearest(self, vectors: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search: centroid numbers and distances, nearest first, for a batch of vectors.
 
-        The walk of each vector ends when no centroid in its beam is left to be expanded.
+        The walk of each vector ends when no centroid in its beam is left to be expanded; a wide
+        beam has several expanded at a time.
         """
         n, k = len(vectors), len(self.centroids)
         count = min(count, k)
         beam = min(k, max(2 * count, 48))
+        step = max(1, beam // 64)
         norm = (self.centroids * self.centroids).sum(1)
         own = (vectors * vectors).sum(1)
         seen = np.zeros((n, k), bool)
@@ -89,9 +91,10 @@ class CentroidGraph:
 
         add(np.arange(n), np.broadcast_to(self.entries, (n, len(self.entries))))
         while len(live := np.flatnonzero(~done.all(1))):
-            at = np.argmin(done[live], axis=1)  # the nearest one not expanded yet
-            done[live, at] = True
-            add(live, self.edges[ids[live, at]])
+            # The nearest ones not expanded yet; a row with fewer of them expands some again, which adds nothing.
+            at = np.argsort(done[live], axis=1, kind="stable")[:, :step] if step > 1 else np.argmin(done[live], axis=1)[:, None]
+            done[live[:, None], at] = True
+            add(live, self.edges[ids[live[:, None], at]].reshape(len(live), -1))
         return ids[:, :count], np.sqrt(dist[:, :count])
 
 
@@ -116,6 +119,11 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 5
     return centroids
 
 
+def probed_lists(lists: int, share: float = PROBE_SHARE) -> int:
+    """How many of the lists a query may probe."""
+    return min(lists, max(PROBE_LEAST, int(lists * share)))
+
+
 def covering(d: np.ndarray, held: np.ndarray, k: int, probes: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """Which of each query's lists to probe, and whether those given hold more than ``k`` rows.
 
@@ -189,7 +197,7 @@ def search(
     sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(min(SAMPLE_ROWS, n)).collect()
     graph = CentroidGraph.of(fit_centroids(np.array([r.v for r in sample]), lists))
     lists = len(graph.centroids)
-    probes = min(PROBE_MOST, max(PROBE_LEAST, int(lists * probe_share)))
+    probes = probed_lists(lists, probe_share)
     sent = spark.sparkContext.broadcast(graph)  # MAX_LISTS centroids at most
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
