@@ -1,9 +1,9 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Bytes are embedded, learned filters run over the text with a stride of two bytes, each filter is
-max-pooled over overlapping chunks that cover the whole document, and the pooled chunks are
+Bytes are embedded, learned filters run over the text from every byte, each filter is max-pooled over overlapping chunks that cover the whole document, and the pooled chunks are
 averaged and combined into one probability.  For inference the embedding and a filter's weights
-for two neighbouring bytes are one table of 65,536 rows, so a filter costs a few additions a byte.
+for two neighbouring bytes are one table of 65,536 rows, so a filter costs a few additions a byte:
+the table is applied to the byte pairs at even offsets and to those at odd ones.
 """
 
 from __future__ import annotations
@@ -35,6 +35,11 @@ def pairs(text: str | None) -> np.ndarray:
     return np.frombuffer(raw.ljust(2 * n, b"\0"), ">u2").astype(np.int64)
 
 
+def shifted(codes: np.ndarray) -> np.ndarray:
+    """Codes of the byte pairs that start one byte later (a zero byte follows the last pair)."""
+    return ((codes & 255) << 8) | np.append(codes[1:] >> 8, 0)
+
+
 def chunk_starts(n: int) -> np.ndarray:
     """Starts of overlapping chunks that cover n positions, the last one moved back to end with them."""
     return np.append(np.arange(0, max(n - CHUNK, 0), STEP), max(n - CHUNK, 0))
@@ -62,8 +67,8 @@ class Network:
             self._tables = (one[0::2, :, None, :] + one[1::2, None, :, :]).reshape(PAIRS, 65536, FILTERS)
         return self._tables
 
-    def convolve(self, codes: np.ndarray) -> np.ndarray:
-        """Filter responses at each position (positions past the end count as zero bytes)."""
+    def responses(self, codes: np.ndarray) -> np.ndarray:
+        """Filter responses from the first byte of each pair (pairs past the end count as zero bytes)."""
         tables = self.tables()
         padded = np.append(codes, np.zeros(PAIRS - 1, np.int64))
         total = tables[0].take(codes, 0)
@@ -71,6 +76,11 @@ class Network:
             total += tables[k].take(padded[k : k + len(codes)], 0)
         return total
 
+    def convolve(self, codes: np.ndarray) -> np.ndarray:
+        """At each pair the larger of the filter responses from its two bytes."""
+        even = self.responses(codes)
+        return np.maximum(even, self.responses(shifted(codes)), out=even)
+
     def pooled(self, text: str | None) -> np.ndarray:
         """Mean over the chunks of each filter's rectified maximum."""
         codes = pairs(text)
@@ -80,7 +90,7 @@ class Network:
             starts = starts[(starts >= a) & (starts < a + PIECE)]
             if len(starts):
                 part = codes[a : starts[-1] + CHUNK]
-                follow = codes[starts[-1] + CHUNK : starts[-1] + CHUNK + PAIRS - 1]
+                follow = codes[starts[-1] + CHUNK : starts[-1] + CHUNK + PAIRS]
                 r = self.convolve(np.append(part, follow))[: len(part)]
                 best = chunk_max(r, starts - a)
                 total += np.maximum(best + self.shift, 0).sum(0)
@@ -135,7 +145,9 @@ def fit(sample: list[tuple[str, int]], epochs: int = 12, batch: int = 48, rate:
             at_byte = np.zeros(2 * PAIRS * 256 * FILTERS)
             for d in chosen:
                 c = codes[d].astype(np.int64)
-                r = net.convolve(c)
+                late = shifted(c)
+                even, odd = net.responses(c), net.responses(late)
+                r = np.maximum(even, odd)
                 starts = chunk_starts(len(c))
                 if len(starts) > 64:  # a step looks at 64 chunks of a text, drawn anew each time
                     starts = np.sort(rng.choice(starts, 64, replace=False))
@@ -149,8 +161,11 @@ def fit(sample: list[tuple[str, int]], epochs: int = 12, batch: int = 48, rate:
                 g["bias"] += dz
                 dtop = dz * net.out * (top > 0) / len(starts)
                 g["shift"] += dtop.sum(0)
-                place = (starts[:, None] + where)[..., None] + np.arange(PAIRS)
-                seen = np.append(c, np.zeros(PAIRS, np.int64))[place]
+                place = starts[:, None] + where
+                from_odd = np.take_along_axis(odd > even, place, 0)[..., None]
+                place = place[..., None] + np.arange(PAIRS)
+                end = np.zeros(PAIRS, np.int64)
+                seen = np.where(from_odd, np.append(late, end)[place], np.append(c, end)[place])
                 seen = np.stack([seen >> 8, seen & 255], -1).reshape(len(starts), FILTERS, 2 * PAIRS)
                 index = (np.arange(2 * PAIRS) * 256 + seen) * FILTERS + np.arange(FILTERS)[:, None]
                 at_byte += np.bincount(index.ravel(), np.repeat(dtop.ravel(), 2 * PAIRS), len(at_byte))
