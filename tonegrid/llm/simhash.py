@@ -89,6 +89,19 @@ def links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     return cold.union(matched(split(probes), split(table), ["key", "byte"])).distinct()
 
 
+def _rooted(docs: DataFrame, doc_id: str, text: str, hot_bucket: int) -> DataFrame:
+    """The rows of :func:`near_duplicates` with the least fingerprint of their component, ``root``."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = with_fingerprint(own.withColumn("text_hash", F.xxhash64("text")), "text").select("doc_id", "text_hash", "fp")
+    rows = checkpointed(rows)
+    classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    roots = components(links(classes.select("fp"), hot_bucket))
+    rooted = classes.join(roots, classes.fp == roots.node).select("fp", "root", "least_id")
+    linked = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("linked_id")), "root").select("fp", "root", "linked_id")
+    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("linked_id", "least_id").alias("component_id"))
+    return rows.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """One row per document: doc_id, text_hash (of the whole text), fp, component_id.
 
@@ -97,15 +110,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are linked like any other.  Null ids don't count for the minimum; a component of null ids only
     has a null component_id.  Repeated rows stay as they are.  An empty table gives no rows.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = with_fingerprint(own.withColumn("text_hash", F.xxhash64("text")), "text").select("doc_id", "text_hash", "fp")
-    rows = checkpointed(rows)
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(classes.select("fp"), hot_bucket))
-    rooted = classes.join(roots, classes.fp == roots.node).select("fp", "root", "least_id")
-    linked = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("linked_id")), "root").select("fp", "linked_id")
-    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "least_id").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return _rooted(docs, doc_id, text, hot_bucket).drop("root")
 
 
 def hex_fingerprint(fp: str = "fp") -> Column:
@@ -117,7 +122,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows that repeat id and text count once; which of their other columns stay is not defined.
     """
-    found = near_duplicates(docs, doc_id, text).withColumn("root", F.coalesce("component_id", "fp"))
+    found = _rooted(docs, doc_id, text, HOT_BUCKET).withColumn("root", F.coalesce("component_id", "root"))
     rank = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")
     first = found.groupBy(F.col("component_id").isNull(), "root").agg(F.min(rank).alias("kept")).select("kept.doc_id", "kept.text_hash").distinct()
     keep = first.toDF("kept_id", "kept_hash")
