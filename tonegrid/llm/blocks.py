@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Texts are handed to an operator in blocks of about so many characters, so that memory does
+#: Texts are handed to an operator in blocks of about so many bytes, so that what Python holds does
 #: not depend on how many rows Spark puts into an Arrow batch.
 BLOCK_CHARS = 3_000_000
 
@@ -27,15 +29,17 @@ def set_aside(df: DataFrame, names: list[str]) -> dict[str, str]:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches with the values of ``column``, each of at most one value or BLOCK_CHARS."""
+    """Slices of the batches with the values of ``column``, each of about BLOCK_CHARS bytes or one value."""
     for batch in batches:
-        values = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        start = size = 0
-        for i, v in enumerate(values):
-            size += len(v) if v else 0
-            if size >= BLOCK_CHARS or i + 1 == len(values):
-                yield batch.slice(start, i + 1 - start), values[start : i + 1]
-                start, size = i + 1, 0
+        texts = batch.column(batch.schema.get_field_index(column))
+        # Sizes come from the Arrow offsets: only the texts of one slice at a time become Python strings.
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(size), 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            end = min(max(int(np.searchsorted(ends, before + BLOCK_CHARS)), start) + 1, len(ends))
+            yield batch.slice(start, end - start), texts.slice(start, end - start).to_pylist()
+            start = end
 
 
 def append_columns(df: DataFrame, column: str, fields: list[T.StructField], compute: Callable[[], Callable]) -> DataFrame:

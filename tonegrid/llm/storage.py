@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir`` of the session; only where it is unset (tests), a folder of our own."""
+    """Use ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local master (tests, one machine) gets a folder of its own; a cluster is
+    refused, as its executors share no local folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tonegrid-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tonegrid-checkpoint-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
