@@ -53,9 +53,9 @@ def none(spark):
 ITEMS = [(1, " ".join(f"LEAK{i}" for i in range(14))), (2, "short item"), (3, None), (4, "..."), (5, " ".join(f"leak{i}" for i in range(3, 13))), (5, "one two")]
 
 
-def contaminated(text: str | None, window: int = 10) -> tuple:
+def contaminated(text: str | None, window: int = 10, given: list = ITEMS) -> tuple:
     w, hit, items = WORD.findall(lower(text)), set(), set()
-    for item, t in ITEMS:
+    for item, t in given:
         own = WORD.findall(lower(t))
         n = min(window, len(own))
         for k in range(len(own) - n + 1 if own else 0):
@@ -66,6 +66,40 @@ def contaminated(text: str | None, window: int = 10) -> tuple:
     return len(w), len(hit), sorted(items)
 
 
+def longest_match(text: str | None, items: list, window: int = 10) -> tuple | None:
+    """Brute force: words, start, item and start there of the longest match that holds a whole window."""
+    w, found = WORD.findall(lower(text)), []
+    for item, t in items:
+        own = WORD.findall(lower(t))
+        for k in range(len(own)):
+            for at in range(len(w)):
+                n = 0
+                while k + n < len(own) and at + n < len(w) and own[k + n] == w[at + n]:
+                    n += 1
+                if own and n >= min(window, len(own)):
+                    found.append((-n, at, str(item), k))
+    return (-min(found)[0], *min(found)[1:]) if found else None
+
+
+def test_longest_match_and_items_by_brute_force():
+    """Few words, so that windows are shared between items and texts; also short items and repeats."""
+    rng = random.Random(12)
+    for trial in range(60):
+        size = rng.choice([2, 3, 9])
+        text = lambda n: " ".join(f"w{rng.randrange(size)}" for _ in range(n))
+        window = rng.choice([3, 4, 6])
+        items = [(rng.randrange(12), text(rng.choice([0, 1, 2, 3, 5, 9, 14]))) for _ in range(8)]
+        items += [(20, "a b c d e f g x"), (21, "a b c d e f g y z u"), (22, None)]
+        texts = [text(rng.randint(0, 40)) for _ in range(12)] + [None, "q a b c d e f g y z u q", "a b c d e f g x"]
+        counts, found = decontamination.search_all(decontamination.benchmark_queries([(str(i), t) for i, t in items], window), texts)
+        for i, t in enumerate(texts):
+            w = WORD.findall(lower(t))
+            n_words, hit, names = contaminated(t, window, items)
+            spans, owners, longest = found.get(i, ([], set(), None))
+            assert (counts[i], sum(b - a for a, b in spans), sorted(owners)) == (n_words, hit, names), (trial, i)
+            assert longest == longest_match(t, items, window), (trial, i, w)
+
+
 @pytest.mark.parametrize("block", [32 << 20, 200])
 def test_decontamination(spark, docs, block):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -75,7 +109,7 @@ def test_decontamination(spark, docs, block):
     assert len(rows) == docs.count()
     for r in rows:
         assert (r.n_words, r.hit, r["items"]) == contaminated(r.text), r.text
-    assert max(r.longest.words for r in rows if r.longest) == 14
+        assert (r.longest and tuple(r.longest)) == longest_match(r.text, ITEMS), r.text
     clean = decontamination.decontaminate(docs, items)
     assert clean.columns == docs.columns
     assert clean.count() == sum(not contaminated(t)[1] for _, t in corpus())
@@ -259,25 +293,60 @@ def test_packing(docs, none):
     assert all(len(joined[s]) == sum(n for _, n in parts) for s, parts in by.items())
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\t" * 1_000_000 + "x", "a" * 1_000_000, "1!" * 500_000, " \n" * 300_000, (" " * 400 + "a") * 1000])
+def test_very_long_runs_are_encoded(text):
+    e = packing.encoder_of(tokenizer_path())
+    assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_text_of_a_million_blanks_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000, 9), (2, "b", 9)], "doc_id long, text string, length long")
+    rows = packing.pack_documents(docs, tokenizer_path()).collect()
+    assert sum(r.length for r in rows) == 1_000_001 + 2 and len({r.sequence_id for r in rows}) == 489
+
+
+def test_the_rank_file_gives_the_tokenizers_ids_below_its_bound():
+    e = packing.encoder_of(tokenizer_path())
+    for c in map(chr, range(packing.PLAIN_BELOW)):
+        text = f"a{c}b {c} {c}{c}1{c}\n {c}"
+        assert e.ranks.encode_ordinary(text) == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not e.plain("日") and not e.plain(" " * packing.BLANK_RUN) and not e.plain("<|endoftext|>") and e.plain("é ")
+
+
+def test_a_failing_rank_encoder_is_left(monkeypatch):
+    class Panic(BaseException):
+        pass
+
+    class Broken:
+        def encode_ordinary(self, text):
+            raise Panic
+
+    e = packing.Encoder(tokenizer_path())
+    e.ranks = Broken()
+    assert np.frombuffer(e.encode("one two"), "<u4").tolist() == e.tokenizer.encode("one two", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("text", ["", " ", "  a", "a  b", "a \n b", " x\n", "it's <|endoftext|> fine", "x\x1c y", "été 12,5 %%% 日本語 　 x", "<|endoftext|>"])
 def test_encoder_gives_the_tokenizers_ids(text):
     e = packing.encoder_of(tokenizer_path())
     assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_fill_is_the_best_subset():
+@pytest.mark.parametrize("window", [64, 2048])
+def test_fill_is_the_best_subset(window):
     rng = random.Random(3)
     for _ in range(60):
-        counts = {rng.randint(1, 60): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
+        counts = {rng.randint(1, window - 4): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
         largest = max(counts)
-        used = packing.fill(counts, largest, 64)
+        used = packing.fill(counts, largest, window)
         assert all(n <= counts[k] for k, n in used.items())
-        total = sum(k * n for k, n in used.items())
         sums = {largest}
         for k, n in counts.items():
             for _ in range(n - (k == largest)):
-                sums |= {s + k for s in sums if s + k <= 64}
-        assert total == (64 if 64 in sums else max(sums))
+                sums |= {s + k for s in sums if s + k <= window}
+        assert sum(k * n for k, n in used.items()) == max(sums)
+    used = packing.fill({600: 1, 424: 1, 500: 1, 522: 1}, 600)
+    assert sum(k * n for k, n in used.items()) == 2046
 
 
 def test_urls(spark):

@@ -2,7 +2,7 @@
 
 Documents are cut into full windows and a rest.  Only the number of rests of each length, 2,047
 numbers at most, goes to the driver: a bitset subset-sum over them picks the multiset of lengths
-that fills a window best, its counts are read back from the bitset, and the pattern is used as
+that comes closest to a full window, its counts are read back from the bitset, and the pattern is used as
 often as the numbers allow.  The plan says, for the k-th piece of each length, which sequence and
 offset it gets; pieces are ranked per length in salted groups, so no length gathers in a task.
 """
@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,8 +29,14 @@ from .blocks import blocks
 from .storage import checkpointed
 
 WINDOW, END_ID = 2048, 1
-#: Groups into which the pieces of one length are dealt to be ranked.
-SALTS = 1024
+#: Groups, at least, into which the pieces of one length are dealt to be ranked; more of them where a
+#: group would hold more than so many pieces.
+SALTS, GROUP_PIECES = 1024, 50_000
+#: Where texts hold only characters below this one and no run of blanks of this length, tiktoken may encode them.
+PLAIN_BELOW, BLANK_RUN = 0x500, 500
+# How byte-level tokenizers split a text before merges, and how they write bytes as characters.
+BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -38,12 +46,20 @@ def encoder_of(tokenizer_path: str) -> Encoder:
     return Encoder(tokenizer_path)
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    others = [b for b in range(256) if b not in PRINTED]
+    return {chr(b): b for b in PRINTED} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class Encoder:
     """Token ids (little-endian 32-bit) of whole texts, as ``tokenizers`` gives them.
 
-    Where the same vocabulary lies beside the file as tiktoken ranks, these are used: the ids are
-    the same and it takes a quarter of the time.  Texts that hold a special token's own string
-    always go to ``tokenizers``, which gives that token's id.
+    A rank file of the same name beside the tokenizer is a faster way to the same ids (a quarter of
+    the time).  It is used only where that is certain: its ranks were compared with the whole
+    vocabulary and the split with that of the tokenizer, the text holds no special token's string,
+    only characters below PLAIN_BELOW (whose letter and number classes all Unicode versions agree
+    on) and no run of BLANK_RUN blanks, and encoding raised nothing.  All else goes to ``tokenizers``.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
@@ -51,24 +67,41 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranks = self._ranks(os.path.splitext(tokenizer_path)[0] + ".tiktoken")
-
-    @staticmethod
-    def _ranks(path: str):
-        try:
-            import public_tokenizers
-            import tiktoken
-
-            with open(path, "rb") as f:
-                merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        except (ImportError, FileNotFoundError):
+        ranks = os.path.splitext(tokenizer_path)[0] + ".tiktoken"
+        self.ranks = self._same_as_ranks(ranks) if os.path.exists(ranks) else None
+
+    def _same_as_ranks(self, path: str):
+        """tiktoken with the ranks of ``path``, if they are this tokenizer's vocabulary; else None."""
+        import tiktoken
+
+        with open(path, "rb") as f:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        parts = json.loads(self.tokenizer.to_str())
+        split, alphabet = parts["pre_tokenizer"] or {}, byte_alphabet()
+        plain = parts["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        own = {k: v for k, v in self.tokenizer.get_vocab(with_added_tokens=False).items() if k not in self.special}
+        if not plain or not all(c in alphabet for k in own for c in k) or {bytes(map(alphabet.get, k)): v for k, v in own.items()} != merges:
             return None
+        return tiktoken.Encoding("own", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=merges, special_tokens={})
+
+    def plain(self, text: str) -> bool:
+        """Whether the rank file is certain to give the tokenizer's ids."""
+        if not text.isascii() and np.frombuffer(text.encode("utf-32-le"), "<u4").max() >= PLAIN_BELOW:
+            return False
+        return not any(x in text for x in self.special) and not (len(text) >= BLANK_RUN and LONG_BLANKS.search(text))
 
     def encode(self, text: str) -> bytes:
-        if self.ranks is None or any(s in text for s in self.special):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return array("I", self.ranks.encode_ordinary(text)).tobytes()
+        if self.ranks is not None and self.plain(text):
+            try:
+                return array("I", self.ranks.encode_ordinary(text)).tobytes()
+            except (KeyboardInterrupt, SystemExit):
+                raise
+            except BaseException:  # a panic of the library is no Exception
+                pass
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+LONG_BLANKS = re.compile(rf"\s{{{BLANK_RUN}}}")
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
@@ -102,11 +135,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
 
 
 def fill(counts: dict[int, int], largest: int, window: int = WINDOW) -> dict[int, int]:
-    """Counts of the lengths that, with one ``largest``, fill a window with the least padding.
+    """Counts of the lengths that, with one ``largest``, come closest to a full window.
 
-    Full windows first, then a power of two (which is not padded), then the fullest.  Lengths are
-    added from the largest to the smallest and their counts by powers of two; bit s of ``reach``
-    says that s tokens can be had, and the bitsets before each step give the counts back.
+    Lengths are added from the largest to the smallest and their counts by powers of two; bit s of
+    ``reach`` says that s tokens can be had, and the bitsets before each step give the counts back.
     """
     room, reach = window - largest, 1
     mask, steps = (1 << (room + 1)) - 1, []
@@ -119,8 +151,7 @@ def fill(counts: dict[int, int], largest: int, window: int = WINDOW) -> dict[int
             left, size = left - n, size * 2
         if reach >> room & 1:
             break
-    powers = [1 << k for k in range(window.bit_length() - 1, 5, -1) if 1 << k >= largest]
-    best = next((p - largest for p in powers if reach >> (p - largest) & 1), reach.bit_length() - 1)
+    best = reach.bit_length() - 1
     used = {largest: 1}
     for length, n, before in reversed(steps):
         if not before >> best & 1:
@@ -155,13 +186,19 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """``pieces`` (see :func:`token_pieces`) with ``sequence_id`` and ``offset`` (both long).
 
     Every piece gets a place; offsets in a sequence are gapless from 0 and no sequence is longer
-    than ``window``.  ``pieces`` must be checkpointed, as it is read more than once.  No pieces
-    give no rows.
+    than ``window``.  Full pieces are sequences of their own, numbered after the planned ones as
+    they lie (ids of sequences are unique, not gapless).  ``pieces`` must be checkpointed, as it is
+    read more than once.  No pieces give no rows.
     """
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # `window` rows at most
+    whole, rest = pieces.where(F.col("length") == window), pieces.where(F.col("length") < window)
+    counts.pop(window, None)
     rows = sorted(plan(counts, window))
+    planned = max((sequence + (end - first) // n for _, first, end, n, _, sequence in rows), default=0)
+    alone = whole.withColumns({"sequence_id": F.monotonically_increasing_id() + planned, "offset": F.lit(0).cast("long")})
     sent = pieces.sparkSession.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, 6))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, max(counts.values(), default=0) // GROUP_PIECES)
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
@@ -179,7 +216,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             new = [sequence + (rank - first) // n, offset + (rank - first) % n * length]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(x, pa.int64()) for x in new)], names=[f.name for f in fields])
 
-    return ranked.mapInArrow(place, T.StructType(fields))
+    return ranked.mapInArrow(place, T.StructType(fields)).unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
