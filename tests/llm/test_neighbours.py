@@ -74,9 +74,9 @@ def test_lists_are_probed_until_k_rows_are_covered():
 
 
 def test_the_share_of_lists_probed_holds_at_any_size():
-    for lists in (200, 1000, 4096):
+    for lists in (400, 1000, 4096):
         assert neighbours.probed_lists(lists) == int(neighbours.PROBE_SHARE * lists)
-    assert neighbours.probed_lists(40) == 24 and neighbours.probed_lists(3) == 3
+    assert neighbours.probed_lists(40) == neighbours.PROBE_LEAST and neighbours.probed_lists(3) == 3
 
 
 def test_a_wide_walk_finds_the_nearest_centroids():

@@ -21,13 +21,15 @@ from pyspark.sql import types as T
 
 from .storage import checkpointed
 
-#: Rows that centroids are fitted on at most; rows of a list aimed at; most lists.
-SAMPLE_ROWS, LIST_ROWS, MAX_LISTS = 20_000, 256, 4096
+#: Rows that centroids are fitted on at most; rows of a list aimed at (each counted once); most lists.
+SAMPLE_ROWS, LIST_ROWS, MAX_LISTS = 20_000, 128, 4096
 #: Boundary vectors: lists a vector is posted to at most, within this ratio of its nearest distance.
-REPLICAS, POST_RATIO = 4, 1.05
+REPLICAS, POST_RATIO = 8, 1.2
 #: Share of the lists that a query may probe, at any size, and the least of them; beyond these, within this ratio
 #: of the distance of the list with which more than k rows are covered.
-PROBE_SHARE, PROBE_LEAST, PROBE_RATIO = 0.22, 24, 1.25
+PROBE_SHARE, PROBE_LEAST, PROBE_RATIO = 0.05, 16, 1.25
+#: Centroids that a walk looks at first.
+ENTRIES = 512
 #: Rows of a posting list, and queries, that one group compares.
 PART_ROWS, QUERY_PART = 4096, 512
 
@@ -45,7 +47,7 @@ class CentroidGraph:
     entries: np.ndarray
 
     @classmethod
-    def of(cls, centroids: np.ndarray, degree: int = 24, entries: int = 32) -> CentroidGraph:
+    def of(cls, centroids: np.ndarray, degree: int = 20, entries: int = ENTRIES) -> CentroidGraph:
         k = len(centroids)
         near = []
         for i in range(0, k, 512):
@@ -60,42 +62,47 @@ class CentroidGraph:
     def nearest(self, vectors: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search: centroid numbers and distances, nearest first, for a batch of vectors.
 
-        The walk of each vector ends when no centroid in its beam is left to be expanded; a wide
-        beam has several expanded at a time.
+        All entries are looked at; from the nearest of them the walk of each vector goes on along
+        the edges until no centroid in its beam is left to be expanded, several at a time.
         """
         n, k = len(vectors), len(self.centroids)
         count = min(count, k)
-        beam = min(k, max(2 * count, 48))
-        step = max(1, beam // 64)
+        beam = min(k, max(2 * count, 24))
+        step = max(4, beam // 16)
         norm = (self.centroids * self.centroids).sum(1)
         own = (vectors * vectors).sum(1)
+        d = np.maximum(own[:, None] - 2 * vectors @ self.centroids[self.entries].T + norm[self.entries], 0)
+        if len(self.entries) == k:  # nothing is left to be walked to
+            some = np.argpartition(d, count - 1, axis=1)[:, :count]
+            d = np.take_along_axis(d, some, 1)
+            order = np.lexsort((some, d), axis=1)
+            return np.take_along_axis(some, order, 1), np.sqrt(np.take_along_axis(d, order, 1))
+        first = np.argpartition(d, min(beam, d.shape[1]) - 1, axis=1)[:, :beam]
         seen = np.zeros((n, k), bool)
-        ids = np.full((n, beam), -1, np.int64)
-        dist = np.full((n, beam), np.inf)
-        done = np.ones((n, beam), bool)
-
-        def add(rows: np.ndarray, new: np.ndarray) -> None:
-            fresh = ~seen[rows[:, None], new]
-            seen[rows[:, None], new] = True
-            d = own[rows][:, None] - 2 * np.einsum("nd,nmd->nm", vectors[rows], self.centroids[new]) + norm[new]
-            d = np.where(fresh, np.maximum(d, 0), np.inf)
-            first = np.ones_like(fresh)  # a centroid twice among the new ones counts once
-            order = np.argsort(new, axis=1, kind="stable")
-            ranked = np.take_along_axis(new, order, 1)
-            np.put_along_axis(first, order[:, 1:], ranked[:, 1:] != ranked[:, :-1], 1)
-            d = np.where(first, d, np.inf)
-            all_d, all_i = np.hstack([dist[rows], d]), np.hstack([ids[rows], new])
-            all_done = np.hstack([done[rows], ~np.isfinite(d)])
-            best = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
-            dist[rows], ids[rows], done[rows] = (np.take_along_axis(x, best, 1) for x in (all_d, all_i, all_done))
-
-        add(np.arange(n), np.broadcast_to(self.entries, (n, len(self.entries))))
+        seen[:, self.entries] = True
+        ids, dist = self.entries[first], np.take_along_axis(d, first, 1)
+        done = np.zeros(ids.shape, bool)
         while len(live := np.flatnonzero(~done.all(1))):
             # The nearest ones not expanded yet; a row with fewer of them expands some again, which adds nothing.
-            at = np.argsort(done[live], axis=1, kind="stable")[:, :step] if step > 1 else np.argmin(done[live], axis=1)[:, None]
+            at = np.argsort(np.where(done[live], np.inf, dist[live]), axis=1, kind="stable")[:, :step]
             done[live[:, None], at] = True
-            add(live, self.edges[ids[live[:, None], at]].reshape(len(live), -1))
-        return ids[:, :count], np.sqrt(dist[:, :count])
+            new = np.sort(self.edges[ids[live[:, None], at]].reshape(len(live), -1), axis=1)
+            fresh = ~seen[live[:, None], new]
+            fresh[:, 1:] &= new[:, 1:] != new[:, :-1]  # a centroid twice among the new ones counts once
+            seen[live[:, None], new] = True
+            row, col = np.nonzero(fresh)
+            found = np.full(new.shape, np.inf)
+            found[row, col] = np.maximum(own[live[row]] - 2 * np.einsum("nd,nd->n", vectors[live[row]], self.centroids[new[row, col]]) + norm[new[row, col]], 0)
+            all_d, all_i = np.hstack([dist[live], found]), np.hstack([ids[live], new])
+            all_done = np.hstack([done[live], ~fresh])
+            best = np.argpartition(all_d, beam - 1, axis=1)[:, :beam] if all_d.shape[1] > beam else np.broadcast_to(np.arange(all_d.shape[1]), all_d.shape)
+            if best.shape[1] > dist.shape[1]:  # fewer entries than the beam has room for
+                pad = best.shape[1] - dist.shape[1]
+                dist, ids = np.pad(dist, ((0, 0), (0, pad)), constant_values=np.inf), np.pad(ids, ((0, 0), (0, pad)))
+                done = np.pad(done, ((0, 0), (0, pad)), constant_values=True)
+            dist[live], ids[live], done[live] = (np.take_along_axis(x, best, 1) for x in (all_d, all_i, all_done))
+        order = np.argsort(dist, axis=1, kind="stable")[:, :count]
+        return np.take_along_axis(ids, order, 1), np.sqrt(np.take_along_axis(dist, order, 1))
 
 
 def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -107,8 +114,7 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 5
     for r in range(rounds):
         label = np.concatenate([squared(sample[i : i + 4096], centroids).argmin(1) for i in range(0, len(sample), 4096)])
         size = np.bincount(label, minlength=lists)
-        total = np.zeros_like(centroids)
-        np.add.at(total, label, sample)
+        total = np.stack([np.bincount(label, sample[:, j], lists) for j in range(sample.shape[1])], axis=1)
         centroids = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centroids)
         if r + 1 < rounds:  # balance
             mean = len(sample) / lists
@@ -184,8 +190,10 @@ def search(
     Rows that repeat an id count once (the least vector).  An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    own = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), is_query.alias("q")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    own = own.groupBy("vec_id").agg(F.min(F.struct("v", "q")).alias("x")).select("vec_id", "x.v", "x.q")
+    element = vectors.schema[embedding].dataType.elementType
+    kept = F.col(embedding) if isinstance(element, T.FloatType) else F.col(embedding).cast("array<double>")
+    own = vectors.select(F.col(vec_id).alias("vec_id"), kept.alias("v"), is_query.alias("q")).where(usable(F.col("v").cast("array<double>")) & F.col("vec_id").isNotNull())
+    own = checkpointed(own.groupBy("vec_id").agg(F.min(F.struct("v", "q")).alias("x")).select("vec_id", "x.v", "x.q"))
     sizes = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
     id_type = own.schema["vec_id"].dataType
     result = T.StructType([T.StructField("query_id", id_type), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", id_type), T.StructField("score", T.DoubleType())])
@@ -194,8 +202,8 @@ def search(
     dimension, n = sizes[0].d, sizes[0].n
     own = own.where(F.size("v") == dimension)
     lists = min(MAX_LISTS, max(1, -(-n // list_rows)))
-    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(min(SAMPLE_ROWS, n)).collect()
-    graph = CentroidGraph.of(fit_centroids(np.array([r.v for r in sample]), lists))
+    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(min(SAMPLE_ROWS, n)).toArrow()
+    graph = CentroidGraph.of(fit_centroids(_matrix(sample.column("v").combine_chunks(), dimension), lists))
     lists = len(graph.centroids)
     probes = probed_lists(lists, probe_share)
     sent = spark.sparkContext.broadcast(graph)  # MAX_LISTS centroids at most
@@ -248,19 +256,25 @@ def search(
             by_id = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
             x, ids = x[by_id], ids.take(pa.array(by_id))
             names, own_names = ids.to_numpy(zero_copy_only=False), asks.to_numpy(zero_copy_only=False)
-            for i in range(len(y)):
-                delta = x - y[i]
-                d = np.sqrt((delta * delta).sum(1))
-                d[names == own_names[i]] = np.inf
-                some = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-                limit = d[some].max()
-                some = np.flatnonzero(d <= limit) if np.isfinite(limit) else np.flatnonzero(np.isfinite(d))
-                best = some[np.argsort(d[some], kind="stable")[:k]]
-                columns[0].append(np.full(len(best), i))
-                columns[1].append(best)
-                columns[2].append(d[best])
+            norm = (x * x).sum(1)
+            for j in range(0, len(y), 64):
+                asked = y[j : j + 64]
+                near = norm - 2 * asked @ x.T + (asked * asked).sum(1)[:, None]
+                near[names == own_names[j : j + 64][:, None]] = np.inf
+                # Rounding of these squares is far below the slack; whatever may be among the nearest is measured exactly.
+                slack = 1e-9 * (norm.max() + (asked * asked).sum(1))
+                limit = np.partition(near, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(asked), np.finfo(float).max)
+                for i, some in enumerate(near <= (limit + slack)[:, None]):
+                    some = np.flatnonzero(some & np.isfinite(near[i]))
+                    delta = x[some] - asked[i]
+                    d = np.sqrt((delta * delta).sum(1))
+                    best = np.argsort(d, kind="stable")[:k]
+                    columns[0].append(np.full(len(best), i + j))
+                    columns[1].append(some[best])
+                    columns[2].append(d[best])
         if not columns[0]:
-            return pa.table({"query_id": pa.array([], left.schema.field("vec_id").type), "vec_id": pa.array([], left.schema.field("vec_id").type), "score": pa.array([], pa.float64())})
+            none = pa.array([], left.schema.field("vec_id").type)
+            return pa.table({"query_id": none, "vec_id": none, "score": pa.array([], pa.float64())})
         row, best, score = (np.concatenate(c) for c in columns)
         return pa.table({"query_id": asks.take(pa.array(row)), "vec_id": ids.take(pa.array(best)), "score": pa.array(score, pa.float64())})
 
