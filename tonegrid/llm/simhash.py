@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from .blocks import append_columns, set_aside
 from .components import components
+from .skew import hot_limit, joined
 from .storage import checkpointed
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -94,12 +95,15 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, hot_bucket: int) -> DataFra
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = with_fingerprint(own.withColumn("text_hash", F.xxhash64("text")), "text").select("doc_id", "text_hash", "fp")
     rows = checkpointed(rows)
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")))
+    number = classes.agg(F.sum("rows").alias("rows"), F.count("*").alias("classes")).first()
     roots = components(links(classes.select("fp"), hot_bucket))
-    rooted = classes.join(roots, classes.fp == roots.node).select("fp", "root", "least_id")
-    linked = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("linked_id")), "root").select("fp", "root", "linked_id")
-    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("linked_id", "least_id").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+    rooted = classes.drop("rows").join(roots.withColumnRenamed("node", "fp"), "fp")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("linked_id"), F.count("*").alias("members"))
+    linked = joined(rooted.select("fp", "root"), least, "root", "members", hot_limit(number.classes))
+    ids = classes.join(linked, "fp", "left").select("fp", "rows", F.coalesce("root", "fp").alias("root"), F.coalesce("linked_id", "least_id").alias("component_id"))
+    # Equal texts may be a third of all rows; a fingerprint's row count is known.
+    return joined(rows, checkpointed(ids), "fp", "rows", hot_limit(number.rows or 0)).select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -125,9 +129,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = _rooted(docs, doc_id, text, HOT_BUCKET).withColumn("root", F.coalesce("component_id", "root"))
     rank = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")
     first = found.groupBy(F.col("component_id").isNull(), "root").agg(F.min(rank).alias("kept")).select("kept.doc_id", "kept.text_hash").distinct()
-    keep = first.toDF("kept_id", "kept_hash")
-    aside = set_aside(docs, ["kept_id", "kept_hash"])
+    # Null-safe keys as plain columns of both sides, so that the join's exchange of whole rows serves the
+    # aggregation too.
+    keys = ["kept_id", "kept_void", "kept_hash"]
+    keyed = lambda df, own, digest: df.withColumns(dict(zip(keys, (F.coalesce(own.cast("string"), F.lit("")), own.isNull(), digest), strict=True)))
+    aside = set_aside(docs, keys)
     mine = docs.withColumnsRenamed(aside)
-    same = mine[f"`{aside.get(doc_id, doc_id)}`"].eqNullSafe(keep.kept_id) & (F.xxhash64(mine[f"`{aside.get(text, text)}`"]) == keep.kept_hash)
-    one = mine.join(keep, same).dropDuplicates(["kept_id", "kept_hash"]).drop("kept_id", "kept_hash")
+    mine = keyed(mine, F.col(f"`{aside.get(doc_id, doc_id)}`"), F.coalesce(F.xxhash64(F.col(f"`{aside.get(text, text)}`")), F.lit(0)))
+    keep = keyed(first, F.col("doc_id"), F.coalesce("text_hash", F.lit(0))).select(*keys)
+    one = mine.join(keep, keys).dropDuplicates(keys).drop(*keys)
     return one.withColumnsRenamed({b: a for a, b in aside.items()}).select([f"`{c}`" for c in docs.columns])
