@@ -30,15 +30,15 @@ def _quoted(words: list[str]) -> str:
 
 
 def _licenses() -> str:
-    parts = []
-    for t in licenses.TEMPLATES:
-        n, shift = len(t.phrase_words), t.offset
-        starts = f"list_filter(range(1, len(w) - {n} + 2), lambda p: w[p : p + {n - 1}] = {_quoted(t.phrase_words)})"
-        share = f"len(list_filter(range(0, {len(t.words)}), lambda i: coalesce(CASE WHEN p - {shift} + i >= 1 THEN w[p - {shift} + i] END, '') = {_quoted(t.words)}[i + 1])) / CAST({len(t.words)} AS DOUBLE)"
-        parts.append(f"SELECT doc_id, '{t.label}' AS label, {str(t.base).lower()} AS base, p - 1 - {shift} AS start, {share} AS share FROM (SELECT doc_id, w, unnest({starts}) AS p FROM d)")
+    rows = ", ".join(f"({k}, '{t.label}', {str(t.base).lower()}, {t.offset}, {_quoted(t.phrase_words)}, {_quoted(t.words)})" for k, t in enumerate(licenses.TEMPLATES))
+    firsts = _quoted(sorted({t.phrase_words[0] for t in licenses.TEMPLATES}))
     return f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
-m AS ({" UNION ALL ".join(parts)}),
+t(k, label, base, shift, phrase, notice) AS (VALUES {rows}),
+places AS (SELECT doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains({firsts}, w[i]))) AS p FROM d),
+m AS (SELECT doc_id, label, base, p - 1 - shift AS start,
+  len(list_filter(range(0, len(notice)), lambda i: coalesce(CASE WHEN p - shift + i >= 1 THEN w[p - shift + i] END, '') = notice[i + 1])) / CAST(len(notice) AS DOUBLE) AS share
+  FROM places JOIN t ON w[p] = phrase[1] AND w[p : p + len(phrase) - 1] = phrase),
 g AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM m GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
