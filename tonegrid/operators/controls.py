@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TokenizerConfig
-from ..functions import token
+from ..functions import literal_array, token
 
 # Note lengths by name, in quarter notes.
 LENGTHS = (("Whole", 4.0), ("Half", 2.0), ("Quarter", 1.0), ("Eight", 0.5), ("Sixteenth", 0.25), ("ThirtySecond", 0.125))
@@ -105,9 +105,11 @@ def track_repetition(notes: DataFrame, bars: DataFrame, c: TokenizerConfig) -> D
     placed = with_bar(cells, bars).withColumn("place", F.col("time") - F.col("bar_tick")).drop("bar_tick", "time")
     filled = placed.groupBy(*TRACK, "bar").agg(F.count("*").alias("cells"))
     reach = c.ac_repetition_track_num_consec_bars
-    other = placed.select(*TRACK, "pitch", "kind", "place", F.col("bar").alias("other"))
-    near = (F.col("other") > F.col("bar")) & (F.col("other") < F.col("bar") + reach)
-    shared = placed.join(other, [*TRACK, "pitch", "kind", "place"]).where(near).groupBy(*TRACK, "bar", "other").agg(F.count("*").alias("shared"))
+    # The bar ahead is part of the key, so that cells of a place that many bars fill meet only those near.
+    ahead_of = F.explode(F.sequence(F.col("bar") + 1, F.col("bar") + reach - 1)).alias("other")
+    wanted = placed.select(*TRACK, "pitch", "kind", "place", "bar", ahead_of)
+    second_bar = placed.select(*TRACK, "pitch", "kind", "place", F.col("bar").alias("other"))
+    shared = wanted.join(second_bar, [*TRACK, "pitch", "kind", "place", "other"]).groupBy(*TRACK, "bar", "other").agg(F.count("*").alias("shared"))
     lengths = spans.select("score_id", F.col("n").alias("bar"), "length")
     ahead = filled.join(lengths, ["score_id", "bar"]).where("length is not null")
     pairs = ahead.withColumn("other", F.explode(F.sequence(F.col("bar") + 1, F.col("bar") + reach - 1)))
@@ -115,7 +117,8 @@ def track_repetition(notes: DataFrame, bars: DataFrame, c: TokenizerConfig) -> D
     pairs = pairs.join(second, ["score_id", "other"]).where("other_length = length")
     alike = pairs.join(shared, [*TRACK, "bar", "other"], "left").groupBy(*TRACK).agg(F.avg(F.coalesce("shared", F.lit(0)) / F.col("cells")).alias("mean"))
     bins = [float(b) for b in np.linspace(0, 1, c.ac_repetition_track_num_bins)]
-    best = reduce(lambda a, b: F.when(F.abs(F.lit(b) - F.col("mean")) < F.abs(a - F.col("mean")), F.lit(b)).otherwise(a), bins[1:], F.lit(bins[0]))
+    far = F.transform(literal_array(bins, "double"), lambda b: F.struct(F.abs(b - F.col("mean")).alias("far"), b.alias("bin")))
+    best = F.array_min(far).getField("bin")  # of two as near the lower
     return _out(alike, None, token("ACTrackRepetition", F.format_string("%.2f", best)))
 
 
