@@ -195,6 +195,32 @@ def no_errors(sql: str) -> str:
     return f"SELECT score_id, CAST(sum(1) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_errors FROM ({sql}) GROUP BY score_id"
 
 
+def errors_broken(sql: str, legal: str, on_off: bool = False) -> str:
+    """Errors of sequences with missing and repeated tokens; ``legal`` lists which type may follow which."""
+    pairs = ", ".join(f"'{a}>{b}'" for group in legal.split() for a, ends in [group.split(">")] for b in ends.split(","))
+    so_far = "OVER (PARTITION BY score_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    judged = f"""WITH toks AS ({sql}),
+once AS (SELECT score_id, pos, token, unnest(range(CASE WHEN pos % 31 = 5 THEN 2 ELSE 1 END)) AS copy FROM toks WHERE pos % 23 <> 7),
+damaged AS (SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY pos, copy) AS pos, token, split_part(token, '_', 1) AS type, try_cast(substr(token, instr(token, '_') + 1) AS INT) AS value FROM once),
+seen AS (SELECT *, lag(type) OVER (PARTITION BY score_id ORDER BY pos) AS prev,
+  coalesce(last_value(CASE WHEN type = 'Program' THEN value END IGNORE NULLS) {so_far}, 0) AS program FROM damaged),
+judged AS (SELECT *, prev IS NOT NULL AND NOT list_contains([{pairs}], prev || '>' || type) AS bad_type FROM seen)"""
+    if on_off:  # an off without an open note takes the balance of its pitch to a new low
+        return f"""{judged}, steps AS (SELECT *, sum(CASE WHEN type IN ('NoteOn', 'DrumOn') THEN 1 ELSE -1 END)
+  OVER (PARTITION BY score_id, program, value ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance FROM judged WHERE type IN ('NoteOn', 'DrumOn', 'NoteOff', 'DrumOff')),
+lows AS (SELECT score_id, sum(n) AS n FROM (SELECT score_id, greatest(0, -min(balance)) AS n FROM steps GROUP BY score_id, program, value) GROUP BY score_id),
+whole AS (SELECT score_id, count(*) AS n_tokens, sum(CASE WHEN bad_type THEN 1 ELSE 0 END) AS n_type FROM judged GROUP BY score_id)
+SELECT score_id, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_type AS BIGINT) AS n_type, CAST(n AS BIGINT) AS n_note, CAST(0 AS BIGINT) AS n_time FROM whole JOIN lows USING (score_id)"""
+    return f"""{judged}, spans AS (SELECT *, sum(CASE WHEN NOT bad_type AND type IN ('TimeShift', 'Position', 'Bar') THEN 1 ELSE 0 END) {so_far} AS resets,
+  sum(CASE WHEN NOT bad_type AND type = 'Bar' THEN 1 ELSE 0 END) {so_far} AS bars,
+  CASE WHEN NOT bad_type AND type IN ('Pitch', 'PitchDrum') THEN value END AS heard, CASE WHEN NOT bad_type AND type = 'Position' THEN value END AS place FROM judged),
+marked AS (SELECT *, heard IS NOT NULL AND row_number() OVER (PARTITION BY score_id, resets, program, heard ORDER BY pos) > 1 AS bad_note,
+  last_value(place IGNORE NULLS) OVER (PARTITION BY score_id, bars ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM spans)
+SELECT score_id, count(*) AS n_tokens, CAST(sum(CASE WHEN bad_type THEN 1 ELSE 0 END) AS BIGINT) AS n_type, CAST(sum(CASE WHEN bad_note THEN 1 ELSE 0 END) AS BIGINT) AS n_note,
+  CAST(sum(CASE WHEN place <= coalesce(last, -1) AND prev IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_time FROM marked GROUP BY score_id"""
+
+
+NOTE_CHAIN = "Program>Pitch,PitchDrum Pitch>Velocity PitchDrum>Velocity Velocity>Duration"
 LAST_BAR = "lasts AS (SELECT score_id, (greatest(max(time), 1) - 1) // 32 AS last FROM notes GROUP BY score_id)"
 BARRED = f"{NOTES}, {LAST_BAR}, barred AS (SELECT n.*, least(time // 32, last) AS bar FROM notes n JOIN lasts USING (score_id))"
 DENSITY = f"""{BARRED}, k AS (SELECT score_id, track_idx, bar, count(*) AS n FROM barred GROUP BY score_id, track_idx, bar)
@@ -303,5 +329,14 @@ SELECT score_id, program, time, stop - time AS duration, pitch, velocity FROM on
 SELECT score_id, program, CAST(sum({NEAREST}) OVER (PARTITION BY score_id ORDER BY rn) AS BIGINT) AS time, duration, pitch, velocity FROM a""",
         "mmm_errors": no_errors(f"SELECT * FROM ({MMM}) WHERE token NOT LIKE 'Track_%'"),
     }
+    out |= {
+        "tsd_errors_broken": errors_broken(TSD, f"{NOTE_CHAIN} Duration>Program,TimeShift TimeShift>Program,TimeShift"),
+        "remi_errors_broken": errors_broken(REMI, f"{NOTE_CHAIN} Duration>Program,Bar,Position Position>Program Bar>Bar,Position"),
+        "midilike_errors_broken": errors_broken(
+            MIDILIKE,
+            "Program>NoteOn,DrumOn,NoteOff,DrumOff NoteOn>Velocity DrumOn>Velocity Velocity>Program,TimeShift NoteOff>NoteOff,DrumOff,Program,TimeShift DrumOff>NoteOff,DrumOff,Program,TimeShift TimeShift>Program,TimeShift",
+            on_off=True,
+        ),
+    }
     out |= {"mmm_decoded": rows(NOTES), "tsd_decoded_rests": rows(NOTES), "tsd_decoded_intervals": rows(NOTES), "structured_errors": no_errors(STRUCTURED), "midilike_errors": no_errors(MIDILIKE)}
     return out

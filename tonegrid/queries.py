@@ -65,6 +65,23 @@ def _errors(name: str, **changes) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def broken(tokens: DataFrame) -> DataFrame:
+    """Token sequences with tokens missing and tokens said twice, by their places alone."""
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("pos") % 31 == 5, 1).otherwise(0))).alias("copy")
+    rows = tokens.where(F.col("pos") % 23 != 7).select("score_id", "seq_idx", "pos", "token", copies)
+    order = Window.partitionBy("score_id", "seq_idx").orderBy("pos", "copy")
+    return rows.select("score_id", "seq_idx", (F.row_number().over(order) - 1).cast("long").alias("pos"), "token")
+
+
+def _errors_broken(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, out = encoded(name, spark, sf_dir)
+        count = lambda column, alias: F.sum(F.col(column).cast("long")).alias(alias)
+        return t.errors(broken(out)).groupBy("score_id").agg(F.count("*").alias("n_tokens"), count("bad_type", "n_type"), count("bad_note", "n_note"), count("bad_time", "n_time"))
+
+    return query
+
+
 def notes_pitch_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir).notes.where(scores.in_pitch_range(CONFIG)).select(*NOTE)
 
@@ -292,6 +309,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[f"{name.lower()}_tokens"] = _tokens(name)
         out[f"{name.lower()}_decoded"] = _decoded(name)
         out[f"{name.lower()}_errors"] = _errors(name)
+    for name in ("TSD", "REMI", "MIDILike"):
+        out[f"{name.lower()}_errors_broken"] = _errors_broken(name)
     out["tsd_tokens_rests"] = _tokens("TSD", **RESTS)
     out["tsd_decoded_rests"] = _decoded("TSD", **RESTS)
     out["remi_tokens_rests"] = _tokens("REMI", **RESTS)
