@@ -191,6 +191,34 @@ REPEATED = f"""{notes(dedup=False)}, a AS (SELECT score_id, row_number() OVER (P
 SELECT score_id, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_errors FROM a GROUP BY score_id"""
 
 
+# Every score of the fixtures has a signature in eighths, so 16 ticks a quarter; each moves to the next bar line of the one before.
+ALIGNED = f"""{SIGNATURES}, s AS (SELECT *, time // 30 AS t, 64 // den * num AS bar FROM signatures_raw),
+wide AS (SELECT score_id, {", ".join(f"max(CASE WHEN seq = {k} THEN {c} END) AS {c}{k}" for k in range(4) for c in ("t", "bar", "num", "den"))} FROM s GROUP BY score_id),
+one AS (SELECT *, t0 AS x0, t0 + (t1 - t0 + bar0 - 1) // bar0 * bar0 AS x1 FROM wide),
+two AS (SELECT *, x1 + (t2 - x1 + bar1 - 1) // bar1 * bar1 AS x2 FROM one),
+aligned AS (SELECT *, x2 + (t3 - x2 + bar2 - 1) // bar2 * bar2 AS x3 FROM two)"""
+SIGNATURES_ALIGNED = f"""WITH {ALIGNED} SELECT score_id, CAST(k AS INT) AS seq, CAST([x0, x1, x2, x3][k + 1] AS BIGINT) AS time,
+  CAST([num0, num1, num2, num3][k + 1] AS INT) AS num, CAST([den0, den1, den2, den3][k + 1] AS INT) AS den FROM aligned CROSS JOIN {FOUR}"""
+
+
+def in_section(column: str, time: str) -> str:
+    """The value that a column of ``aligned`` has for the section of a tick."""
+    return f"(CASE WHEN {time} >= x3 THEN {column}3 WHEN {time} >= x2 THEN {column}2 WHEN {time} >= x1 THEN {column}1 ELSE {column}0 END)"
+
+
+def at_sixteen(x: str) -> str:
+    return f"CAST(round_even({x} / CAST(30 AS DOUBLE), 0) AS BIGINT)"
+
+
+FINE = "CASE WHEN ticks >= 192 THEN 192 WHEN ticks > 64 THEN (ticks + 2) // 4 * 4 ELSE ticks + ticks % 2 END"
+PREPARED_SIGNATURES = f"""WITH {RAW}, {ALIGNED},
+placed AS (SELECT n.score_id, track_idx, program, {at_sixteen("time")} AS t, greatest({at_sixteen("duration")}, 1) AS ticks, pitch, {VELOCITY} AS velocity FROM notes_raw n WHERE {IN_RANGE}),
+gridded AS (SELECT p.*, a.*, CASE WHEN {in_section("den", "t")} = 4 THEN CAST(round_even(t / CAST(2 AS DOUBLE), 0) AS BIGINT) * 2 ELSE t END AS at_tick
+  FROM placed p JOIN (SELECT score_id AS of_score, x1, x2, x3, den0, den1, den2, den3 FROM aligned) a ON p.score_id = a.of_score),
+lasting AS (SELECT score_id, track_idx, program, at_tick AS time, CASE WHEN {in_section("den", "at_tick")} = 4 THEN {FINE} ELSE {SNAP} END AS duration, pitch, velocity FROM gridded)
+SELECT {ROWS} FROM lasting QUALIFY row_number() OVER (PARTITION BY score_id, track_idx, time, pitch ORDER BY duration, velocity) = 1"""
+
+
 def no_errors(sql: str) -> str:
     return f"SELECT score_id, CAST(sum(1) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_errors FROM ({sql}) GROUP BY score_id"
 
@@ -280,6 +308,8 @@ SELECT score_id, CAST(min(track_idx) AS INT) AS track_idx, program, count(*) AS
         "signatures_supported": f"WITH {SIGNATURES} SELECT score_id, time, num, den FROM signatures_raw WHERE den = 4 AND num IN (3, 4)",
         "signatures_default": f"""WITH {SIGNATURES}, late AS (SELECT * FROM signatures_raw WHERE NOT (time = 0 AND num = 3))
 SELECT score_id, time, num, den FROM late UNION ALL SELECT s_suppkey, 0, 4, 4 FROM supplier WHERE s_suppkey NOT IN (SELECT score_id FROM late WHERE time = 0)""",
+        "signatures_aligned": SIGNATURES_ALIGNED,
+        "notes_prepared_signatures": PREPARED_SIGNATURES,
         "bars_ticks": ticks(32),
         "beats_ticks": ticks(8),
         "notes_bar_position": f"{NOTES} SELECT score_id, program, time, pitch, time // 32 AS bar, time % 32 AS position FROM notes",
