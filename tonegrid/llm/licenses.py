@@ -123,19 +123,27 @@ def literal(values: object, kind: str) -> Column:
     return F.expr(f"from_json('{text}', '{kind}')")
 
 
+def split_words(text: str) -> Column:
+    """Column: lower-cased words of the whole text (none for null), an empty string before or after them where it has separators there."""
+    return F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), SEPARATORS)
+
+
 def words(text: str) -> Column:
-    """Column: lower-cased words of the whole text; none for null.  Only the first and last part of a split can be empty."""
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    parts = F.split(lowered, SEPARATORS)
-    first = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
-    last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.slice(parts, first + 1, F.size(parts) - first - last)
+    """Column: :func:`split_words` without the empty strings."""
+
+    def inner(parts: Column) -> Column:
+        first = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
+        last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+        return F.slice(parts, first + 1, F.size(parts) - first - last)
+
+    # The lambda names the split, which is costly, so that it is computed once.
+    return F.get(F.transform(F.array(split_words(text)), inner), F.lit(0))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text", templates: list[Template] = TEMPLATES) -> dict[str, int]:
     """In how many documents each phrase word occurs, over all documents."""
     vocabulary = sorted({w for t in templates for w in t.phrase_words})
-    found = docs.select(F.array_intersect(words(text), literal(vocabulary, "array<string>")).alias("w")).where(F.size("w") > 0)
+    found = docs.select(F.array_distinct(F.filter(split_words(text), lambda w: w.isin(vocabulary))).alias("w"))
     counts = dict.fromkeys(vocabulary, 0)
     # One row at most for each word of the vocabulary.
     return counts | {r.word: r["count"] for r in found.select(F.explode("w").alias("word")).groupBy("word").count().collect()}
