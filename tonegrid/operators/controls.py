@@ -6,6 +6,8 @@ Inputs are the notes of preprocessed scores and the bar ticks of :func:`.scores.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -122,18 +124,75 @@ def track_repetition(notes: DataFrame, bars: DataFrame, c: TokenizerConfig) -> D
     return _out(alike, None, token("ACTrackRepetition", F.format_string("%.2f", best)))
 
 
+@dataclass(frozen=True)
+class Control:
+    """A descriptor: ``names`` are the tokens it can make, in the order in which they stand for one bar.
+
+    ``rows`` makes (score_id, track_idx, bar, token) from notes with their bar, bar ticks and the
+    configuration.  A control ``of_bars`` stands at the start of each bar asked for, any other at
+    the start of its track.  Own ones are used like those that a configuration switches on.
+    """
+
+    names: tuple[str, ...]
+    rows: Callable[[DataFrame, DataFrame, TokenizerConfig], DataFrame]
+    of_bars: bool = True
+
+
+def _numbered(name: str, values: Iterable) -> list[str]:
+    return [f"{name}_{v}" for v in values]
+
+
+def available(c: TokenizerConfig) -> tuple[Control, ...]:
+    """The controls that a configuration switches on; a request names them by their place here."""
+    heard = range(c.ac_polyphony_min, c.ac_polyphony_max + 1)
+    most, track_most = c.ac_note_density_bar_max, c.ac_note_density_track_max
+    dense = [*range(c.ac_note_density_track_min, track_most), f"{track_most}+"]
+    ends = lambda name, values: tuple(f"{name}{end}_{v}" for v in values for end in ("Min", "Max"))
+    told = lambda name: tuple(f"{name}{n}_{yes}" for n, _ in LENGTHS for yes in (0, 1))
+    alike = tuple(f"ACTrackRepetition_{b:.2f}" for b in np.linspace(0, 1, c.ac_repetition_track_num_bins))
+    every = [
+        (c.ac_polyphony_track, Control(ends("ACTrackOnsetPolyphony", heard), lambda n, b, c: track_polyphony(n, c), of_bars=False)),
+        (c.ac_polyphony_bar, Control(ends("ACBarOnsetPolyphony", heard), lambda n, b, c: bar_polyphony(n, c))),
+        (c.ac_pitch_class_bar, Control(tuple(_numbered("ACBarPitchClass", range(12))), lambda n, b, c: bar_pitch_class(n, c))),
+        (c.ac_note_density_track, Control(ends("ACTrackNoteDensity", dense), track_density, of_bars=False)),
+        (c.ac_note_density_bar, Control(tuple(_numbered("ACBarNoteDensity", [*range(most), f"{most}+"])), lambda n, b, c: bar_density(n, c))),
+        (c.ac_note_duration_bar, Control(told("ACBarNoteDuration"), lambda n, b, c: bar_durations(n, c))),
+        (c.ac_note_duration_track, Control(told("ACTrackNoteDuration"), lambda n, b, c: track_durations(n, c), of_bars=False)),
+        (c.ac_repetition_track, Control(alike, lambda n, b, c: track_repetition(n.drop("bar", "bar_tick"), b, c), of_bars=False)),
+    ]
+    return tuple(control for on, control in every if on)
+
+
 def controls(notes: DataFrame, bars: DataFrame, c: TokenizerConfig) -> DataFrame:
     """All descriptors that the configuration switches on."""
     rows = with_bar(notes, bars)
-    parts = [
-        (c.ac_note_density_bar, lambda: bar_density(rows, c)),
-        (c.ac_polyphony_bar, lambda: bar_polyphony(rows, c)),
-        (c.ac_pitch_class_bar, lambda: bar_pitch_class(rows, c)),
-        (c.ac_note_duration_bar, lambda: bar_durations(rows, c)),
-        (c.ac_polyphony_track, lambda: track_polyphony(notes, c)),
-        (c.ac_note_density_track, lambda: track_density(rows, bars, c)),
-        (c.ac_note_duration_track, lambda: track_durations(notes, c)),
-        (c.ac_repetition_track, lambda: track_repetition(notes, bars, c)),
-    ]
-    made = [f() for on, f in parts if on]
+    made = [control.rows(rows, bars, c) for control in available(c)]
     return reduce(DataFrame.unionByName, made) if made else rows.select(*TRACK, "bar", F.lit("").alias("token")).limit(0)
+
+
+def asked_of_all(notes: DataFrame, bars: dict[int, list[int] | None]) -> DataFrame:
+    """A request, (score_id, track_idx, control, bars), for the same controls and bars of every track; no list: all bars."""
+    one = [F.struct(F.lit(i).alias("control"), (F.lit(None) if b is None else literal_array(list(b), "bigint")).cast("array<bigint>").alias("bars")) for i, b in bars.items()]
+    return notes.select(*TRACK).distinct().select(*TRACK, F.explode(F.array(*one)).alias("r")).select(*TRACK, "r.control", "r.bars")
+
+
+def requested(notes: DataFrame, bars: DataFrame, request: DataFrame, controls: tuple[Control, ...], c: TokenizerConfig) -> DataFrame:
+    """(score_id, track_idx, tick, control, place, token): what a request asks for.
+
+    ``tick`` is the start of the bar, null for a whole track.  A bar asked for also describes the
+    notes since the one asked for before it, as is usual for these tokens; bars without such notes
+    and bars past a track's last note give none.
+    """
+    rows = with_bar(notes, bars).withColumn("last", F.max("bar").over(Window.partitionBy(*TRACK)))
+    starts = bars.select("score_id", F.col("n").alias("bar"), "tick")
+    made = []
+    for i, control in enumerate(controls):
+        own = rows.join(request.where(F.col("control") == i).select(*TRACK, "bars"), TRACK)
+        if control.of_bars:
+            near = F.array_min(F.filter("bars", lambda b: (b >= F.col("bar")) & (b <= F.col("last"))))
+            own = own.withColumn("bar", F.when(F.col("bars").isNull(), F.col("bar")).otherwise(near)).where("bar is not null")
+        out = control.rows(own.drop("bars", "last"), bars, c)
+        place = F.array_position(literal_array(list(control.names), "string"), F.col("token")).cast("int")
+        out = out.join(starts, ["score_id", "bar"]) if control.of_bars else out.withColumn("tick", F.lit(None).cast("long"))
+        made.append(out.select(*TRACK, "tick", F.lit(i).alias("control"), place.alias("place"), "token"))
+    return reduce(DataFrame.unionByName, made)

@@ -3,7 +3,7 @@
 An event is (score_id, seq_idx, time, cls, track, src, seq, sub, type, value, program, note_end).
 ``seq_idx`` is the token stream: 0 for all with one stream per score, else the track's number.
 Within a stream events are ordered by (time, cls, track, src, seq, sub): global events have track
--1; ``src`` is 0 time signature, 1 tempo, 3 pedal, 4 bend, 5 chord, 6 note; ``seq`` numbers the
+-1; ``src`` is 0 time signature, 1 tempo, 2 attribute control, 3 pedal, 4 bend, 5 chord, 6 note; ``seq`` numbers the
 rows of a source, ``sub`` the events of a row.
 """
 
@@ -120,6 +120,17 @@ def chord_events(tables: ScoreTables, c: TokenizerConfig) -> DataFrame:
     return _exploded(rows, 5, [(inline, _event(0, "Program", F.col("program"))), (True, _event(1, "Chord", F.col("chord")))])
 
 
+def control_events(rows: DataFrame, tables: ScoreTables) -> DataFrame:
+    """Attribute controls of :func:`.controls.requested`: those of a track before all else, those of a bar at its start."""
+    programs = tables.notes.select("score_id", "track_idx", "program").distinct()
+    rows = rows.join(programs, ["score_id", "track_idx"])
+    cut = F.expr("locate('_', token)")
+    values = {"time": F.coalesce("tick", F.lit(0).cast("long")), "cls": F.when(F.col("tick").isNull(), -1).otherwise(10), "track": F.col("track_idx"), "src": F.lit(2), "seq": F.col("control").cast("long")}
+    values |= {"sub": F.col("place"), "type": F.expr("substr(token, 1, locate('_', token) - 1)"), "value": F.col("token").substr(cut + 1, F.length("token"))}
+    values |= {"program": F.col("program").cast("int"), "note_end": F.lit(None).cast("long")}
+    return rows.select("score_id", *(v.alias(n) for n, v in values.items()))
+
+
 def global_events(tables: ScoreTables, c: TokenizerConfig) -> DataFrame | None:
     """Time signatures, then tempos (one set per score)."""
     out = None
@@ -133,9 +144,11 @@ def global_events(tables: ScoreTables, c: TokenizerConfig) -> DataFrame | None:
     return out
 
 
-def events(tables: ScoreTables, c: TokenizerConfig, note_on_off: bool = False) -> DataFrame:
-    """All events of preprocessed scores, per stream (see the module's text)."""
+def events(tables: ScoreTables, c: TokenizerConfig, note_on_off: bool = False, controls: DataFrame | None = None) -> DataFrame:
+    """All events of preprocessed scores, per stream (see the module's text), with attribute controls if given."""
     tracks = note_events(tables, c, note_on_off)
+    if controls is not None:
+        tracks = tracks.unionByName(control_events(controls, tables))
     if c.use_sustain_pedals and tables.pedals is not None:
         tracks = tracks.unionByName(pedal_events(tables, c))
     if c.use_pitch_bends and tables.pitch_bends is not None:
@@ -152,7 +165,7 @@ def events(tables: ScoreTables, c: TokenizerConfig, note_on_off: bool = False) -
             streams = rows.select("score_id", "seq_idx").distinct()
             rows = rows.unionByName(shared.join(streams, "score_id"))
     if not (note_on_off and c.use_chords):
-        rows = rows.withColumn("cls", F.lit(0))
+        rows = rows.withColumn("cls", F.lit(0) if controls is None else F.least("cls", F.lit(0)))
     if c.program_changes and c.one_token_stream_for_programs:
         rows = with_program_changes(rows)
     return rows.select(*SCHEMA)
@@ -165,7 +178,7 @@ def with_program_changes(rows: DataFrame) -> DataFrame:
     """
     w = stream_order()
     pedal_length = (F.col("type") == "Duration") & (F.lag("type").over(w) == "Pedal")
-    counts = ~F.col("type").isin("TimeSig", "Tempo", "Pedal", "PedalOff") & ~F.coalesce(pedal_length, F.lit(False))
+    counts = ~F.col("type").startswith("AC") & ~F.col("type").isin("TimeSig", "Tempo", "Pedal", "PedalOff") & ~F.coalesce(pedal_length, F.lit(False))
     rows = rows.withColumn("counted", F.when(counts, F.col("program")))
     last = F.last_value("counted", ignoreNulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("changes", F.coalesce(F.col("counted") != F.coalesce(last, F.lit(-2)), F.lit(False))).drop("counted")

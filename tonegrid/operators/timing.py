@@ -116,11 +116,12 @@ def structured(events: DataFrame, tables: ScoreTables, c: TokenizerConfig) -> Da
     return laid_out(rows, F.when(opens, F.array(nearest_shift(F.col("gap"), Grids(c)))).otherwise(F.expr(NO_TOKENS)))
 
 
-def remi(events: DataFrame, tables: ScoreTables, c: TokenizerConfig) -> DataFrame:
+def remi(events: DataFrame, tables: ScoreTables, c: TokenizerConfig, controlled: bool = False) -> DataFrame:
     """Rests, new bars (with their signature) and a position before every event at a new tick.
 
     Bars that a rest runs into are not written; a time signature stands for the position of its
-    tick, and the next event has one of its own.
+    tick, and the next event has one of its own.  In ``controlled`` streams controls of the track
+    come before the first bar, and those of a bar between its start and the first position.
     """
     g, params = Grids(c), c.additional_params
     rows = timed(events, tables, c)
@@ -129,8 +130,14 @@ def remi(events: DataFrame, tables: ScoreTables, c: TokenizerConfig) -> DataFram
     # A bar line after the last section's start: bars of the old section up to the signature's own.
     bar = F.when(signature & (time > 0), bar_at(time, section)).otherwise(bar_at(time, section))
     moved = F.col("previous").isNull() | (time != F.col("previous")) | (F.col("previous_type") == "TimeSig")
-    rows = rows.withColumns({"moved": moved, "bar": bar})
     done = F.coalesce(F.lag("bar").over(stream_order()), F.lit(-1))
+    placed = F.lit(False)  # a position without a move
+    if controlled:
+        of_track, of_bar = F.col("type").startswith("ACTrack"), F.col("type").startswith("ACBar")
+        first = F.coalesce(F.col("previous_type").startswith("ACTrack"), F.lit(True))
+        moved, bar = ~of_track & (moved | first), F.when(~of_track, bar)
+        placed = ~of_bar & ~of_track & F.coalesce(F.col("previous_type").startswith("ACBar"), F.lit(False))
+    rows = rows.withColumns({"moved": moved, "placed": placed, "bar": bar})
     rests = F.expr(NO_TOKENS)
     if c.use_rests:
         gap = time - F.col("sounded")
@@ -154,7 +161,8 @@ def remi(events: DataFrame, tables: ScoreTables, c: TokenizerConfig) -> DataFram
     place = quotient(time - bar_tick(F.col("bar"), section), F.greatest(quotient(tpb, g.positions_per_beat), F.lit(1)))
     position = F.when(~signature & ~F.col("type").startswith("ACBar"), F.array(token("Position", place)))
     nothing = F.expr(NO_TOKENS)
-    before = F.when(F.col("moved"), F.concat(rests, F.coalesce(new, nothing), F.coalesce(position, nothing))).otherwise(nothing)
+    alone = F.when(F.col("placed"), F.coalesce(position, nothing)).otherwise(nothing)
+    before = F.when(F.col("moved"), F.concat(rests, F.coalesce(new, nothing), F.coalesce(position, nothing))).otherwise(alone if controlled else nothing)
     out = laid_out(rows, before)
     return _with_trailing_bars(out, rows, c) if params.get("add_trailing_bars") else out
 

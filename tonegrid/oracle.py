@@ -289,6 +289,33 @@ SPLIT_TRACKS = f"""SELECT score_id, CAST(sum(s) OVER (PARTITION BY score_id ORDE
     SELECT *, sum(CASE WHEN token = 'Track_Start' THEN 1 ELSE 0 END) OVER (PARTITION BY score_id ORDER BY pos) AS part FROM ({MMM})) GROUP BY score_id, part)"""
 
 
+# Controls of the track, pitch classes of every bar, densities of bars 0, 2, 5 and 6; kind -1, 0 and 1: of the track, of a bar, a note.
+MARKED = f"""{BARRED}, onsets AS (SELECT score_id, track_idx, time, count(*) AS n FROM notes GROUP BY score_id, track_idx, time),
+slotted AS (SELECT score_id, track_idx, bar, max(bar) OVER (PARTITION BY score_id, track_idx) AS reach FROM barred),
+dense AS (SELECT score_id, track_idx, list_min(list_filter([0, 2, 5, 6], lambda b: b >= bar AND b <= reach)) AS slot FROM slotted),
+marked AS (
+  SELECT score_id, track_idx, -1 AS kind, 0 AS time, 0 AS place, 0 AS pitch, 0 AS duration, 0 AS velocity,
+    ['ACTrackOnsetPolyphonyMin_' || least(greatest(min(n), 1), 6), 'ACTrackOnsetPolyphonyMax_' || least(max(n), 6)] AS own FROM onsets GROUP BY score_id, track_idx
+  UNION ALL SELECT score_id, track_idx, 0, bar * 32, pitch % 12, 0, 0, 0, ['ACBarPitchClass_' || pitch % 12] FROM barred GROUP BY score_id, track_idx, bar, pitch % 12
+  UNION ALL SELECT score_id, track_idx, 0, slot * 32, 12, 0, 0, 0, ['ACBarNoteDensity_' || CASE WHEN count(*) >= 18 THEN '18+' ELSE CAST(count(*) AS VARCHAR) END]
+    FROM dense WHERE slot IS NOT NULL GROUP BY score_id, track_idx, slot
+  UNION ALL SELECT score_id, track_idx, 1, time, 0, pitch, duration, velocity, {NOTE} FROM notes),
+steps AS (SELECT *, lag(kind) OVER w AS prev_kind, row_number() OVER w AS rn,
+  last_value(CASE WHEN kind >= 0 THEN time END IGNORE NULLS) OVER (PARTITION BY score_id, track_idx ORDER BY kind < 0 DESC, time, kind, place, pitch, duration, velocity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+  FROM marked WINDOW w AS (PARTITION BY score_id, track_idx ORDER BY kind < 0 DESC, time, kind, place, pitch, duration, velocity))"""
+
+
+def controlled(before: str) -> str:
+    return f"""{MARKED} SELECT score_id, CAST(dense_rank() OVER (PARTITION BY score_id ORDER BY track_idx) - 1 AS INT) AS seq_idx, pos, token
+FROM ({laid_out(f"SELECT *, list_concat({before}, own) AS toks FROM steps", "score_id, track_idx")})"""
+
+
+TSD_CONTROLS = controlled(shift(GAP))
+HERE = "['Position_' || time % 32]"
+REMI_CONTROLS = controlled(f"""CASE WHEN kind = -1 THEN {EMPTY} WHEN prev = time THEN CASE WHEN kind = 1 AND prev_kind = 0 THEN {HERE} ELSE {EMPTY} END
+  ELSE list_concat(list_transform({NEW_BARS}, lambda x: 'Bar_None'), CASE WHEN kind = 1 THEN {HERE} ELSE {EMPTY} END) END""")
+
+
 def oracle_sql() -> dict[str, str]:
     rows = lambda cte: f"{cte} SELECT {ROWS} FROM notes"
     velocity = f"WITH {RAW} SELECT score_id, program, time, duration, pitch, {VELOCITY} AS velocity FROM notes_raw"
@@ -339,6 +366,8 @@ SELECT score_id, time, num, den FROM late UNION ALL SELECT s_suppkey, 0, 4, 4 FR
         "tsd_tokens_rests": TSD_RESTS,
         "remi_tokens_rests": REMI_RESTS,
         "tsd_tokens_tracks": TRACKS,
+        "tsd_tokens_controls": TSD_CONTROLS,
+        "remi_tokens_controls": REMI_CONTROLS,
         "bar_density": DENSITY,
         "bar_polyphony": polyphony("score_id, track_idx, bar", "bar", "ACBarOnsetPolyphony"),
         "bar_pitch_class": f"{BARRED} SELECT DISTINCT score_id, track_idx, bar, 'ACBarPitchClass_' || pitch % 12 AS token FROM barred",

@@ -12,6 +12,7 @@ from ..config import TokenizerConfig
 from ..graph import Graph, type_graph
 from ..grids import Grids
 from ..operators import compound, decode, pertok, timing, tokens, validate
+from ..operators.controls import Control, available, requested
 from ..operators.events import events
 from ..operators.pertok import PerTokGrid
 from ..operators.scores import ScoreTables, bars, clip_to_bars, preprocess
@@ -25,13 +26,15 @@ class Tokenizer:
     name: str
     config: TokenizerConfig
     vocabulary: Vocabulary = field(repr=False, default=None)
+    controls: tuple[Control, ...] = field(repr=False, default=())
 
     @classmethod
     def of(cls, name: str, config: TokenizerConfig | None = None) -> Tokenizer:
         if name not in NAMES:
             raise ValueError(f"unknown tokenizer {name!r}; known: {', '.join(NAMES)}")
         c = adapted(name, config or TokenizerConfig())
-        return cls(name, c, Vocabulary.of(name, c))
+        used = available(c)
+        return cls(name, c, Vocabulary.of(name, c).with_tokens(*(t for control in used for t in control.names)), used)
 
     @classmethod
     def load(cls, path: str) -> Tokenizer:
@@ -46,6 +49,12 @@ class Tokenizer:
     def with_tokens(self, *names: str, special: bool = False, part: int = 0) -> Tokenizer:
         return replace(self, vocabulary=self.vocabulary.with_tokens(*names, special=special, part=part))
 
+    def with_control(self, control: Control) -> Tokenizer:
+        """One more attribute control, for streams of one track; its tokens join the vocabulary."""
+        if self.is_compound or self.config.one_token_stream_for_programs:
+            raise ValueError("attribute controls stand in streams of one track only")
+        return replace(self.with_tokens(*control.names), controls=(*self.controls, control))
+
     @property
     def base(self) -> str:
         """The tokenizer that lays out each stream."""
@@ -81,18 +90,32 @@ class Tokenizer:
             return preprocess(tables, self.config, tpq=PerTokGrid.of(self.config).tpq, snap=False)
         return preprocess(tables, self.config, self.note_on_off)
 
-    def encode(self, tables: ScoreTables, preprocessed: bool = False) -> DataFrame:
-        """Tokens in long form, (score_id, seq_idx, pos, token, tick); compound ones with ``tokens``."""
+    def encode(self, tables: ScoreTables, preprocessed: bool = False, request: DataFrame | None = None) -> DataFrame:
+        """Tokens in long form, (score_id, seq_idx, pos, token, tick); compound ones with ``tokens``.
+
+        ``request`` asks for attribute controls: (score_id, track_idx, control, bars), where
+        ``control`` is a place in ``controls`` and null bars are all (see :mod:`..operators.controls`).
+        """
         c = self.config
         t = tables if preprocessed else self.preprocess(tables)
         if self.name in ("Octuple", "MuMIDI"):
             t = clip_to_bars(t, c, c.additional_params["max_bar_embedding"])
+        if request is not None and (self.is_compound or self.name == "PerTok" or c.one_token_stream_for_programs):
+            raise ValueError("attribute controls stand in streams of one track only")
         if self.is_compound:
             return {"Octuple": compound.octuple, "CPWord": compound.cpword, "MuMIDI": compound.mumidi}[self.name](t, c)
         if self.name == "PerTok":
             return pertok.pertok(_with_tick_durations(t, c), c)
-        rows = events(t, c, self.note_on_off)
-        out = {"REMI": timing.remi, "TSD": timing.tsd, "MIDILike": timing.midilike, "Structured": timing.structured}[self.base](rows, t, c)
+        made = None
+        if request is not None:
+            if not self.controls:
+                raise ValueError("the configuration has no attribute controls")
+            made = requested(t.notes, self.bars(t), request, self.controls, c)
+        rows = events(t, c, self.note_on_off, made)
+        if self.base == "REMI" and made is not None:
+            out = timing.remi(rows, t, c, controlled=True)
+        else:
+            out = {"REMI": timing.remi, "TSD": timing.tsd, "MIDILike": timing.midilike, "Structured": timing.structured}[self.base](rows, t, c)
         if c.program_changes and not c.one_token_stream_for_programs:
             own = rows.where("track >= 0").groupBy("score_id", "seq_idx").agg(F.first("program").alias("program"))
             out = timing.with_track_header(out, own, markers=self.name == "MMM")

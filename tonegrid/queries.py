@@ -244,6 +244,21 @@ def _controls(make: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+CONTROLLED = {"one_token_stream_for_programs": False, "ac_polyphony_track": True, "ac_pitch_class_bar": True, "ac_note_density_bar": True}
+
+
+def _tokens_controlled(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Streams with controls of the track, of every bar, and of a few bars of it."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = tokenizer(name, **CONTROLLED)
+        p = t.preprocess(raw(spark, sf_dir))
+        request = controls.asked_of_all(p.notes, {0: None, 1: None, 2: [0, 2, 5, 6]})
+        return t.encode(p, preprocessed=True, request=request).select("score_id", "seq_idx", "pos", "token")
+
+    return query
+
+
 def split_by_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokenizer("TSD")
     p = t.preprocess(raw(spark, sf_dir))
@@ -321,6 +336,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["tsd_decoded_intervals"] = _decoded("TSD", use_pitch_intervals=True)
     for name in ("TSD", "MIDILike", "REMI"):
         out[f"{name.lower()}_errors_full"] = _errors(name, **FULL)
+    for name in ("TSD", "REMI"):
+        out[f"{name.lower()}_tokens_controls"] = _tokens_controlled(name)
     c = controls
     out |= {
         "bar_density": _controls(lambda n, b, t, k: c.bar_density(b, k)),
