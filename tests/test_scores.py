@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonegrid.config import TokenizerConfig
-from tonegrid.operators import controls, scores, subword, tokens
+from tonegrid.operators import controls, scores, sequences, subword, tokens
 from tonegrid.operators.chords import chords_of
 from tonegrid.operators.decode import note_pairs
 from tonegrid.operators.pertok import PerTokGrid
@@ -201,6 +201,38 @@ def test_controls_of_an_empty_bar(spark):
     assert (None, "ACTrackNoteDensityMin_0") in found and (None, "ACTrackNoteDensityMax_2") in found and (0, "ACBarOnsetPolyphonyMax_2") in found
 
 
+def test_own_control_in_the_stream(spark):
+    c = TokenizerConfig(use_programs=True, ac_note_density_bar=True, one_token_stream_for_programs=False)
+    longest = lambda n, b, c: n.groupBy("score_id", "track_idx", "bar").agg(F.concat(F.lit("ACBarLongest_"), F.max("duration")).alias("token"))
+    t = Tokenizer.of("TSD", c).with_control(controls.Control(tuple(f"ACBarLongest_{i}" for i in range(100)), longest))
+    p = t.preprocess(tables(spark, [(1, 0, 0, 0, 4, 60, 90), (1, 0, 0, 40, 6, 60, 90), (1, 1, 5, 0, 4, 60, 90)]))
+    request = spark.createDataFrame([(1, 0, 0, [0]), (1, 0, 1, None), (1, 1, 1, [7])], "score_id long, track_idx int, control int, bars array<long>")
+    out = t.ids(t.encode(p, preprocessed=True, request=request))
+    found = [(r.seq_idx, r.token) for r in out.orderBy("seq_idx", "pos").collect() if r.token.startswith("AC")]
+    assert found == [(0, "ACBarNoteDensity_1"), (0, "ACBarLongest_4"), (0, "ACBarLongest_6")]
+    with pytest.raises(ValueError):
+        Tokenizer.of("Octuple").with_control(t.controls[0])
+
+
+def test_subword_marks(spark):
+    m = subword.SubwordModel.from_json(
+        '{"pre_tokenizer": {"type": "Metaspace", "replacement": "_"}, "model": {"continuing_subword_prefix": "#", "end_of_word_suffix": "$", '
+        '"vocab": {"_": 0, "#a": 1, "#b$": 2, "#ab$": 3, "_ab$": 4, "#a$": 5}, "merges": [["#a", "#b$"], ["_", "#ab$"]]}}'
+    )
+    assert m.encode("ab") == [4] and m.encode("aab") == [0, 1, 3] and m.encode("") == [] and m.plain("_ab$") == "ab"
+    v = Tokenizer.of("TSD").vocabulary
+    unknown = spark.createDataFrame([(1, 0, 0, 77)], "score_id long, seq_idx int, pos long, id int")
+    with pytest.raises(Exception, match="not a piece"):
+        subword.decode_ids(unknown, v, m).collect()
+
+
+def test_sequence_equality_needs_a_shared_attribute(spark):
+    a = spark.createDataFrame([(1, 0, 0, "x"), (2, 0, 0, None)], "score_id long, seq_idx int, pos long, token string")
+    b = spark.createDataFrame([(1, 0, 0, "x", 5), (2, 0, 0, "x", 5)], "score_id long, seq_idx int, pos long, token string, id int")
+    assert {r.score_id: r.equal for r in sequences.equal(a, b).collect()} == {1: True, 2: False}
+    assert {r.score_id: r.size for r in sequences.sizes(a).collect()} == {1: 1, 2: 0}
+
+
 def test_midi_round_trip(spark, tmp_path):
     notes = [(1, 0, 0, 0, 240, 60, 90), (1, 0, 0, 100, 240, 60, 80), (1, 1, 33, 480, 120, 40, 70), (1, 2, -1, 0, 60, 36, 100)]
     t = tables(spark, notes, tpq=480, tempos=[(1, 0, 0, 500000.0), (1, 1, 960, 600000.0)], signatures=[(1, 0, 0, 6, 8)], pedals=[(1, 0, 0, 10, 400)], bends=[(1, 1, 33, 480, -8192)])

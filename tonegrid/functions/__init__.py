@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,27 @@ def token_type(name: Column) -> Column:
 
 def token_value(name: Column) -> Column:
     return F.substring_index(name, "_", -1)
+
+
+def linspace(start: float, end: float, count: int) -> Column:
+    """An array of ``count`` numbers at equal steps from ``start`` to ``end``, both included (one: the start)."""
+    if count < 2:
+        return literal_array([float(start)] * count, "double")
+    step = (float(end) - float(start)) / (count - 1)
+    return literal_array([*(float(start) + step * i for i in range(count - 1)), float(end)], "double")
+
+
+def histogram_bin(x: Column, edges: Column) -> Column:
+    """The number of the bin that holds ``x`` between ascending edges, the last edge included; null outside."""
+    passed = F.size(F.filter(edges, lambda e: e <= x))
+    last = F.size(edges) - 1
+    inside = (x >= F.element_at(edges, 1)) & (x <= F.element_at(edges, -1))
+    return F.when(inside, F.least(passed, last) - 1)
+
+
+def histogram(rows: DataFrame, keys: Sequence[str], x: Column, edges: Column) -> DataFrame:
+    """(keys, bin, n): how many values of a group lie in each bin, empty bins included."""
+    found = rows.select(*keys, histogram_bin(x, edges).alias("bin"))
+    groups = rows.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.size(edges) - 2)).alias("bin"))
+    counts = found.where("bin is not null").groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    return groups.join(counts, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -115,6 +115,15 @@ def supported_signatures(signatures: DataFrame, c: TokenizerConfig) -> DataFrame
     return signatures.where((F.col("num") * 1000 + F.col("den")).isin(known))
 
 
+def signatures_outside(signatures: DataFrame, scores: DataFrame, c: TokenizerConfig) -> DataFrame:
+    """(score_id, outside): whether a score has a time signature that the vocabulary lacks; never if signatures aren't used."""
+    if not c.use_time_signatures:
+        return scores.select("score_id", F.lit(False).alias("outside"))
+    known = supported_signatures(signatures, c).select("score_id", "num", "den").distinct()
+    strange = signatures.join(known, ["score_id", "num", "den"], "left_anti").select("score_id").distinct().withColumn("found", F.lit(True))
+    return scores.select("score_id").join(strange, "score_id", "left").select("score_id", F.coalesce("found", F.lit(False)).alias("outside"))
+
+
 def with_default_signature(signatures: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores without a signature at tick 0 get 4/4 there."""
     missing = scores.select("score_id").join(signatures.where("time = 0").select("score_id"), "score_id", "left_anti")

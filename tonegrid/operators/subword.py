@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..vocabulary import Vocabulary
@@ -17,69 +18,105 @@ from .tokens import split_at_ticks
 
 @dataclass(frozen=True)
 class SubwordModel:
-    """A byte-pair model: its vocabulary (piece to id) and its merges in order of rank."""
+    """A byte-pair model: its vocabulary (piece to id) and its merges in order of rank.
+
+    ``prefix`` (of pieces inside a word), ``suffix`` (of pieces that end one) and ``space`` (put
+    before words) mark pieces and stand for no token of their own.
+    """
 
     vocabulary: dict[str, int]
     merges: tuple[tuple[str, str], ...]
+    prefix: str = ""
+    suffix: str = ""
+    space: str = ""
 
     @classmethod
     def from_json(cls, text: str) -> SubwordModel:
-        """The ``model`` part of a tokenizers file (merges as pairs, or as strings with one blank)."""
+        """A tokenizers file, or its ``model`` part (merges as pairs, or as strings with one blank)."""
         values = json.loads(text)
-        model = values.get("model", values)
+        model, before = values.get("model", values), values.get("pre_tokenizer") or {}
         pairs = tuple(tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        return cls(dict(model["vocab"]), pairs)
+        space = before.get("replacement", "") if before.get("type") == "Metaspace" else ""
+        return cls(dict(model["vocab"]), pairs, model.get("continuing_subword_prefix") or "", model.get("end_of_word_suffix") or "", space)
+
+    def plain(self, piece: str) -> str:
+        """A piece without its marks."""
+        return piece.removeprefix(self.prefix).removesuffix(self.suffix).removeprefix(self.space)
 
     @cached_property
     def ranks(self) -> dict[tuple[str, str], int]:
         return {pair: i for i, pair in enumerate(self.merges)}
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text: the pair of the lowest rank is merged, everywhere from the left, until none is left."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: self.ranks.get(p, len(self.ranks)))
-            if best not in self.ranks:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.vocabulary[p] for p in parts]
+        """Ids of a text, taken as one word: the pair of the lowest rank is merged, the leftmost first, until none is left.
+
+        Neighbours are linked and pairs wait in a heap, so a long text costs its length times a logarithm.
+        """
+        letters = self.space + text if text else ""
+        parts = [(self.prefix if i else "") + ch for i, ch in enumerate(letters)]
+        if parts:
+            parts[-1] += self.suffix
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        waiting = [(self.ranks[pair], i, *pair) for i, pair in enumerate(zip(parts, parts[1:], strict=False)) if pair in self.ranks]
+        heapq.heapify(waiting)
+        while waiting:
+            _, i, left, right = heapq.heappop(waiting)
+            j = after[i]
+            if parts[i] != left or j == len(parts) or parts[j] != right:
+                continue  # one of the two was merged with another since
+            parts[i], parts[j] = left + right.removeprefix(self.prefix), None
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < len(parts) and (pair := (parts[k], parts[after[k]])) in self.ranks:
+                    heapq.heappush(waiting, (self.ranks[pair], k, *pair))
+        return [self.vocabulary[p] for p in parts if p is not None]
 
 
 def encode_ids(ids: DataFrame, vocabulary: Vocabulary, model: SubwordModel, ticks: DataFrame | None = None) -> DataFrame:
     """(score_id, seq_idx, pos, id) in the model's ids; with ``ticks`` merges don't cross them (bars or beats).
 
-    ``ids`` has score_id, seq_idx, pos, id and, for a split, tick.
+    ``ids`` has score_id, seq_idx, pos, id and, for a split, tick.  A split also cuts before every
+    ``Track_Start``, as ticks begin anew with each track of a concatenated sequence.
     """
     table = vocabulary.table(ids.sparkSession).where("vocab_idx = 0").select("id", "byte")
     rows = ids.join(F.broadcast(table), "id")
-    rows = split_at_ticks(rows, ticks) if ticks is not None else rows.withColumn("part", F.lit(0))
+    track = F.lit(0)
+    if ticks is not None and "Track_Start" in vocabulary.ids[0]:
+        w = Window.partitionBy("score_id", "seq_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        track = F.sum(F.when(F.col("id") == vocabulary.id_of("Track_Start"), 1).otherwise(0)).over(w).cast("int")
+    rows = rows.withColumn("track", track)
+    if ticks is None:
+        rows = rows.withColumn("part", F.lit(0))
+    else:
+        rows = split_at_ticks(rows, ticks, "track")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "byte")))
-    pieces = rows.groupBy("score_id", "seq_idx", "part").agg(F.array_join(F.transform(ordered, lambda x: x.byte), "").alias("text"))
+    pieces = rows.groupBy("score_id", "seq_idx", "track", "part").agg(F.array_join(F.transform(ordered, lambda x: x.byte), "").alias("text"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[["score_id", "seq_idx", "part"]].assign(ids=[model.encode(t) for t in b["text"]])
+            yield b[["score_id", "seq_idx", "track", "part"]].assign(ids=[model.encode(t) for t in b["text"]])
 
-    merged = pieces.mapInPandas(merge, "score_id long, seq_idx int, part int, ids array<int>")
-    whole = F.array_sort(F.collect_list(F.struct("part", "ids")))
+    merged = pieces.mapInPandas(merge, "score_id long, seq_idx int, track int, part int, ids array<int>")
+    whole = F.array_sort(F.collect_list(F.struct("track", "part", "ids")))
     flat = merged.groupBy("score_id", "seq_idx").agg(F.flatten(F.transform(whole, lambda x: x.ids)).alias("ids"))
     return flat.select("score_id", "seq_idx", F.posexplode("ids").alias("pos", "id")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, model: SubwordModel) -> DataFrame:
-    """(score_id, seq_idx, pos, id): the base ids that the model's ids stand for."""
+    """(score_id, seq_idx, pos, id): the base ids that the model's ids stand for, pieces without their marks.
+
+    Places follow from the lengths of the pieces before, so no sequence is gathered.  An id that the
+    model lacks, or whose piece holds what the base vocabulary lacks, is an error.
+    """
     base = {vocabulary.byte_of(i): i for i in range(vocabulary.sizes[0])}
-    rows = [(number, [base[ch] for ch in piece]) for piece, number in model.vocabulary.items() if all(ch in base for ch in piece)]
+    pieces = ((number, model.plain(piece)) for piece, number in model.vocabulary.items())
+    rows = [(number, [base[ch] for ch in piece]) for number, piece in pieces if all(ch in base for ch in piece)]
     table = encoded.sparkSession.createDataFrame(rows, "id int, base array<int>")  # the model's vocabulary
-    long = encoded.join(F.broadcast(table), "id").select("score_id", "seq_idx", "pos", F.posexplode("base").alias("i", "base_id"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "i", "base_id")))
-    flat = long.groupBy("score_id", "seq_idx").agg(F.transform(ordered, lambda x: x.base_id).alias("ids"))
-    return flat.select("score_id", "seq_idx", F.posexplode("ids").alias("pos", "id")).withColumn("pos", F.col("pos").cast("long"))
+    unknown = F.raise_error(F.concat(F.lit("not a piece of the model: "), F.col("id").cast("string"))).cast("array<int>")
+    long = encoded.join(F.broadcast(table), "id", "left").withColumn("base", F.coalesce("base", unknown))
+    n = F.size("base")
+    w = Window.partitionBy("score_id", "seq_idx").orderBy("pos")
+    long = long.withColumn("first", F.sum(n).over(w) - n).select("score_id", "seq_idx", "first", F.posexplode("base").alias("i", "base_id"))
+    return long.select("score_id", "seq_idx", (F.col("first") + F.col("i")).cast("long").alias("pos"), F.col("base_id").alias("id"))

@@ -77,15 +77,15 @@ def appended(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(moved.select(*first.columns))
 
 
-def split_at_ticks(tokens: DataFrame, ticks: DataFrame) -> DataFrame:
+def split_at_ticks(tokens: DataFrame, ticks: DataFrame, *within: str) -> DataFrame:
     """Tokens with ``part``: how many of the ticks (score_id, n, tick) after the first lie at or before a token's own.
 
-    Tokens before the second tick are part 0.  Ticks never fall along a stream, so the parts are
-    ranges of places.
+    Tokens before the second tick are part 0.  Ticks never fall along a stream (or along what the
+    columns ``within`` tell apart in it), so the parts are ranges of places.
     """
     starts = ticks.groupBy("score_id").agg(F.array_sort(F.collect_list("tick")).alias("starts"))
     rows = tokens.join(starts, "score_id", "left")
-    w = Window.partitionBy("score_id", "seq_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("score_id", "seq_idx", *within).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     reached = F.size(F.filter("starts", lambda s: s <= F.col("tick"))) - 1
     rows = rows.withColumn("part", F.greatest(F.max(F.greatest(F.coalesce(reached, F.lit(0)), F.lit(0))).over(w), F.lit(0)))
     return rows.drop("starts")

@@ -131,8 +131,15 @@ def mumidi_errors(rows: DataFrame, graph: Graph, c: TokenizerConfig) -> DataFram
     return out.select(*SEQ, "pos", (F.col("bad_type") | F.col("padded")).alias("bad_type"), note.alias("bad_note"), (late | behind).alias("bad_time"))
 
 
-def error_ratio(errors: DataFrame) -> DataFrame:
-    """(score_id, seq_idx, n_tokens, n_errors, ratio) from rows of any check."""
+def error_counts(errors: DataFrame) -> DataFrame:
+    """(score_id, seq_idx, n_tokens, n_errors) from rows of any check."""
     wrong = lambda n: F.sum(F.col(n).cast("long"))
-    out = errors.groupBy(*SEQ).agg(F.count("*").alias("n_tokens"), (wrong("bad_type") + wrong("bad_note") + wrong("bad_time")).alias("n_errors"))
-    return out.withColumn("ratio", F.col("n_errors") / F.col("n_tokens"))
+    return errors.groupBy(*SEQ).agg(F.count("*").alias("n_tokens"), (wrong("bad_type") + wrong("bad_note") + wrong("bad_time")).alias("n_errors"))
+
+
+def error_ratio(errors: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """:func:`error_counts` with ``ratio``: errors by tokens, or by ``sizes`` (score_id, seq_idx, size) before ids of a trained model were decoded."""
+    out = error_counts(errors)
+    if sizes is None:
+        return out.withColumn("ratio", F.col("n_errors") / F.col("n_tokens"))
+    return out.join(sizes, SEQ).withColumn("ratio", F.col("n_errors") / F.col("size")).drop("size")

@@ -316,6 +316,32 @@ REMI_CONTROLS = controlled(f"""CASE WHEN kind = -1 THEN {EMPTY} WHEN prev = time
   ELSE list_concat(list_transform({NEW_BARS}, lambda x: 'Bar_None'), CASE WHEN kind = 1 THEN {HERE} ELSE {EMPTY} END) END""")
 
 
+BPE = f"""WITH toks AS ({TSD}), ahead AS (SELECT *, lead(token) OVER w AS next, lag(token) OVER w AS prev FROM toks WINDOW w AS (PARTITION BY score_id ORDER BY pos)),
+judged AS (SELECT *, {" AND ".join(("split_part(token, '_', 2) IN ('-1', '0', '8') AND token LIKE 'Program%'", "next = CASE WHEN token = 'Program_-1' THEN 'PitchDrum_' ELSE 'Pitch_' END || split_part(next, '_', 2)", "try_cast(split_part(next, '_', 2) AS INT) BETWEEN 30 AND 79"))} AS merged FROM ahead),
+marked AS (SELECT *, coalesce(lag(merged) OVER (PARTITION BY score_id ORDER BY pos), false) AS taken FROM judged)"""
+BPE_TOKENS = f"""{BPE} SELECT score_id, CAST(row_number() OVER (PARTITION BY score_id ORDER BY pos) - 1 AS BIGINT) AS pos, CASE WHEN merged THEN token || ' ' || next ELSE token END AS piece FROM marked WHERE NOT taken"""
+MERGED_ID = "442 + (CASE token WHEN 'Program_-1' THEN 0 WHEN 'Program_0' THEN 50 ELSE 100 END) + try_cast(split_part(next, '_', 2) AS INT) - 30"
+BPE_IDS = f"""{BPE}, ids AS ({TOKEN_IDS}) SELECT score_id, count(*) AS n_ids, CAST(sum(CASE WHEN merged THEN {MERGED_ID} ELSE id END) AS BIGINT) AS sum_ids
+FROM marked JOIN ids USING (score_id, pos) WHERE NOT taken GROUP BY score_id"""
+OTHERS = {
+    "bpe_tokens": BPE_TOKENS,
+    "bpe_ids": BPE_IDS,
+    "sequences_completed": f"SELECT t.score_id, t.pos, t.token, i.id FROM ({TSD}) t JOIN ({TOKEN_IDS}) i ON t.score_id = i.score_id AND t.pos = i.pos",
+    "sequences_equal": f"""SELECT score_id, bool_and(NOT (score_id % 2 = 0 AND pos = score_id % 50 AND token <> 'Velocity_127') AND NOT (score_id % 5 = 3 AND pos % 9 = 4)) AS equal
+FROM ({TSD}) GROUP BY score_id""",
+    "sequence_sizes": f"SELECT score_id, count(*) FILTER (WHERE score_id % 2 = 0 OR pos % 3 = 0) AS size FROM ({TSD}) GROUP BY score_id",
+    "signatures_outside": f"WITH {SIGNATURES} SELECT score_id, bool_or(den = 8) AS outside FROM signatures_raw WHERE seq < 2 GROUP BY score_id",
+    "velocity_histogram": f"""WITH {RAW}, bins AS (SELECT score_id, unnest(range(8)) AS bin FROM (SELECT DISTINCT score_id FROM notes_raw)),
+counts AS (SELECT score_id, least((velocity - 3) // 12, 7) AS bin, count(*) AS n FROM notes_raw WHERE velocity BETWEEN 3 AND 99 GROUP BY 1, 2)
+SELECT score_id, CAST(bin AS INT) AS bin, coalesce(n, 0) AS n FROM bins LEFT JOIN counts USING (score_id, bin)""",
+    "instrument_names": f"""WITH {RAW} SELECT DISTINCT score_id, track_idx, CASE program WHEN -1 THEN 'Drums' WHEN 0 THEN 'Acoustic Grand Piano' WHEN 8 THEN 'Celesta' WHEN 16 THEN 'Drawbar Organ'
+  WHEN 24 THEN 'Acoustic Guitar (nylon)' WHEN 32 THEN 'Acoustic Bass' WHEN 40 THEN 'Violin' END AS name FROM notes_raw""",
+    "tsd_error_counts": f"SELECT score_id, n_tokens, n_type + n_note + n_time AS n_errors FROM ({errors_broken(TSD, f'{NOTE_CHAIN} Duration>Program,TimeShift TimeShift>Program,TimeShift')})",
+    "tsd_decoded_programs": f"""{NOTES}, streams AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY score_id ORDER BY track_idx) - 1 AS INT) AS seq_idx FROM notes)
+SELECT score_id, seq_idx, CAST(CASE WHEN seq_idx < 3 THEN 5 + seq_idx ELSE 0 END AS INT) AS program, count(*) AS n_notes, CAST(sum(time) AS BIGINT) AS ticks FROM streams GROUP BY score_id, seq_idx""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     rows = lambda cte: f"{cte} SELECT {ROWS} FROM notes"
     velocity = f"WITH {RAW} SELECT score_id, program, time, duration, pitch, {VELOCITY} AS velocity FROM notes_raw"
@@ -398,4 +424,4 @@ SELECT score_id, program, CAST(sum({NEAREST}) OVER (PARTITION BY score_id ORDER
         ),
     }
     out |= {"mmm_decoded": rows(NOTES), "tsd_decoded_rests": rows(NOTES), "tsd_decoded_intervals": rows(NOTES), "structured_errors": no_errors(STRUCTURED), "midilike_errors": no_errors(MIDILIKE)}
-    return out
+    return out | OTHERS

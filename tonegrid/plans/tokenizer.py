@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TokenizerConfig
+from ..functions import lookup
 from ..graph import Graph, type_graph
 from ..grids import Grids
 from ..operators import compound, decode, pertok, timing, tokens, validate
@@ -121,7 +122,22 @@ class Tokenizer:
             out = timing.with_track_header(out, own, markers=self.name == "MMM")
         return timing.concatenated(out) if self.name == "MMM" else out
 
-    def decode(self, sequence: DataFrame) -> decode.Decoded:
+    def decode(self, sequence: DataFrame, programs: list[int] | None = None) -> decode.Decoded:
+        """Score tables of token sequences, or of ids (rows without ``token`` and ``tokens``).
+
+        ``programs`` tells the program (-1: drums) of each stream in place of those in the tokens;
+        streams beyond the list keep theirs.
+        """
+        if not {"token", "tokens"} & set(sequence.columns):
+            sequence = self.tokens(sequence)
+        out = self._decoded(sequence)
+        if programs is None:
+            return out
+        told = F.coalesce(lookup(programs, F.col("seq_idx")), F.col("program"))
+        own = {n: getattr(out, n).withColumn("program", told) for n in ("notes", "pedals", "pitch_bends")}
+        return replace(out, **own)
+
+    def _decoded(self, sequence: DataFrame) -> decode.Decoded:
         c = self.config
         if self.name == "MMM":
             streams = tokens.split_tracks(sequence, keep_markers=False)
@@ -149,6 +165,9 @@ class Tokenizer:
             sequence = tokens.split_tracks(sequence, keep_markers=False)
         return (validate.note_off_errors if self.note_on_off else validate.token_errors)(sequence, self.graph, c)
 
+    def error_counts(self, sequence: DataFrame) -> DataFrame:
+        return validate.error_counts(self.errors(sequence))
+
     def error_ratio(self, sequence: DataFrame) -> DataFrame:
         return validate.error_ratio(self.errors(sequence))
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from . import fixtures
 from .config import TokenizerConfig
-from .functions import half_even
-from .operators import controls, decode, events, scores, subword, tokens
+from .functions import half_even, histogram, linspace
+from .functions.instruments import instrument_name
+from .operators import controls, decode, events, scores, sequences, subword, tokens
 from .operators.chords import detect_chords
 from .operators.scores import ScoreTables, bars
 from .oracle import oracle_sql as oracle_sql  # noqa: PLC0414
 from .plans.tokenizer import Tokenizer
+from .vocabulary import FIRST_BYTE
 
 #: One stream per score with programs, no repeated notes.
 CONFIG = TokenizerConfig(use_programs=True, remove_duplicated_notes=True)
@@ -307,6 +309,72 @@ def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.decode_ids(out, t.vocabulary, model()).select("score_id", "pos", "id")
 
 
+def bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model ids by bar, as the ids of the TSD vocabulary that each stands for."""
+    t = tokenizer("TSD")
+    p = t.preprocess(raw(spark, sf_dir))
+    out = subword.encode_ids(t.ids(t.encode(p, preprocessed=True)), t.vocabulary, model(), t.bars(p))
+    pieces = [(number, [t.vocabulary.token_of(ord(ch) - FIRST_BYTE) for ch in piece]) for piece, number in model().vocabulary.items()]
+    table = spark.createDataFrame(pieces, "id int, tokens array<string>")
+    return out.join(F.broadcast(table), "id").select("score_id", "pos", F.array_join("tokens", " ").alias("piece"))
+
+
+def sequences_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences that have ids, events or bytes alone, by turns, completed."""
+    t, out = encoded("TSD", spark, sf_dir)
+    full = tokens.to_ids(out, t.vocabulary)
+    only = lambda k, value: F.when(F.col("score_id") % 3 == k, value)
+    event = F.struct(F.substring_index("token", "_", 1).alias("type"), F.substring_index("token", "_", -1).alias("value"))
+    chars = t.vocabulary.table(spark).where("vocab_idx = 0").select("id", "byte")
+    rows = full.join(F.broadcast(chars), "id").select("score_id", "seq_idx", "pos", only(0, F.col("id")).alias("id"), only(1, event).alias("event"), only(2, F.col("byte")).alias("byte"))
+    return sequences.completed(rows, t.vocabulary).select("score_id", "pos", "token", "id")
+
+
+def sequences_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TSD sequences against copies of which some have another token at one place, and some have places missing."""
+    _, out = encoded("TSD", spark, sf_dir)
+    other = out.withColumn("token", F.when((F.col("score_id") % 2 == 0) & (F.col("pos") == F.col("score_id") % 50), F.lit("Velocity_127")).otherwise(F.col("token")))
+    other = other.where("score_id % 5 != 3 or pos % 9 != 4")
+    return sequences.equal(out, other).select("score_id", "equal")
+
+
+def sequence_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of sequences of which every other one has no tokens, but events of every third place."""
+    _, out = encoded("TSD", spark, sf_dir)
+    even = F.col("score_id") % 2 == 0
+    event = F.struct(F.substring_index("token", "_", 1).alias("type"))
+    rows = out.select("score_id", "seq_idx", "pos", F.when(even, F.col("token")).alias("token"), F.when(F.col("pos") % 3 == 0, event).alias("event"))
+    return sequences.sizes(rows).select("score_id", "size")
+
+
+def signatures_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = raw(spark, sf_dir)
+    c = CONFIG.with_(use_time_signatures=True, time_signature_range={"4": [2, 3, 4]})
+    rows = t.time_signatures.where("seq < 2")
+    return scores.signatures_outside(rows, t.scores, c)
+
+
+def velocity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram(raw(spark, sf_dir).notes, ["score_id"], F.col("velocity").cast("double"), linspace(3, 99, 9))
+
+
+def instrument_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw(spark, sf_dir).notes.select("score_id", "track_idx", "program").distinct()
+    return rows.select("score_id", "track_idx", instrument_name(F.col("program")).alias("name"))
+
+
+def tsd_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, out = encoded("TSD", spark, sf_dir)
+    return t.error_counts(broken(out)).select("score_id", "n_tokens", "n_errors")
+
+
+def tsd_decoded_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of streams without program tokens, decoded with programs from a list."""
+    t = tokenizer("TSD", use_programs=False, one_token_stream_for_programs=False)
+    ids = t.ids(t.encode(raw(spark, sf_dir))).select("score_id", "seq_idx", "pos", "id")
+    return t.decode(ids, programs=[5, 6, 7]).notes.groupBy("score_id", "seq_idx", "program").agg(F.count("*").alias("n_notes"), F.sum("time").alias("ticks"))
+
+
 RESTS = {"use_rests": True}
 SIGNATURES = {"use_time_signatures": True, "use_tempos": True}
 FULL = {"use_rests": True, "use_tempos": True, "use_time_signatures": True, "use_sustain_pedals": True, "use_pitch_bends": True}
@@ -318,6 +386,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         overlaps_fixed, pedals_merged, tempos_snapped, bends_snapped, signatures_supported, signatures_default, signatures_aligned, bars_ticks, beats_ticks,
         notes_bar_position, pitch_intervals, program_changes, global_events, events_sorted, token_ids, ids_to_tokens, token_bytes, compound_ids, vocab_types,
         note_on_off_pairs, dup_note_errors, split_by_bar, split_by_track, sliced_and_joined, chords, bpe_ids, bpe_decoded,
+        bpe_tokens, sequences_completed, sequences_equal, sequence_sizes, signatures_outside, velocity_histogram, instrument_names, tsd_error_counts, tsd_decoded_programs,
     ]
     out = {f.__name__: f for f in plain}
     for name in ("TSD", "MIDILike", "Structured", "REMI", "MMM", "Octuple", "CPWord", "MuMIDI", "PerTok"):
