@@ -226,6 +226,35 @@ def test_subword_marks(spark):
         subword.decode_ids(unknown, v, m).collect()
 
 
+def test_subword_split_by_track(spark):
+    """Merges stay within a bar of a track, and the tracks of a concatenated sequence keep their order."""
+    t = Tokenizer.of("MMM", TokenizerConfig(use_programs=True))
+    p = t.preprocess(tables(spark, [(1, 0, 0, 0, 4, 60, 90), (1, 0, 0, 40, 4, 62, 90), (1, 1, 5, 0, 4, 64, 90), (1, 1, 5, 40, 4, 65, 90)]))
+    ids = t.ids(t.encode(p, preprocessed=True))
+    byte = lambda name: t.vocabulary.byte_of(t.vocabulary.id_of(name))
+    pairs = ((byte("Track_End"), byte("Track_Start")), (byte("Track_Start"), byte("Program_0")))
+    pieces = {t.vocabulary.byte_of(i): i for i in range(t.vocabulary.sizes[0])}
+    for a, b in pairs:
+        pieces[a + b] = len(pieces)
+    m = subword.SubwordModel(pieces, pairs)
+    encoded = subword.encode_ids(ids, t.vocabulary, m, t.bars(p))
+    found = [r.id for r in encoded.orderBy("pos").collect()]
+    assert pieces[pairs[1][0] + pairs[1][1]] in found and pieces[pairs[0][0] + pairs[0][1]] not in found
+    back = subword.decode_ids(encoded, t.vocabulary, m)
+    assert [r.id for r in back.orderBy("pos").collect()] == [r.id for r in ids.orderBy("pos").collect()]
+
+
+@pytest.mark.parametrize("name", ["MIDILike", "MMM"])
+def test_controls_come_first(spark, name):
+    c = TokenizerConfig(use_programs=True, ac_polyphony_track=True, ac_note_density_bar=True, one_token_stream_for_programs=False)
+    t = Tokenizer.of(name, c)
+    p = t.preprocess(tables(spark, [(1, 0, 0, 0, 4, 60, 90), (1, 1, 5, 40, 4, 64, 90), (1, 1, 5, 40, 4, 65, 90)]))
+    out = t.encode(p, preprocessed=True, request=controls.asked_of_all(p.notes, {0: None, 1: None}))
+    found = [r.token for r in out.orderBy("seq_idx", "pos").collect() if r.token.startswith("AC")]
+    assert found == [f"{n}_{k}" for k in (1, 2) for n in ("ACTrackOnsetPolyphonyMin", "ACTrackOnsetPolyphonyMax", "ACBarNoteDensity")]
+    assert t.ids(out).count() == out.count()
+
+
 def test_sequence_equality_needs_a_shared_attribute(spark):
     a = spark.createDataFrame([(1, 0, 0, "x"), (2, 0, 0, None)], "score_id long, seq_idx int, pos long, token string")
     b = spark.createDataFrame([(1, 0, 0, "x", 5), (2, 0, 0, "x", 5)], "score_id long, seq_idx int, pos long, token string, id int")
