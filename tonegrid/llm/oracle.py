@@ -57,5 +57,28 @@ f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, leng
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q LEFT JOIN f USING (page_id)"""
 
 
+#: Every order of the filters is walked step by step over the documents counted by flags and labels.
+AUDIT = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END)
+  || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails FROM d),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1 : step - 1] AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, CAST(step AS INT) AS step, own,
+  sum(n) FILTER (WHERE translate(fails, earlier || own, '') = fails) AS kept,
+  sum(n) FILTER (WHERE contains(fails, own) AND translate(fails, earlier, '') = fails) AS removed,
+  sum(n) FILTER (WHERE contains(fails, own) AND translate(fails, earlier, '') <> fails) AS redundant,
+  sum(n) FILTER (WHERE fails = own) AS unique_fails,
+  sum(n) FILTER (WHERE contains(fails, own) AND translate(fails, earlier, '') = fails AND good = 1) AS good_lost,
+  sum(n) FILTER (WHERE contains(fails, own) AND translate(fails, earlier, '') = fails AND toxic = 1) AS toxic_lost FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": DECONTAMINATION, "op4_licenses": _licenses(), "op8_urls": _urls()}
+    return {"op1_decontamination": DECONTAMINATION, "op4_licenses": _licenses(), "op8_urls": _urls(), "op11_filter_audit": AUDIT}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, neighbours, packing, quality, secrets, sharding, simhash, toxicity, urlfilter
+from . import audit, decontamination, licenses, neighbours, packing, quality, secrets, sharding, simhash, toxicity, urlfilter
 from .sampling import held_out
 
 #: Rules (host and path, verdict) of the url query.
@@ -100,5 +100,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = audit.flag_texts(table(spark, sf_dir, "documents"))
+    marked = audit.with_labels(flagged, table(spark, sf_dir, "labels"), {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
+    return audit.audit(marked, marks=("good", "toxic"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_toxicity, op4_licenses, op5_secrets, op6_packing, op7_quality, op8_urls, op9_sharding, op10_neighbours)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_toxicity, op4_licenses, op5_secrets, op6_packing, op7_quality, op8_urls, op9_sharding, op10_neighbours, op11_filter_audit)}
