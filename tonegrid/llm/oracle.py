@@ -80,5 +80,42 @@ SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST
   CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
 
 
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+#: CRC-32 of the decimal id, bit by bit: -1 is a shift.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+  lambda i: [CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+MERKLE = f"""
+WITH RECURSIVE l AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf('text')} AS leaf,
+  CASE WHEN coalesce(({CRC} & 1) = 0, false) THEN {_leaf("replace(text, chr(10), '')")} END AS other FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l),
+n AS (SELECT tree, 0 AS level, place, leaf AS digest FROM p
+  UNION ALL SELECT tree, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS nodes FROM n) WHERE nodes > 1 GROUP BY tree, level, place // 3),
+s AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS seat FROM (SELECT tree, arg_max(digest, level) AS digest FROM n GROUP BY tree)),
+m AS (SELECT 0 AS level, seat, subroot AS digest FROM s
+  UNION ALL SELECT level + 1, seat // 3, sha256(string_agg(digest, '' ORDER BY seat)) FROM (SELECT *, count(*) OVER () AS nodes FROM m) WHERE nodes > 1 GROUP BY level, seat // 3),
+r AS (SELECT arg_max(digest, level) AS root, max(level) AS height FROM m),
+h AS (SELECT tree, max(level) AS height FROM n GROUP BY tree),
+u AS (SELECT doc_id, leaf, p.tree, p.place, n.level, string_agg(n.digest, '' ORDER BY n.place) FILTER (WHERE n.place < p.place // CAST(3 ** n.level AS BIGINT)) AS before,
+    string_agg(n.digest, '' ORDER BY n.place) FILTER (WHERE n.place > p.place // CAST(3 ** n.level AS BIGINT)) AS after
+  FROM p JOIN h USING (tree) JOIN n ON n.tree = p.tree AND n.level < h.height AND n.place // 3 = p.place // CAST(3 ** (n.level + 1) AS BIGINT) GROUP BY ALL),
+v AS (SELECT tree, m.level, string_agg(m.digest, '' ORDER BY m.seat) FILTER (WHERE m.seat < s.seat // CAST(3 ** m.level AS BIGINT)) AS before,
+    string_agg(m.digest, '' ORDER BY m.seat) FILTER (WHERE m.seat > s.seat // CAST(3 ** m.level AS BIGINT)) AS after
+  FROM s, r, m WHERE m.level < r.height AND m.seat // 3 = s.seat // CAST(3 ** (m.level + 1) AS BIGINT) GROUP BY ALL),
+w AS (SELECT tree, list(coalesce(before, '') || '|' || coalesce(after, '') ORDER BY level) AS steps FROM v GROUP BY tree),
+o AS (SELECT tree, place, list(coalesce(before, '') || '|' || coalesce(after, '') ORDER BY level) AS steps FROM u GROUP BY tree, place),
+f AS (SELECT p.doc_id, p.leaf, s.subroot, r.root, p.other, list_concat(coalesce(o.steps, []), coalesce(w.steps, [])) AS steps
+  FROM p JOIN s USING (tree) CROSS JOIN r LEFT JOIN o ON o.tree = p.tree AND o.place = p.place LEFT JOIN w ON w.tree = p.tree),
+g AS (SELECT *, list_reduce(list_prepend(coalesce(other, leaf), steps), lambda d, s: sha256(split_part(s, '|', 1) || d || split_part(s, '|', 2))) AS folded_root FROM f)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": DECONTAMINATION, "op4_licenses": _licenses(), "op8_urls": _urls(), "op11_filter_audit": AUDIT}
+    return {"op1_decontamination": DECONTAMINATION, "op4_licenses": _licenses(), "op8_urls": _urls(), "op11_filter_audit": AUDIT, "op12_merkle": MERKLE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, decontamination, licenses, neighbours, packing, quality, secrets, sharding, simhash, toxicity, urlfilter
+from . import audit, decontamination, licenses, merkle, neighbours, packing, ppm, quality, secrets, sharding, simhash, toxicity, urlfilter
 from .sampling import held_out
 
 #: Rules (host and path, verdict) of the url query.
@@ -106,5 +106,22 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(marked, marks=("good", "toxic"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    cut = [F.col(f) for f in fields[:-1]] + [F.replace(F.col("text"), F.lit("\n"), F.lit(""))]
+    found = merkle.manifest(table(spark, sf_dir, "documents"), fields, extra={"tampered": F.when(even & F.col("text").contains("\n"), merkle.leaf_digest(cut))})
+    refolded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), refolded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ppm.train(docs, held_out("doc_id", 10, 0))
+    scored = ppm.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_toxicity, op4_licenses, op5_secrets, op6_packing, op7_quality, op8_urls, op9_sharding, op10_neighbours, op11_filter_audit)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_toxicity, op4_licenses, op5_secrets, op6_packing, op7_quality, op8_urls, op9_sharding, op10_neighbours, op11_filter_audit, op12_merkle, op13_ppm)}
