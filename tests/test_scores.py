@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tonegrid.config import TokenizerConfig
 from tonegrid.operators import controls, scores, sequences, subword, tokens
-from tonegrid.operators.chords import chords_of
 from tonegrid.operators.decode import note_pairs
 from tonegrid.operators.pertok import PerTokGrid
 from tonegrid.operators.scores import ScoreTables, _aligned
@@ -142,14 +141,6 @@ def test_note_pairs_are_first_in_first_out(spark):
     assert rows(note_pairs(df, F.lit(4).cast("long"))) == [(0, 4, 90), (3, 4, 80), (12, 3, 70), (20, 4, 60)]
 
 
-def test_chords():
-    c = TokenizerConfig(chord_tokens_with_root_note=True)
-    triad = [(0, p, 8, 8) for p in (60, 64, 67)]
-    assert chords_of([*triad, (16, 50, 20, 8)], c, 8) == [(0, "C:maj")]
-    assert chords_of([*triad[:2], (0, 67, 20, 8)], c, 8) == []
-    assert chords_of([(0, p, 8, 8) for p in (60, 61, 62)], c.with_(chord_unknown=(3, 6)), 8) == [(0, "C:ukn3")]
-
-
 def test_pertok_keeps_notes_within_its_tolerance(spark):
     rng = random.Random(8)
     notes = sorted((1, 0, 0, rng.randrange(0, 9000), rng.randrange(40, 900), 40 + k % 40, 80) for k in range(80))
@@ -176,7 +167,7 @@ def test_sequence_algebra(spark):
     t = Tokenizer.of("TSD", TokenizerConfig(use_programs=True))
     p = t.preprocess(tables(spark, band(5)))
     out = t.encode(p, preprocessed=True).cache()
-    assert all(r.equal for r in tokens.same(out, tokens.appended(tokens.sliced(out, 0, 17), tokens.sliced(out, 17))).collect())
+    assert all(r.equal for r in sequences.equal(out, tokens.appended(tokens.sliced(out, 0, 17), tokens.sliced(out, 17))).collect())
     parts = tokens.split_at_ticks(out, t.bars(p))
     assert line(parts) == line(out) and parts.where("part > 0").count() > 0
     ids = t.ids(out)

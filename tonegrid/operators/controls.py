@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import TokenizerConfig
 from ..functions import literal_array, token
+from .asof import as_of
 
 # Note lengths by name, in quarter notes.
 LENGTHS = (("Whole", 4.0), ("Half", 2.0), ("Quarter", 1.0), ("Eight", 0.5), ("Sixteenth", 0.25), ("ThirtySecond", 0.125))
@@ -23,14 +24,9 @@ TRACK = ["score_id", "track_idx"]
 
 
 def with_bar(notes: DataFrame, bars: DataFrame) -> DataFrame:
-    """Notes with ``bar`` (number) and ``bar_tick`` of the bar that holds their onset.
-
-    A score's bar ticks are few and travel as one array; the bar is found by counting starts.
-    """
-    ticks = bars.groupBy("score_id").agg(F.array_sort(F.collect_list("tick")).alias("ticks"))
-    rows = notes.join(ticks, "score_id")
-    n = F.size(F.filter("ticks", lambda t: t <= F.col("time"))) - 1
-    return rows.withColumn("bar", n.cast("long")).withColumn("bar_tick", F.get("ticks", F.col("bar").cast("int"))).drop("ticks")
+    """Notes with ``bar`` (number) and ``bar_tick`` of the bar that holds their onset; -1 and null before the first one."""
+    rows = as_of(notes, bars.select("score_id", F.col("n").alias("bar"), F.col("tick").alias("bar_tick")), ["score_id"], "time", "bar_tick", ["bar", "bar_tick"])
+    return rows.withColumn("bar", F.coalesce("bar", F.lit(-1).cast("long")))
 
 
 def _out(df: DataFrame, bar: Column | None, *tokens: Column) -> DataFrame:

@@ -1,8 +1,10 @@
 """Decoders: token sequences back to score tables.
 
 Ticks are running sums of what the time tokens add; notes are put together from the tokens that
-follow their pitch (lead), programs from the last program token before (last value).  Only rests
-feed a note's end back into the clock; streams with rests are folded.
+follow their pitch (lead), programs from the last program token before (last value).  Rests feed a
+note's end back into the clock: a scan of max-plus matrices gives what they add.  Where bars follow
+such a clock (REMI with rests) a bar number is rounded down from it, which no matrix expresses; these
+streams are folded.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_VELOCITY, TokenizerConfig
 from ..functions import qpm_to_mspq, quotient, token_type, token_value
 from ..grids import Grids, TickTable
+from . import maxplus
 
 SEQ = ["score_id", "seq_idx"]
 PITCHED = ("Pitch", "PitchDrum", "NoteOn", "DrumOn", "PitchIntervalTime", "PitchIntervalChord")
@@ -171,8 +174,39 @@ def shifted(tokens: DataFrame, c: TokenizerConfig) -> DataFrame:
     return rows.withColumn("tick", F.coalesce(F.sum(F.coalesce(step, F.lit(0))).over(before()), F.lit(0)))
 
 
+def with_sounding(rows: DataFrame, c: TokenizerConfig, marking: tuple[str, ...]) -> DataFrame:
+    """``until``: the latest tick that a token keeps sounding, on a row's own ``clock``; null for others."""
+    w, offset = by_place(), 1 + c.use_velocities
+    length = F.when(F.lead("type", offset).over(w) == "Duration", F.coalesce(span_at(F.lead("value", offset).over(w), c), F.lit(0)))
+    rows = rows.withColumn("length", F.when(F.col("type").isin(list(PITCHED)), length))
+    until = F.when(F.col("length").isNotNull(), F.col("clock") + F.col("length")).when(F.col("type").isin(list(marking)), F.col("clock"))
+    return rows.withColumn("until", until).drop("length")
+
+
+def rested_shifts(tokens: DataFrame, c: TokenizerConfig, marking: tuple[str, ...]) -> DataFrame:
+    """``tick`` of time shifts and of rests that start from the latest note end.
+
+    ``clock`` sums up both as if no note were sounding at a rest; from rest to rest the real clock runs
+    ahead of it by a lift that the ends of notes raise.
+    """
+    rows = with_ticks_per_beat(parsed(tokens), c)
+    step = F.when(F.col("type") == "TimeShift", span_at(F.col("value"), c)).when(F.col("type") == "Rest", span_at(F.col("value"), c, rest=True))
+    rows = rows.withColumn("step", F.coalesce(step, F.lit(0)).cast("long"))
+    rows = rows.withColumns({"clock": F.sum("step").over(before()), "n": F.sum(F.when(F.col("type") == "Rest", 1).otherwise(0)).over(before()).cast("long")})
+    rows = with_sounding(rows, c, marking)
+    ahead = F.coalesce(F.max("until"), F.lit(maxplus.NEVER))
+    spans = rows.groupBy(*SEQ, "n").agg(ahead.alias("until"), F.min(F.when(F.col("type") == "Rest", F.col("clock") - F.col("step"))).alias("rest"))
+    # At a rest the lift becomes what the latest end is ahead of the clock; then the notes that follow are lifted by it.
+    lifted = -F.col("rest")
+    later = maxplus.matrix(0, lifted, F.col("until"), F.greatest(F.lit(0).cast("long"), F.col("until") + lifted))
+    first = maxplus.matrix(0, maxplus.NEVER, F.greatest(F.col("until"), F.lit(0)), 0)
+    lifts = maxplus.scan(spans.select(*SEQ, "n", F.when(F.col("rest").isNull(), first).otherwise(later).alias("m")), SEQ)
+    rows = rows.join(lifts.select(*SEQ, "n", "state.lift"), [*SEQ, "n"])
+    return rows.withColumn("tick", F.col("clock") + F.col("lift")).drop("clock", "step", "n", "lift", "until")
+
+
 def rested(tokens: DataFrame, c: TokenizerConfig, marking: tuple[str, ...], bars: bool) -> DataFrame:
-    """``tick`` where rests start from the latest note end: a fold over each stream."""
+    """``tick`` where rests start from the latest note end and move bars: a fold over each stream."""
     g = Grids(c)
     of = g.ticks_per_beat
     tables = {t: (dict(zip(x.names, x.ticks, strict=True)), dict(zip(y.names, y.ticks, strict=True))) for t in set(of.values()) | {g.positions_per_beat} for x, y in [(g.tick_table(t), g.tick_table(t, rest=True))]}
@@ -246,7 +280,7 @@ def in_bars(tokens: DataFrame, c: TokenizerConfig) -> DataFrame:
 
 def tsd(tokens: DataFrame, c: TokenizerConfig) -> Decoded:
     marking = ("Program", "Tempo", "TimeSig", "Pedal", "PedalOff", "PitchBend", "Chord")
-    rows = rested(tokens, c, marking, bars=False) if c.use_rests else shifted(tokens, c)
+    rows = rested_shifts(tokens, c, marking) if c.use_rests else shifted(tokens, c)
     return decoded(with_pitch(with_program(rows, c), c), c)
 
 

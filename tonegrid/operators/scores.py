@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import TokenizerConfig
 from ..functions import by_value, clamp, half_even, literal_array, lookup, nearest_bin, qpm_to_mspq, quotient, ticks_per_beat
 from ..grids import Grids
+from .asof import last_not_after
 
 SECTION = "struct<start:bigint,end:bigint,num:int,den:int,tpb:bigint,tpbar:bigint,first_bar:bigint>"
 
@@ -85,6 +86,23 @@ def merge_pedals(pedals: DataFrame) -> DataFrame:
     return merged.select("score_id", "track_idx", "program", "time", (F.col("end") - F.col("time")).alias("duration"))
 
 
+def pedal_controls(pedals: DataFrame) -> DataFrame:
+    """(score_id, track_idx, program, time, number, value): a pedal as control 64 at 127 where it starts and 0 where it ends.
+
+    Rows have no order of their own; at one tick the release of a pedal comes before the next press.
+    """
+    mark = lambda at, value: F.struct(at.alias("time"), F.lit(64).alias("number"), F.lit(value).alias("value"))
+    both = F.array(mark(F.col("time"), 127), mark(F.col("time") + F.col("duration"), 0))
+    return pedals.select("score_id", "track_idx", "program", F.explode(both).alias("m")).select("score_id", "track_idx", "program", "m.*")
+
+
+def with_default_tempo(tempos: DataFrame, scores: DataFrame, qpm: float = 120.0) -> DataFrame:
+    """Scores without a tempo at tick 0 get ``qpm`` quarters a minute there."""
+    missing = scores.select("score_id").join(tempos.where("time = 0").select("score_id"), "score_id", "left_anti")
+    default = missing.select("score_id", F.lit(-1).alias("seq"), F.lit(0).cast("long").alias("time"), F.lit(60e6 / qpm).alias("mspq"))
+    return tempos.select("score_id", "seq", "time", "mspq").unionByName(default)
+
+
 def snap_tempos(tempos: DataFrame, scores: DataFrame, c: TokenizerConfig) -> DataFrame:
     """Tempos on the grid: the last one of a tick, on request no repeats, always one at tick 0."""
     g = Grids(c)
@@ -185,8 +203,7 @@ def with_sections(df: DataFrame, tables: ScoreTables, c: TokenizerConfig) -> Dat
 
 def section_at(time: Column) -> Column:
     """The section of ``sections`` that holds a tick; the only one where there is one (folded to a constant without signatures)."""
-    last = F.element_at(F.filter("sections", lambda s: s.start <= F.greatest(time, F.lit(0))), -1)
-    return F.when(F.size("sections") == 1, F.get("sections", F.lit(0))).otherwise(last)
+    return F.when(F.size("sections") == 1, F.get("sections", F.lit(0))).otherwise(F.get("sections", last_not_after("sections", lambda s: s.start, time)))
 
 
 def bar_at(time: Column, section: Column) -> Column:
@@ -211,6 +228,56 @@ def snap_durations(notes: DataFrame, c: TokenizerConfig) -> DataFrame:
     return notes.withColumn("duration", snapped if len(c.use_note_duration_programs) == 129 else F.when(with_tokens, snapped).otherwise(F.col("duration")))
 
 
+def _merged_factors(p: int) -> Column:
+    """From ``sections`` the ranges (start, end, factor) in which positions are equally many ticks apart."""
+    kind = "array<struct<start:bigint,end:bigint,factor:bigint>>"
+    factor = lambda s: F.greatest(quotient(s.tpb, p), F.lit(1))
+    one = lambda start, end, f: F.array(F.struct(start.alias("start"), end.alias("end"), f.cast("long").alias("factor")))
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        same = (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1)).factor == factor(s))
+        return F.when(same, F.concat(F.slice(out, 1, F.size(out) - 1), one(last.start, s.end, factor(s)))).otherwise(F.concat(out, one(s.start, s.end, factor(s))))
+
+    return F.aggregate("sections", F.expr(f"cast(array() as {kind})"), step)
+
+
+def resnap_over_changes(notes: DataFrame, p: int) -> DataFrame:
+    """Durations of notes on the grid of their section, ends moved where notes reach into the next one.
+
+    ``notes`` has ``sections``, ``onset`` (the tick before it was snapped) and ``time``.  A range of
+    equal grids ends, for a track, at its first note beyond; notes before that reach its tick are ended on a multiple
+    of a factor instead.  The factor is that of the first range, from their own on, whose number of notes before
+    its end isn't below their tick, else of the last range: a comparison of a count with a tick, which these
+    tokenizers make and whose results are kept.  In the last range nothing is moved.
+    """
+    track = Window.partitionBy("score_id", "track_idx", "program")
+    rows = notes.withColumn("ranges", _merged_factors(p)).withColumn("k", last_not_after("ranges", lambda r: r.start, F.col("onset")))
+    rows = rows.withColumn("factor", F.get("ranges", F.col("k")).factor)
+    snapped = half_even(F.col("duration") / F.col("factor")) * F.col("factor")
+    rows = rows.withColumn("duration", F.when(snapped == 0, F.col("factor")).otherwise(snapped))
+    by_range = track.orderBy("k")
+    rows = rows.withColumns({
+        "n": F.count("*").over(track),
+        "known": F.count("*").over(by_range),  # notes of ranges up to the row's own
+        "beyond": F.min("time").over(by_range.rangeBetween(1, Window.unboundedFollowing)),
+        "last": F.max("time").over(track),
+        "nth": F.row_number().over(track.orderBy("onset", "pitch", "duration", "velocity")) - 1,
+    })
+    # One entry per range that has notes; of others the one before counts.
+    counts = F.array_sort(F.collect_set(F.struct("k", "known")).over(track))
+    rows = rows.withColumn("counts", counts)
+    place = F.sequence(F.col("k"), F.size("ranges") - 1)
+    before = lambda j: F.element_at(F.filter("counts", lambda c: c.k <= j), -1).known
+    index = lambda j: F.when(j == F.size("ranges") - 1, F.col("n") - 1).otherwise(F.least(before(j), F.col("n") - 1))
+    chosen = F.coalesce(F.get(F.filter(place, lambda j: index(j) >= F.col("time")), F.lit(0)), F.size("ranges") - 1)
+    reaches = (F.col("k") < F.size("ranges") - 1) & (F.col("nth") < F.least("known", F.col("n") - 1)) & (F.col("time") + F.col("duration") >= F.coalesce("beyond", "last"))
+    f = F.get("ranges", chosen).factor
+    ended = half_even((F.col("time") + F.col("duration")) / f) * f - F.col("time")
+    rows = rows.withColumn("duration", F.when(reaches, ended).otherwise(F.col("duration")))
+    return rows.drop("ranges", "k", "factor", "n", "known", "beyond", "last", "nth", "counts")
+
+
 def preprocess(tables: ScoreTables, c: TokenizerConfig, note_on_off: bool = False, tpq: int | None = None, snap: bool = True) -> ScoreTables:
     """Scores resampled and snapped onto the grids of ``c``.
 
@@ -258,9 +325,14 @@ def preprocess(tables: ScoreTables, c: TokenizerConfig, note_on_off: bool = Fals
     notes = with_sections(scaled(notes, "time", "duration"), result, c)
     if c.use_velocities:
         notes = notes.withColumn("velocity", snapped_velocity(c))
-    notes = on_section_grid(notes, "time")
+    notes = on_section_grid(notes.withColumn("onset", F.col("time")), "time")
     if snap and not note_on_off:
         notes = snap_durations(notes, c)
+    elif note_on_off and sections is not None:
+        lasting = F.col("program").isin(list(c.use_note_duration_programs)) if len(c.use_note_duration_programs) < 129 else F.lit(True)
+        moved = resnap_over_changes(notes.where(lasting), p)
+        notes = moved if len(c.use_note_duration_programs) == 129 else moved.unionByName(notes.where(~lasting))
+    notes = notes.drop("onset")
     notes = notes.drop("sections")
     if c.remove_duplicated_notes:
         notes = deduplicate_notes(notes)

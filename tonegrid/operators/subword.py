@@ -98,10 +98,11 @@ def encode_ids(ids: DataFrame, vocabulary: Vocabulary, model: SubwordModel, tick
         for b in batches:
             yield b[["score_id", "seq_idx", "track", "part"]].assign(ids=[model.encode(t) for t in b["text"]])
 
-    merged = pieces.mapInPandas(merge, "score_id long, seq_idx int, track int, part int, ids array<int>")
-    whole = F.array_sort(F.collect_list(F.struct("track", "part", "ids")))
-    flat = merged.groupBy("score_id", "seq_idx").agg(F.flatten(F.transform(whole, lambda x: x.ids)).alias("ids"))
-    return flat.select("score_id", "seq_idx", F.posexplode("ids").alias("pos", "id")).withColumn("pos", F.col("pos").cast("long"))
+    merged = pieces.mapInPandas(merge, "score_id long, seq_idx int, track int, part long, ids array<int>")
+    n = F.size("ids")
+    w = Window.partitionBy("score_id", "seq_idx").orderBy("track", "part")
+    flat = merged.withColumn("first", F.sum(n).over(w) - n).select("score_id", "seq_idx", "first", F.posexplode("ids").alias("i", "id"))
+    return flat.select("score_id", "seq_idx", (F.col("first") + F.col("i")).cast("long").alias("pos"), "id")
 
 
 def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, model: SubwordModel) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import token_type
 from ..vocabulary import Vocabulary
+from .asof import as_of
 
 
 def _known(column: str, looked_up: str):
@@ -63,6 +64,17 @@ def types_in(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return vocabulary.table(spark).groupBy("vocab_idx", "type").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def type_counts(ids: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(score_id, type, n_ids, n_used, n_tokens): of every type of the vocabulary its ids, those that a score uses, and how often.
+
+    ``ids`` has score_id and id; the vocabulary (a few hundred rows) is broadcast.
+    """
+    types = vocabulary.table(ids.sparkSession).where("vocab_idx = 0").select("id", "type")
+    sizes = types.groupBy("type").agg(F.count("*").alias("n_ids"))
+    known = ids.join(F.broadcast(types), "id").groupBy("score_id", "type").agg(F.countDistinct("id").alias("n_used"), F.count("*").alias("n_tokens"))
+    return known.join(F.broadcast(sizes), "type").select("score_id", "type", "n_ids", "n_used", "n_tokens")
+
+
 def sliced(tokens: DataFrame, start: int, end: int | None = None) -> DataFrame:
     """Places ``start`` up to ``end`` (exclusive; to the end without one), numbered from 0."""
     kept = tokens.where((F.col("pos") >= start) & (F.lit(True) if end is None else F.col("pos") < end))
@@ -83,12 +95,9 @@ def split_at_ticks(tokens: DataFrame, ticks: DataFrame, *within: str) -> DataFra
     Tokens before the second tick are part 0.  Ticks never fall along a stream (or along what the
     columns ``within`` tell apart in it), so the parts are ranges of places.
     """
-    starts = ticks.groupBy("score_id").agg(F.array_sort(F.collect_list("tick")).alias("starts"))
-    rows = tokens.join(starts, "score_id", "left")
+    rows = as_of(tokens, ticks.select("score_id", F.col("tick").alias("start"), F.col("n").alias("reached")), ["score_id"], "tick", "start", ["reached"])
     w = Window.partitionBy("score_id", "seq_idx", *within).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.size(F.filter("starts", lambda s: s <= F.col("tick"))) - 1
-    rows = rows.withColumn("part", F.greatest(F.max(F.greatest(F.coalesce(reached, F.lit(0)), F.lit(0))).over(w), F.lit(0)))
-    return rows.drop("starts")
+    return rows.withColumn("part", F.max(F.greatest(F.coalesce("reached", F.lit(0)), F.lit(0))).over(w)).drop("reached")
 
 
 def split_tracks(tokens: DataFrame, keep_markers: bool = True) -> DataFrame:
@@ -109,9 +118,3 @@ def are_encoded(ids: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def with_type(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("type", token_type(F.col("token")))
 
-
-def same(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(score_id, seq_idx, equal): whether both hold the same tokens in the same order."""
-    keys = ["score_id", "seq_idx"]
-    digest = lambda df, name: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x.token).alias(name))
-    return digest(a, "a").join(digest(b, "b"), keys, "full").select(*keys, F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("equal"))

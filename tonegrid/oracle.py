@@ -6,6 +6,8 @@ that the Spark side looks values up in.
 
 from __future__ import annotations
 
+from .config import CHORD_MAPS, PITCH_CLASSES
+
 RAW = """notes_raw AS (
   SELECT l_suppkey AS score_id, CAST(l_linenumber - 1 AS INT) AS track_idx,
     CAST(CASE WHEN l_linenumber = 7 THEN -1 ELSE (l_linenumber - 1) * 8 END AS INT) AS program,
@@ -170,8 +172,8 @@ c AS (SELECT *, last_value(opened IGNORE NULLS) OVER (PARTITION BY score_id, tra
 d AS (SELECT *, CASE WHEN program = -1 OR t0 IS NULL THEN 'none' WHEN t0 <> time AND time - t0 <= 8 AND abs(pitch - ref) <= 16 THEN 'PitchIntervalTime'
   WHEN t0 = time AND abs(pitch - p0) <= 16 THEN 'PitchIntervalChord' ELSE 'none' END AS interval_type FROM c)
 SELECT score_id, program, time, pitch, interval_type, CAST(CASE interval_type WHEN 'PitchIntervalTime' THEN pitch - ref WHEN 'PitchIntervalChord' THEN pitch - p0 ELSE 0 END AS INT) AS interval FROM d"""
-CHANGES = f"""{NOTES}, a AS (SELECT score_id, program, lag(program, 1, -2) OVER (PARTITION BY score_id ORDER BY {ORDER}) AS before FROM notes)
-SELECT score_id, program, count(*) AS n_changes FROM a WHERE before <> program GROUP BY score_id, program"""
+CHANGES = f"""{NOTES}, a AS (SELECT *, lag(program, 1, -2) OVER (PARTITION BY score_id ORDER BY {ORDER}) AS before, row_number() OVER (PARTITION BY score_id ORDER BY {ORDER}) AS rn FROM notes)
+SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY rn) - 1 AS nth, time, program FROM a WHERE before <> program"""
 TEMPO_NAME = "regexp_replace(printf('%.2f', qpm), '0$', '')"
 EVENTS = f"""{NOTES}, a AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY {ORDER}) AS rn FROM notes),
 b AS (SELECT score_id, rn, time, unnest(range(1, 5)) AS i, {NOTE} AS toks FROM a)
@@ -180,13 +182,12 @@ COMPOUND_IDS = f"""{NOTES}, a AS (SELECT *, CAST(row_number() OVER (PARTITION BY
 b AS (SELECT score_id, pos, unnest(range(6)) AS k, [CASE WHEN program = -1 THEN 92 + pitch - 27 ELSE 4 + pitch - 21 END, 4 + time % 32, 4 + time // 32, 3 + (velocity + 1) // 4,
   4 + CASE WHEN duration < 32 THEN duration - 1 ELSE 31 + (duration - 32) // 2 END, 5 + program] AS v FROM a)
 SELECT score_id, pos, CAST(k AS INT) AS vocab_idx, CAST(v[k + 1] AS INT) AS id FROM b"""
-TYPES = """SELECT * FROM (VALUES ('PAD', 1, 0), ('BOS', 1, 1), ('EOS', 1, 2), ('MASK', 1, 3), ('Pitch', 88, 4), ('Velocity', 32, 92), ('Duration', 64, 124), ('TimeShift', 64, 188),
-  ('PitchDrum', 61, 252), ('Program', 129, 313)) AS t(type, n_ids, first_id)"""
-TYPES = f"SELECT type, CAST(n_ids AS BIGINT) AS n_ids, CAST(first_id AS BIGINT) AS first_id FROM ({TYPES})"
-PAIRS = f"""WITH {RAW}, ons AS (SELECT score_id, program, pitch, time, row_number() OVER (PARTITION BY score_id, program, pitch ORDER BY time) AS k FROM notes_raw),
+TYPES = """(VALUES ('PAD', 1), ('BOS', 1), ('EOS', 1), ('MASK', 1), ('Pitch', 88), ('Velocity', 32), ('Duration', 64), ('TimeShift', 64), ('PitchDrum', 61), ('Program', 129)) AS t(type, n_ids)"""
+TYPES_USED = f"""SELECT score_id, type, CAST(n_ids AS BIGINT) AS n_ids, count(DISTINCT token) AS n_used, count(*) AS n_tokens
+FROM (SELECT *, split_part(token, '_', 1) AS type FROM ({TSD})) JOIN {TYPES} USING (type) GROUP BY score_id, type, n_ids"""
+PAIRS = f"""WITH {RAW}, ons AS (SELECT *, row_number() OVER (PARTITION BY score_id, program, pitch ORDER BY time, velocity) AS k FROM notes_raw),
 offs AS (SELECT score_id, program, pitch, time + duration AS stop, row_number() OVER (PARTITION BY score_id, program, pitch ORDER BY time + duration) AS k FROM notes_raw)
-SELECT score_id, program, pitch, count(*) AS n_notes, CAST(sum(stop - time) AS BIGINT) AS ticks, min(time) AS first, max(time) AS last
-FROM ons JOIN offs USING (score_id, program, pitch, k) GROUP BY score_id, program, pitch"""
+SELECT score_id, program, time, stop - time AS duration, pitch, velocity FROM ons JOIN offs USING (score_id, program, pitch, k)"""
 REPEATED = f"""{notes(dedup=False)}, a AS (SELECT score_id, row_number() OVER (PARTITION BY score_id, time, program, pitch ORDER BY duration, velocity) AS n FROM notes)
 SELECT score_id, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_errors FROM a GROUP BY score_id"""
 
@@ -211,12 +212,53 @@ def at_sixteen(x: str) -> str:
 
 
 FINE = "CASE WHEN ticks >= 192 THEN 192 WHEN ticks > 64 THEN (ticks + 2) // 4 * 4 ELSE ticks + ticks % 2 END"
-PREPARED_SIGNATURES = f"""WITH {RAW}, {ALIGNED},
+# Ranges of equal grids: two ticks to a position in quarters, one in eighths; at most four, numbered by the changes between them.
+RESNAPPED = f"""WITH {RAW}, {ALIGNED},
+f AS (SELECT score_id, [x0, x1, x2, x3] AS x, [8 // den0, 8 // den1, 8 // den2, 8 // den3] AS g FROM aligned),
+r AS (SELECT score_id, x, g, [0, CASE WHEN g[2] <> g[1] THEN 1 ELSE 0 END, CASE WHEN g[2] <> g[1] THEN 1 ELSE 0 END + CASE WHEN g[3] <> g[2] THEN 1 ELSE 0 END,
+  CASE WHEN g[2] <> g[1] THEN 1 ELSE 0 END + CASE WHEN g[3] <> g[2] THEN 1 ELSE 0 END + CASE WHEN g[4] <> g[3] THEN 1 ELSE 0 END] AS k FROM f),
+placed AS (SELECT n.*, {at_sixteen("time")} AS t, greatest({at_sixteen("duration")}, 1) AS ticks, {VELOCITY} AS loud FROM notes_raw n WHERE {IN_RANGE}),
+found AS (SELECT p.*, r.x, r.g, r.k AS ks, CASE WHEN t >= x[4] THEN 4 WHEN t >= x[3] THEN 3 WHEN t >= x[2] THEN 2 ELSE 1 END AS i FROM placed p JOIN r USING (score_id)),
+own AS (SELECT *, ks[i] AS k, g[i] AS f, CAST(round_even(t / CAST(g[i] AS DOUBLE), 0) AS BIGINT) * g[i] AS at_tick, CAST(round_even(ticks / CAST(g[i] AS DOUBLE), 0) AS BIGINT) * g[i] AS d FROM found),
+long AS (SELECT *, CASE WHEN d = 0 THEN f ELSE d END AS len FROM own),
+seen AS (SELECT *, count(*) OVER tr AS n, max(at_tick) OVER tr AS last, row_number() OVER (PARTITION BY score_id, track_idx, program ORDER BY t, pitch, len, loud) - 1 AS nth,
+  [count(*) FILTER (WHERE k <= 0) OVER tr, count(*) FILTER (WHERE k <= 1) OVER tr, count(*) FILTER (WHERE k <= 2) OVER tr, count(*) FILTER (WHERE k <= 3) OVER tr] AS upto,
+  [min(at_tick) FILTER (WHERE k > 0) OVER tr, min(at_tick) FILTER (WHERE k > 1) OVER tr, min(at_tick) FILTER (WHERE k > 2) OVER tr, NULL] AS next
+  FROM long WINDOW tr AS (PARTITION BY score_id, track_idx, program)),
+picked AS (SELECT *, coalesce(list_filter(range(k, ks[4] + 1), lambda j: CASE WHEN j = ks[4] THEN n - 1 ELSE least(upto[j + 1], n - 1) END >= at_tick)[1], ks[4]) AS j FROM seen),
+moved AS (SELECT score_id, track_idx, program, at_tick AS time, pitch, loud AS velocity, g[list_position(ks, j)] AS ff, len,
+  k < ks[4] AND nth < least(upto[k + 1], n - 1) AND at_tick + len >= coalesce(next[k + 1], last) AS reaches FROM picked),
+ended AS (SELECT * EXCLUDE (len), CASE WHEN reaches THEN CAST(round_even((time + len) / CAST(ff AS DOUBLE), 0) AS BIGINT) * ff - time ELSE len END AS duration FROM moved)
+SELECT {ROWS} FROM ended QUALIFY row_number() OVER (PARTITION BY score_id, track_idx, time, pitch ORDER BY duration, velocity) = 1"""
+SIGNED_NOTES = f"""{RAW}, {ALIGNED},
 placed AS (SELECT n.score_id, track_idx, program, {at_sixteen("time")} AS t, greatest({at_sixteen("duration")}, 1) AS ticks, pitch, {VELOCITY} AS velocity FROM notes_raw n WHERE {IN_RANGE}),
 gridded AS (SELECT p.*, a.*, CASE WHEN {in_section("den", "t")} = 4 THEN CAST(round_even(t / CAST(2 AS DOUBLE), 0) AS BIGINT) * 2 ELSE t END AS at_tick
   FROM placed p JOIN (SELECT score_id AS of_score, x1, x2, x3, den0, den1, den2, den3 FROM aligned) a ON p.score_id = a.of_score),
-lasting AS (SELECT score_id, track_idx, program, at_tick AS time, CASE WHEN {in_section("den", "at_tick")} = 4 THEN {FINE} ELSE {SNAP} END AS duration, pitch, velocity FROM gridded)
-SELECT {ROWS} FROM lasting QUALIFY row_number() OVER (PARTITION BY score_id, track_idx, time, pitch ORDER BY duration, velocity) = 1"""
+lasting AS (SELECT score_id, track_idx, program, at_tick AS time, CASE WHEN {in_section("den", "at_tick")} = 4 THEN {FINE} ELSE {SNAP} END AS duration, pitch, velocity FROM gridded),
+notes AS (SELECT * FROM lasting QUALIFY row_number() OVER (PARTITION BY score_id, track_idx, time, pitch ORDER BY duration, velocity) = 1)"""
+PREPARED_SIGNATURES = f"WITH {SIGNED_NOTES} SELECT {ROWS} FROM notes"
+# Events of scores with signatures and tempos: each with its section (a signature has that which it ends), the bar it falls in and the place in it.
+TEMPO_NAMED = "regexp_replace(printf('%.2f', qpm), '0$', '')"
+SIGNED_EVENTS = f"""{SIGNED_NOTES}, {SNAPPED_TEMPOS},
+lines AS (SELECT score_id, [x0, x1, x2, x3] AS x, [bar0, bar1, bar2, bar3] AS len, [num0, num1, num2, num3] AS num, [den0, den1, den2, den3] AS den,
+  [0, (x1 - x0) // bar0, (x1 - x0) // bar0 + (x2 - x1) // bar1, (x1 - x0) // bar0 + (x2 - x1) // bar1 + (x3 - x2) // bar2] AS fb FROM aligned),
+happening AS (
+  SELECT score_id, x[k + 1] AS time, -1 AS track_idx, 0 AS src, k AS seq, 0 AS pitch, 0 AS duration, 0 AS velocity, 0 AS program, ['TimeSig_' || num[k + 1] || '/' || den[k + 1]] AS own FROM lines CROSS JOIN {FOUR}
+  UNION ALL SELECT score_id, time // 30, -1, 1, seq, 0, 0, 0, 0, ['Tempo_' || {TEMPO_NAMED}] FROM near
+  UNION ALL SELECT score_id, time, track_idx, 6, 0, pitch, duration, velocity, program, [] FROM notes),
+located AS (SELECT h.*, l.*, CASE WHEN time - s >= x[4] THEN 4 WHEN time - s >= x[3] THEN 3 WHEN time - s >= x[2] THEN 2 ELSE 1 END AS i
+  FROM (SELECT *, CASE WHEN src = 0 THEN 1 ELSE 0 END AS s FROM happening) h JOIN (SELECT score_id AS of_score, * EXCLUDE (score_id) FROM lines) l ON h.score_id = l.of_score),
+events AS (SELECT score_id, time, track_idx, src, seq, pitch, duration, velocity, program, fb[i] + (time - x[i]) // len[i] AS bar, (time - x[i]) % len[i] // (CASE WHEN den[i] = 4 THEN 2 ELSE 1 END) AS place,
+  num[i] || '/' || den[i] AS signature, CASE WHEN src < 6 THEN own ELSE ['Program_' || program, {PITCH}, 'Velocity_' || velocity, 'Duration_' || {span("(duration // CASE WHEN den[i] = 4 THEN 2 ELSE 1 END)")}] END AS own FROM located)"""
+EVENT_ORDER = "time, track_idx, src, seq, pitch, duration, velocity"
+REMI_SIGNATURES = f"""WITH {SIGNED_EVENTS} {laid_out(f'''SELECT *, list_concat(CASE WHEN prev IS NULL OR prev <> time OR prev_src = 0 THEN list_concat(
+  flatten(list_transform(range(coalesce(done, -1) + 1, bar + 1), lambda n: CASE WHEN src = 0 AND n = bar THEN ['Bar_None'] ELSE ['Bar_None', 'TimeSig_' || signature] END)),
+  CASE WHEN src = 0 THEN {EMPTY} ELSE ['Position_' || place] END) ELSE {EMPTY} END, own) AS toks FROM (
+  SELECT *, lag(time) OVER w AS prev, lag(src) OVER w AS prev_src, lag(bar) OVER w AS done, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY score_id ORDER BY {EVENT_ORDER}))''')}"""
+OCTUPLE_SIGNATURES = f"""WITH {SIGNED_EVENTS}, tuned AS (SELECT *, coalesce(last_value(CASE WHEN src = 1 THEN own[1] END IGNORE NULLS) OVER (PARTITION BY score_id ORDER BY {EVENT_ORDER}
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'none') AS tempo FROM events)
+SELECT score_id, CAST(row_number() OVER (PARTITION BY score_id ORDER BY {EVENT_ORDER}) - 1 AS BIGINT) AS pos,
+  own[2] || ' Position_' || place || ' Bar_' || bar || ' ' || own[3] || ' ' || own[4] || ' ' || own[1] || ' ' || tempo || ' TimeSig_' || signature AS token FROM tuned WHERE src = 6"""
 
 
 def no_errors(sql: str) -> str:
@@ -282,11 +324,10 @@ shared AS (SELECT p.score_id, p.track_idx, p.bar, p.other, any_value(p.cells) AS
   GROUP BY p.score_id, p.track_idx, p.bar, p.other),
 means AS (SELECT score_id, track_idx, avg(n / CAST(cells AS DOUBLE)) AS m FROM shared GROUP BY score_id, track_idx)
 SELECT score_id, track_idx, {NO_BAR} AS bar, 'ACTrackRepetition_' || printf('%.2f', (SELECT arg_min(i / CAST(9 AS DOUBLE), abs(i / CAST(9 AS DOUBLE) - m)) FROM range(10) AS r(i))) AS token FROM means"""
-SPLIT = f"""{BARRED}, toks AS (SELECT *, len({shift(GAP)}) + 4 AS n FROM (SELECT *, lag(time) OVER (PARTITION BY score_id ORDER BY {ORDER}) AS prev FROM barred))
-SELECT score_id, bar AS part, CAST(sum(n) AS BIGINT) AS n_tokens FROM toks GROUP BY score_id, bar"""
-SPLIT_TRACKS = f"""SELECT score_id, CAST(sum(s) OVER (PARTITION BY score_id ORDER BY p) - 1 AS INT) AS seq_idx, n_tokens FROM (
-  SELECT score_id, part, min(pos) AS p, 1 AS s, CAST(count(*) FILTER (WHERE token NOT LIKE 'Track_%') AS BIGINT) AS n_tokens FROM (
-    SELECT *, sum(CASE WHEN token = 'Track_Start' THEN 1 ELSE 0 END) OVER (PARTITION BY score_id ORDER BY pos) AS part FROM ({MMM})) GROUP BY score_id, part)"""
+BARRED_TSD = stream(shift(GAP)).replace("FROM notes WINDOW", "FROM barred WINDOW")
+SPLIT = f"{BARRED} {laid_out(BARRED_TSD, columns='score_id, bar AS part')}"
+SPLIT_TRACKS = f"""SELECT score_id, CAST(part - 1 AS INT) AS seq_idx, row_number() OVER (PARTITION BY score_id, part ORDER BY pos) - 1 AS pos, token FROM (
+  SELECT *, sum(CASE WHEN token = 'Track_Start' THEN 1 ELSE 0 END) OVER (PARTITION BY score_id ORDER BY pos) AS part FROM ({MMM})) WHERE token NOT LIKE 'Track_%'"""
 
 
 # Controls of the track, pitch classes of every bar, densities of bars 0, 2, 5 and 6; kind -1, 0 and 1: of the track, of a bar, a note.
@@ -321,16 +362,60 @@ judged AS (SELECT *, {" AND ".join(("split_part(token, '_', 2) IN ('-1', '0', '8
 marked AS (SELECT *, coalesce(lag(merged) OVER (PARTITION BY score_id ORDER BY pos), false) AS taken FROM judged)"""
 BPE_TOKENS = f"""{BPE} SELECT score_id, CAST(row_number() OVER (PARTITION BY score_id ORDER BY pos) - 1 AS BIGINT) AS pos, CASE WHEN merged THEN token || ' ' || next ELSE token END AS piece FROM marked WHERE NOT taken"""
 MERGED_ID = "442 + (CASE token WHEN 'Program_-1' THEN 0 WHEN 'Program_0' THEN 50 ELSE 100 END) + try_cast(split_part(next, '_', 2) AS INT) - 30"
-BPE_IDS = f"""{BPE}, ids AS ({TOKEN_IDS}) SELECT score_id, count(*) AS n_ids, CAST(sum(CASE WHEN merged THEN {MERGED_ID} ELSE id END) AS BIGINT) AS sum_ids
-FROM marked JOIN ids USING (score_id, pos) WHERE NOT taken GROUP BY score_id"""
+BPE_IDS = f"""{BPE}, ids AS ({TOKEN_IDS}) SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY pos) - 1 AS pos, CAST(CASE WHEN merged THEN {MERGED_ID} ELSE id END AS INT) AS id
+FROM marked JOIN ids USING (score_id, pos) WHERE NOT taken"""
+PEDALS_OUT = f"""WITH merged AS ({PEDALS_MERGED}) SELECT score_id, program, time, CAST(64 AS INT) AS number, CAST(127 AS INT) AS value FROM merged
+UNION ALL SELECT score_id, program, time + duration, 64, 0 FROM merged"""
+MIDI_GLOBALS = f"""WITH {TEMPOS}, {SIGNATURES}, t AS (SELECT score_id, time, CAST(round_even(mspq, 0) AS BIGINT) AS mspq FROM tempos_raw WHERE time > 0 OR score_id % 2 = 0),
+s AS (SELECT score_id, time, num, den FROM signatures_raw WHERE seq > 0 OR score_id % 3 = 0)
+SELECT score_id, 'tempo' AS kind, time, CAST(0 AS INT) AS a, CAST(0 AS INT) AS b, mspq FROM t
+UNION ALL SELECT s_suppkey, 'tempo', 0, 0, 0, 500000 FROM supplier WHERE s_suppkey NOT IN (SELECT score_id FROM t WHERE time = 0)
+UNION ALL SELECT score_id, 'signature', time, num, den, 0 FROM s
+UNION ALL SELECT s_suppkey, 'signature', 0, 4, 4, 0 FROM supplier WHERE s_suppkey NOT IN (SELECT score_id FROM s WHERE time = 0)"""
+
+
+def chord_rows(notes: str) -> str:
+    """Chords among the rows of a CTE ``notes``: the steps of all notes, followed from the first one."""
+    track = "score_id, track_idx, program"
+    known = " ".join(f"WHEN '{','.join(map(str, shape))}' THEN '{name}'" for name, shape in CHORD_MAPS)
+    roots = "[" + ", ".join(f"'{p}'" for p in PITCH_CLASSES) + "]"
+    return f"""WITH RECURSIVE {notes},
+a AS (SELECT {track}, time AS t, pitch AS p, time + duration AS e, row_number() OVER w AS i, count(*) OVER (PARTITION BY {track} ORDER BY time) AS upto
+  FROM notes WHERE program <> -1 WINDOW w AS (PARTITION BY {track} ORDER BY time, pitch, duration, velocity)),
+b AS (SELECT *, list({{'t': t, 'p': p, 'e': e, 'upto': upto}}) OVER (PARTITION BY {track} ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ahead FROM a),
+c AS (SELECT *, list_filter(ahead, lambda n: n.t <= b.t + 1) AS near FROM b),
+d AS (SELECT *, len(list_filter(near, lambda n: abs(n.e - c.e) > 4)) > 0 AS passed, CASE WHEN e - t <= 4 THEN list_filter(near, lambda n: n.t = c.t) ELSE near END AS kept FROM c),
+s AS (SELECT {track}, i, t, CASE WHEN passed THEN i + len(near) ELSE kept[-1].upto + 1 END AS next, CASE WHEN NOT passed AND len(kept) BETWEEN 3 AND 5 AND kept[-1].p - p <= 24
+  THEN {roots}[p % 12 + 1] || ':' || CASE array_to_string(list_transform(kept, lambda n: n.p - d.p), ',') {known} ELSE 'ukn' || len(kept) END END AS chord FROM d),
+v AS (SELECT {track}, CAST(1 AS BIGINT) AS i FROM s WHERE i = 1 UNION ALL SELECT v.score_id, v.track_idx, v.program, s.next FROM v JOIN s USING ({track}, i))
+SELECT {track}, CAST(row_number() OVER (PARTITION BY {track} ORDER BY i) - 1 AS BIGINT) AS seq, t AS time, chord FROM v JOIN s USING ({track}, i) WHERE chord IS NOT NULL"""
+
+
+STEPS = "CASE pitch % 5 WHEN 0 THEN [0, 4, 7] WHEN 1 THEN [0, 3, 7] WHEN 2 THEN [0, 4, 7, 11] WHEN 3 THEN [0, 5] ELSE [0, 2, 9] END"
+TRIADS = f"""{RAW}, spread AS (SELECT *, unnest(range(len({STEPS}))) AS i FROM notes_raw WHERE program <> -1),
+notes AS (SELECT score_id, track_idx, program, time // 60 + CASE WHEN velocity % 7 = 0 AND i = 2 THEN 1 ELSE 0 END AS time, CAST(pitch + ({STEPS})[i + 1] AS INT) AS pitch,
+  2 + duration % 31 + CASE WHEN velocity % 11 = 0 AND i = 1 THEN 9 ELSE 0 END AS duration, velocity FROM spread)"""
 OTHERS = {
+    "durations_resnapped": RESNAPPED,
+    "remi_tokens_signatures": REMI_SIGNATURES,
+    "octuple_tokens_signatures": OCTUPLE_SIGNATURES,
+    "remi_decoded_signatures": PREPARED_SIGNATURES,
+    "octuple_decoded_signatures": PREPARED_SIGNATURES,
+    "octuple_tokens_clipped": OCTUPLE + " WHERE time // 32 < 20",
+    "chords": chord_rows(NOTES.removeprefix("WITH ")),
+    "chords_triads": chord_rows(TRIADS),
+    "midi_round_trip": OVERLAPS,
+    "midi_globals": MIDI_GLOBALS,
+    "pedal_controls": PEDALS_OUT,
+    "tempos_default": f"""WITH {TEMPOS}, late AS (SELECT score_id, time, mspq FROM tempos_raw WHERE NOT (time = 0 AND score_id % 3 = 1))
+SELECT score_id, time, mspq FROM late UNION ALL SELECT s_suppkey, 0, 500000 FROM supplier WHERE s_suppkey NOT IN (SELECT score_id FROM late WHERE time = 0)""",
     "bpe_tokens": BPE_TOKENS,
     "bpe_ids": BPE_IDS,
     "sequences_completed": f"SELECT t.score_id, t.pos, t.token, i.id FROM ({TSD}) t JOIN ({TOKEN_IDS}) i ON t.score_id = i.score_id AND t.pos = i.pos",
     "sequences_equal": f"""SELECT score_id, bool_and(NOT (score_id % 2 = 0 AND pos = score_id % 50 AND token <> 'Velocity_127') AND NOT (score_id % 5 = 3 AND pos % 9 = 4)) AS equal
 FROM ({TSD}) GROUP BY score_id""",
     "sequence_sizes": f"SELECT score_id, count(*) FILTER (WHERE score_id % 2 = 0 OR pos % 3 = 0) AS size FROM ({TSD}) GROUP BY score_id",
-    "signatures_outside": f"WITH {SIGNATURES} SELECT score_id, bool_or(den = 8) AS outside FROM signatures_raw WHERE seq < 2 GROUP BY score_id",
+    "signatures_outside": f"WITH {SIGNATURES} SELECT score_id, bool_or(den = 8 AND num + score_id // 4 % 3 <> 6) AS outside FROM signatures_raw GROUP BY score_id",
     "velocity_histogram": f"""WITH {RAW}, bins AS (SELECT score_id, unnest(range(8)) AS bin FROM (SELECT DISTINCT score_id FROM notes_raw)),
 counts AS (SELECT score_id, least((velocity - 3) // 12, 7) AS bin, count(*) AS n FROM notes_raw WHERE velocity BETWEEN 3 AND 99 GROUP BY 1, 2)
 SELECT score_id, CAST(bin AS INT) AS bin, coalesce(n, 0) AS n FROM bins LEFT JOIN counts USING (score_id, bin)""",
@@ -351,8 +436,8 @@ def oracle_sql() -> dict[str, str]:
         "notes_resampled": f"WITH {RAW} SELECT score_id, program, {at_eight('time')} AS time, greatest({at_eight('duration')}, 1) AS duration, pitch, velocity FROM notes_raw",
         "notes_dedup": DEDUP,
         "notes_prepared": rows(NOTES),
-        "tracks_merged": f"""WITH {RAW}, a AS (SELECT score_id, track_idx, CAST(CASE WHEN program = -1 THEN -1 ELSE program % 16 END AS INT) AS program FROM notes_raw)
-SELECT score_id, CAST(min(track_idx) AS INT) AS track_idx, program, count(*) AS n_notes FROM a GROUP BY score_id, program""",
+        "tracks_merged": f"""WITH {RAW}, a AS (SELECT * REPLACE (CAST(CASE WHEN program = -1 THEN -1 ELSE program % 16 END AS INT) AS program) FROM notes_raw)
+SELECT score_id, CAST(min(track_idx) OVER (PARTITION BY score_id, program) AS INT) AS track_idx, program, time, duration, pitch, velocity FROM a""",
         "tracks_nonempty": f"{NOTES} SELECT DISTINCT score_id, track_idx, program FROM notes",
         "overlaps_fixed": OVERLAPS,
         "pedals_merged": PEDALS_MERGED,
@@ -374,7 +459,7 @@ SELECT score_id, time, num, den FROM late UNION ALL SELECT s_suppkey, 0, 4, 4 FR
         "ids_to_tokens": TSD,
         "token_bytes": TSD,
         "compound_ids": COMPOUND_IDS,
-        "vocab_types": TYPES,
+        "vocab_types": TYPES_USED,
         "note_on_off_pairs": PAIRS,
         "dup_note_errors": REPEATED,
         "split_by_bar": SPLIT,
@@ -423,5 +508,5 @@ SELECT score_id, program, CAST(sum({NEAREST}) OVER (PARTITION BY score_id ORDER
             on_off=True,
         ),
     }
-    out |= {"mmm_decoded": rows(NOTES), "tsd_decoded_rests": rows(NOTES), "tsd_decoded_intervals": rows(NOTES), "structured_errors": no_errors(STRUCTURED), "midilike_errors": no_errors(MIDILIKE)}
+    out |= {"mmm_decoded": rows(NOTES), "tsd_decoded_rests": rows(NOTES), "remi_decoded_rests": rows(NOTES), "tsd_decoded_intervals": rows(NOTES), "structured_errors": no_errors(STRUCTURED), "midilike_errors": no_errors(MIDILIKE)}
     return out | OTHERS

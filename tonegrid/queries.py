@@ -12,10 +12,12 @@ from .config import TokenizerConfig
 from .functions import half_even, histogram, linspace
 from .functions.instruments import instrument_name
 from .operators import controls, decode, events, scores, sequences, subword, tokens
-from .operators.chords import detect_chords
+from .operators.chords import TRACK, chords_among, detect_chords
 from .operators.scores import ScoreTables, bars
 from .oracle import oracle_sql as oracle_sql  # noqa: PLC0414
 from .plans.tokenizer import Tokenizer
+from .sources import midi
+from .storage import shared_folder
 from .vocabulary import FIRST_BYTE
 
 #: One stream per score with programs, no repeated notes.
@@ -109,9 +111,14 @@ def notes_prepared_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark, sf_dir, use_time_signatures=True)[0].notes.select(*NOTE)
 
 
+def durations_resnapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of an on/off tokenizer: lengths on the grid of their section, ends moved where they reach into another."""
+    return tokenizer("MIDILike", use_time_signatures=True).preprocess(raw(spark, sf_dir)).notes.select(*NOTE)
+
+
 def tracks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = raw(spark, sf_dir).notes.withColumn("program", F.when(F.col("program") == -1, -1).otherwise(F.col("program") % 16).cast("int"))
-    return scores.merge_tracks(notes).groupBy("score_id", "track_idx", "program").agg(F.count("*").alias("n_notes"))
+    return scores.merge_tracks(notes).select("score_id", "track_idx", *NOTE[1:])
 
 
 def tracks_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +183,9 @@ def pitch_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def program_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, c = prepared(spark, sf_dir, program_changes=True)
-    rows = events.events(t, c).where("type = 'Program'")
-    return rows.groupBy("score_id", "program").agg(F.count("*").alias("n_changes"))
+    rows = events.events(t, c)
+    nth = F.row_number().over(Window.partitionBy("score_id").orderBy(*events.ORDER)).cast("long")
+    return rows.where("type = 'Program'").select("score_id", (nth - 1).alias("nth"), "time", "program")
 
 
 def global_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,8 +222,9 @@ def compound_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens.types_in(spark, tokenizer("TSD").vocabulary)
-    return rows.select("type", F.size("ids").cast("long").alias("n_ids"), F.array_min("ids").cast("long").alias("first_id"))
+    """How much of each token type of the vocabulary the scores use."""
+    t, out = encoded("TSD", spark, sf_dir)
+    return tokens.type_counts(t.ids(out), t.vocabulary)
 
 
 def note_on_off_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,8 +234,7 @@ def note_on_off_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = marks.select("score_id", "seq_idx", "program", "pitch", "velocity", "m.tick", "m.is_on")
     # Offs come before ons of their tick.
     marks = marks.withColumn("pos", F.row_number().over(Window.partitionBy("score_id").orderBy("tick", "is_on", "program", "pitch", "velocity")))
-    out = decode.note_pairs(marks)
-    return out.groupBy("score_id", "program", "pitch").agg(F.count("*").alias("n_notes"), F.sum("duration").alias("ticks"), F.min("time").alias("first"), F.max("time").alias("last"))
+    return decode.note_pairs(marks).select(*NOTE)
 
 
 def dup_note_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +245,36 @@ def dup_note_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("score_id").agg(F.sum(F.col("bad_note").cast("long")).alias("n_errors"))
 
 
+def midi_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes written as one MIDI file per score, and read again from the files."""
+    t = raw(spark, sf_dir)
+    folder = shared_folder(spark, "midi-files")
+    midi.write_midi(ScoreTables(t.scores, scores.fix_overlaps(scores.deduplicate_notes(t.notes))), folder)
+    rows = midi.midi_rows(spark, folder, ("note",))
+    return rows.select(F.regexp_extract("path", r"(\d+)\.mid$", 1).cast("long").alias("score_id"), "program", "time", "duration", F.col("a").alias("pitch"), F.col("b").alias("velocity"))
+
+
+def midi_globals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tempos and time signatures of the files, those at the start added where a score has none."""
+    t = raw(spark, sf_dir)
+    folder = shared_folder(spark, "midi-files")
+    late = t.tempos.where("time > 0 or score_id % 2 = 0")
+    midi.write_midi(ScoreTables(t.scores, t.notes.limit(0), late, t.time_signatures.where("seq > 0 or score_id % 3 = 0")), folder)
+    rows = midi.midi_rows(spark, folder, ("tempo", "signature"))
+    return rows.select(F.regexp_extract("path", r"(\d+)\.mid$", 1).cast("long").alias("score_id"), "kind", "time", "a", "b", F.col("x").cast("long").alias("mspq"))
+
+
+def pedal_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pedals = scores.merge_pedals(raw(spark, sf_dir).pedals)
+    return scores.pedal_controls(pedals).select("score_id", "program", "time", "number", "value")
+
+
+def tempos_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = raw(spark, sf_dir)
+    late = t.tempos.where("not (time = 0 and score_id % 3 = 1)")
+    return scores.with_default_tempo(late, t.scores).select("score_id", "time", "mspq")
+
+
 def _controls(make: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         t, c = prepared(spark, sf_dir)
@@ -264,13 +302,12 @@ def _tokens_controlled(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def split_by_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokenizer("TSD")
     p = t.preprocess(raw(spark, sf_dir))
-    parts = tokens.split_at_ticks(t.encode(p, preprocessed=True), t.bars(p))
-    return parts.groupBy("score_id", F.col("part").cast("long").alias("part")).agg(F.count("*").alias("n_tokens"))
+    return tokens.split_at_ticks(t.encode(p, preprocessed=True), t.bars(p)).select("score_id", "pos", "part", "token")
 
 
 def split_by_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, out = encoded("MMM", spark, sf_dir)
-    return tokens.split_tracks(out, keep_markers=False).groupBy("score_id", "seq_idx").agg(F.count("*").alias("n_tokens"))
+    return tokens.split_tracks(out, keep_markers=False).select("score_id", "seq_idx", "pos", "token")
 
 
 def sliced_and_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,6 +321,22 @@ def chords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_chords(t, c)
 
 
+def triads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three or four notes for each raw note, chords of several kinds, some of them spread or of uneven length."""
+    n = raw(spark, sf_dir).notes.where("program <> -1").withColumn("time", F.expr("time div 60"))
+    kind = F.col("pitch") % 5
+    steps = F.when(kind == 0, F.array(*map(F.lit, (0, 4, 7)))).when(kind == 1, F.array(*map(F.lit, (0, 3, 7)))).when(kind == 2, F.array(*map(F.lit, (0, 4, 7, 11)))).when(kind == 3, F.array(*map(F.lit, (0, 5)))).otherwise(F.array(*map(F.lit, (0, 2, 9))))
+    rows = n.select(*TRACK, "time", F.col("pitch").alias("root"), (2 + F.col("duration") % 31).alias("duration"), "velocity", F.posexplode(steps).alias("i", "step"))
+    late = F.when((F.col("velocity") % 7 == 0) & (F.col("i") == 2), 1).otherwise(0)
+    longer = F.when((F.col("velocity") % 11 == 0) & (F.col("i") == 1), 9).otherwise(0)
+    return rows.select(*TRACK, (F.col("time") + late).alias("time"), (F.col("root") + F.col("step")).alias("pitch"), (F.col("duration") + longer).alias("duration"), "velocity")
+
+
+def chords_triads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = triads(spark, sf_dir).withColumns({"end": F.col("time") + F.col("duration"), "tpb": F.lit(8).cast("long")})
+    return chords_among(notes, CONFIG.with_(use_chords=True, chord_unknown=(3, 6), chord_tokens_with_root_note=True))
+
+
 def model() -> subword.SubwordModel:
     """A small model over the bytes of the TSD vocabulary: common neighbours merged."""
     v = tokenizer("TSD").vocabulary
@@ -299,7 +352,7 @@ def bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokenizer("TSD")
     p = t.preprocess(raw(spark, sf_dir))
     out = subword.encode_ids(t.ids(t.encode(p, preprocessed=True)), t.vocabulary, model(), t.bars(p))
-    return out.groupBy("score_id").agg(F.count("*").alias("n_ids"), F.sum("id").alias("sum_ids"))
+    return out.select("score_id", "pos", "id")
 
 
 def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,8 +402,8 @@ def sequence_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signatures_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = raw(spark, sf_dir)
-    c = CONFIG.with_(use_time_signatures=True, time_signature_range={"4": [2, 3, 4]})
-    rows = t.time_signatures.where("seq < 2")
+    c = CONFIG.with_(use_time_signatures=True, time_signature_range={"4": [2, 3, 4], "8": [6]})
+    rows = t.time_signatures.withColumn("num", F.when(F.col("den") == 8, F.col("num") + F.expr("score_id div 4 % 3")).otherwise(F.col("num")).cast("int"))
     return scores.signatures_outside(rows, t.scores, c)
 
 
@@ -382,11 +435,12 @@ FULL = {"use_rests": True, "use_tempos": True, "use_time_signatures": True, "use
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
-        notes_pitch_filter, notes_velocity_quantized, notes_resampled, notes_dedup, notes_prepared, notes_prepared_signatures, tracks_merged, tracks_nonempty,
+        notes_pitch_filter, notes_velocity_quantized, notes_resampled, notes_dedup, notes_prepared, notes_prepared_signatures, durations_resnapped, tracks_merged, tracks_nonempty,
         overlaps_fixed, pedals_merged, tempos_snapped, bends_snapped, signatures_supported, signatures_default, signatures_aligned, bars_ticks, beats_ticks,
         notes_bar_position, pitch_intervals, program_changes, global_events, events_sorted, token_ids, ids_to_tokens, token_bytes, compound_ids, vocab_types,
-        note_on_off_pairs, dup_note_errors, split_by_bar, split_by_track, sliced_and_joined, chords, bpe_ids, bpe_decoded,
+        note_on_off_pairs, dup_note_errors, split_by_bar, split_by_track, sliced_and_joined, chords, chords_triads, bpe_ids, bpe_decoded,
         bpe_tokens, sequences_completed, sequences_equal, sequence_sizes, signatures_outside, velocity_histogram, instrument_names, tsd_error_counts, tsd_decoded_programs,
+        midi_round_trip, midi_globals, pedal_controls, tempos_default,
     ]
     out = {f.__name__: f for f in plain}
     for name in ("TSD", "MIDILike", "Structured", "REMI", "MMM", "Octuple", "CPWord", "MuMIDI", "PerTok"):
@@ -398,8 +452,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["tsd_tokens_rests"] = _tokens("TSD", **RESTS)
     out["tsd_decoded_rests"] = _decoded("TSD", **RESTS)
     out["remi_tokens_rests"] = _tokens("REMI", **RESTS)
+    out["remi_decoded_rests"] = _decoded("REMI", **RESTS)
     out["tsd_tokens_tracks"] = _tokens("TSD", one_token_stream_for_programs=False)
     out["remi_tokens_signatures"] = _tokens("REMI", **SIGNATURES)
+    out["octuple_tokens_signatures"] = _tokens("Octuple", **SIGNATURES)
+    out["octuple_tokens_clipped"] = _tokens("Octuple", additional_params={"max_bar_embedding": 20})
     out["remi_decoded_signatures"] = _decoded("REMI", **SIGNATURES)
     out["octuple_decoded_signatures"] = _decoded("Octuple", **SIGNATURES)
     out["tsd_decoded_intervals"] = _decoded("TSD", use_pitch_intervals=True)

@@ -1,21 +1,24 @@
-"""Standard MIDI files: a folder of files as score tables, and score tables as file contents.
+"""Standard MIDI files: a folder of files as score tables, and score tables as files.
 
-Files are read by Spark (``binaryFile``) and parsed where they are read; every table is a filter
-of the parsed rows.
+Files are read by the data source ``midi``, each once, and its rows are stored by kind; every
+table is one part of them.
 """
 
 from __future__ import annotations
 
 import struct
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scores import ScoreTables
+from ..storage import stored
 
+#: What a file's rows can be; one that can't be read has one row of kind ``error``.
+KINDS = ("score", "note", "tempo", "signature", "pedal", "bend", "error")
 ROW = "path string, kind string, track_idx int, seq long, program int, time long, duration long, a int, b int, x double, name string"
 
 
@@ -60,19 +63,21 @@ def messages(track: bytes) -> Iterator[tuple[int, int, bytes]]:
             at += size
 
 
-def parse(data: bytes) -> list[tuple]:
-    """Rows (kind, track_idx, seq, program, time, duration, a, b, x, name) of a file.
+def parse(data: bytes, kinds: Iterable[str] = KINDS) -> list[tuple]:
+    """Rows (kind, track_idx, seq, program, time, duration, a, b, x, name) of a file, of the given kinds alone.
 
     Tracks are told apart by track chunk, channel and program; channel 10 is drums (-1).  A note
     that is never released is dropped, one of no length too.
     """
+    kinds = set(kinds)
+    sounds = kinds & {"note", "pedal", "bend"}
     parts = list(chunks(data))
     if not parts or parts[0][0] != b"MThd":
         raise ValueError("not a standard MIDI file")
     _, _, division = struct.unpack(">HHH", parts[0][1][:6])
     if division & 0x8000:
         raise ValueError("SMPTE time is not supported")
-    rows: list[tuple] = [("score", -1, 0, 0, 0, 0, division, 0, 0.0, None)]
+    rows: list[tuple] = [("score", -1, 0, 0, 0, 0, division, 0, 0.0, None)] if "score" in kinds else []
     numbers: dict[tuple[int, int, int], int] = {}
     seq = 0
     for chunk, (kind, body) in enumerate(parts[1:]):
@@ -83,13 +88,15 @@ def parse(data: bytes) -> list[tuple]:
             seq += 1
             if status == 0xFF:
                 meta, value = d[0], d[1:]
-                if meta == 0x51:
+                if meta == 0x51 and "tempo" in kinds:
                     rows.append(("tempo", -1, seq, 0, tick, 0, 0, 0, float(int.from_bytes(value[:3], "big")), None))
-                elif meta == 0x58:
+                elif meta == 0x58 and "signature" in kinds:
                     rows.append(("signature", -1, seq, 0, tick, 0, value[0], 1 << value[1], 0.0, None))
                 elif meta == 0x03:
                     name = value.decode("utf-8", "replace")
                 continue
+            if not sounds:
+                continue
             channel, action = status & 15, status >> 4
             if action == 0xC:
                 programs[channel] = d[0]
@@ -101,31 +108,40 @@ def parse(data: bytes) -> list[tuple]:
             elif action in (8, 9):
                 if held[channel, d[0]]:
                     start, velocity, own, prog, n = held[channel, d[0]].popleft()
-                    if tick > start:
+                    if tick > start and "note" in kinds:
                         rows.append(("note", own, n, prog, start, tick - start, d[0], velocity, 0.0, name))
             elif action == 0xB and d[0] == 64:
                 if d[1] >= 64:
                     pedals.setdefault(channel, tick)
                 elif channel in pedals:
                     start = pedals.pop(channel)
-                    rows.append(("pedal", track, seq, program, start, tick - start, 0, 0, 0.0, name))
-            elif action == 0xE:
+                    if "pedal" in kinds:
+                        rows.append(("pedal", track, seq, program, start, tick - start, 0, 0, 0.0, name))
+            elif action == 0xE and "bend" in kinds:
                 rows.append(("bend", track, seq, program, tick, 0, (d[0] | d[1] << 7) - 8192, 0, 0.0, name))
     return rows
 
 
+def midi_rows(spark: SparkSession, path: str, kinds: Iterable[str] = KINDS) -> DataFrame:
+    """Rows of all ``.mid`` and ``.midi`` files (any case) below ``path``, of the given kinds alone."""
+    from .midi_source import MidiSource
+
+    spark.dataSource.register(MidiSource)
+    return spark.read.format("midi").option("kinds", ",".join(kinds)).load(path)
+
+
 def read_midi(spark: SparkSession, path: str) -> ScoreTables:
-    """All ``.mid`` and ``.midi`` files (any case) below ``path``; ``score_id`` is a hash of the file's path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.where(F.lower("path").rlike(r"\.midi?$")).select("path", "content")
+    """All files below ``path`` as tables; ``score_id`` is a hash of the file's path.
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in ROW.split(", ")]
-        for b in batches:
-            for p, content in zip(b["path"], b["content"], strict=True):
-                yield pd.DataFrame([(p, *r) for r in parse(content)], columns=columns)
+    Every file is parsed once: the rows are stored by kind in the shared folder.  Files that can't be
+    read are left out (:func:`bad_files` of the rows tells which).
+    """
+    return tables_of(stored(midi_rows(spark, path), "midi", "kind"))
 
-    return tables_of(files.mapInPandas(rows, ROW))
+
+def bad_files(rows: DataFrame) -> DataFrame:
+    """(path, reason) of the files that could not be read."""
+    return rows.where("kind = 'error'").select("path", F.col("name").alias("reason"))
 
 
 def tables_of(parsed: DataFrame) -> ScoreTables:
@@ -224,3 +240,11 @@ def to_midi(tables: ScoreTables) -> DataFrame:
         return pd.DataFrame({"score_id": [key[0]], "content": [compose(int(group["tpq"].iloc[0]), found)]})
 
     return whole.groupBy("score_id").applyInPandas(write, "score_id long, content binary")
+
+
+def write_midi(tables: ScoreTables, path: str, mode: str = "append") -> None:
+    """One file ``<score_id>.mid`` per score in ``path``; mode ``overwrite`` first removes the MIDI files that are there."""
+    from .midi_source import MidiSource
+
+    tables.scores.sparkSession.dataSource.register(MidiSource)
+    to_midi(tables).select(F.col("score_id").cast("string").alias("name"), "content").write.format("midi").mode(mode).save(path)
