@@ -11,7 +11,7 @@ from tonegrid.config import TokenizerConfig
 from tonegrid.operators import controls, scores, sequences, subword, tokens
 from tonegrid.operators.decode import note_pairs
 from tonegrid.operators.pertok import PerTokGrid
-from tonegrid.operators.scores import ScoreTables, _aligned
+from tonegrid.operators.scores import ScoreTables, align_signatures
 from tonegrid.plans.tokenizer import Tokenizer
 from tonegrid.queries import model
 from tonegrid.sources.midi import compose, parse, read_midi, to_midi
@@ -121,9 +121,13 @@ def test_preprocessing_is_idempotent(spark):
         assert sorted(map(tuple, a.select(*keep).collect())) == sorted(map(tuple, b.select(*keep).collect())), name
 
 
-def test_signatures_move_to_bar_lines():
-    assert _aligned([(0, 4, 4), (10, 4, 4), (40, 3, 4), (64, 6, 8)], 8) == [(0, 4, 4), (64, 6, 8)]
-    assert _aligned([(0, 4, 4), (33, 3, 4), (90, 3, 4)], 8) == [(0, 4, 4), (64, 3, 4)]
+def test_signatures_move_to_bar_lines(spark):
+    cases = [[(0, 4, 4), (10, 4, 4), (40, 3, 4), (64, 6, 8)], [(0, 4, 4), (33, 3, 4), (90, 3, 4)], [(0, 4, 4), (1, 3, 4), (2, 4, 4), (40, 2, 4)], [(5, 3, 8)], [(0, 4, 4), (0, 3, 4), (0, 4, 4)]]
+    rows = [(k, i, t, n, d, 8) for k, case in enumerate(cases) for i, (t, n, d) in enumerate(case)]
+    found = align_signatures(spark.createDataFrame(rows, "score_id long, seq int, time long, num int, den int, tpq int")).collect()
+    got = [sorted((r.seq, r.time, r.num, r.den) for r in found if r.score_id == k) for k in range(len(cases))]
+    assert [[x[1:] for x in g] for g in got] == [[(0, 4, 4), (64, 6, 8)], [(0, 4, 4), (64, 3, 4)], [(0, 4, 4), (32, 4, 4), (64, 2, 4)], [(5, 3, 8)], [(0, 4, 4)]]
+    assert all([x[0] for x in g] == list(range(len(g))) for g in got)
 
 
 def test_pedals_that_touch_merge_and_overlaps_are_cut(spark):
@@ -273,18 +277,3 @@ def test_midi_defaults_and_bad_files():
     assert {(r[0], r[4]) for r in rows if r[0] in ("tempo", "signature")} == {("tempo", 0), ("signature", 0)}
     with pytest.raises(ValueError):
         parse(b"RIFF1234")
-
-
-def test_streamed_notes(spark, tmp_path):
-    from tonegrid.streaming.notes import closed_notes
-
-    schema = "score_id long, program int, pitch int, tick long, is_on boolean, velocity int"
-    marks = [(1, 0, 60, 0, True, 90), (1, 0, 60, 5, True, 80), (1, 0, 60, 9, False, 0), (1, 0, 61, 9, False, 0)]
-    spark.createDataFrame(marks, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = closed_notes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    query = stream.writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
-    query.processAllAvailable()
-    spark.createDataFrame([(1, 0, 60, 20, False, 0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    query.processAllAvailable()
-    query.stop()
-    assert sorted(map(tuple, spark.sql("select pitch, time, duration, velocity from closed").collect())) == [(60, 0, 9, 90), (60, 5, 15, 80)]

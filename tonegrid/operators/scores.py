@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,36 +148,30 @@ def with_default_signature(signatures: DataFrame, scores: DataFrame) -> DataFram
     return signatures.select("score_id", "seq", "time", "num", "den").unionByName(default)
 
 
-def _aligned(rows: list[tuple[int, int, int]], tpq: int) -> list[tuple[int, int, int]]:
-    """Signatures (time, num, den) without repeats, each moved to the next bar line of the one before."""
-    out: list[tuple[int, int, int]] = []
-    for time, num, den in rows:
-        if out and out[-1][1:] == (num, den):
-            continue
-        if out:
-            start, n, d = out[-1]
-            bar = tpq * 4 // d * n
-            time = start + -(-max(time - start, 0) // bar) * bar
-            if time == start:  # the later of two at one bar line counts
-                out.pop()
-                if out and out[-1][1:] == (num, den):
-                    continue
-        out.append((time, num, den))
-    return out
-
-
 def align_signatures(signatures: DataFrame) -> DataFrame:
-    """Time signatures on bar lines (columns score_id, seq, time, num, den, tpq).
+    """Time signatures on bar lines (columns score_id, seq, time, num, den, tpq), without repeats.
 
-    Where one lands depends on where the one before landed, so each score's few rows are folded.
+    Each moves to the next bar line of the one before, so where one lands depends on where that
+    landed; of two at one line the later counts.  A score's few rows are folded in one expression.
     """
+    kind = "array<struct<time:bigint,num:int,den:int>>"
+    last = lambda out: F.try_element_at(out, F.lit(-1))
+    same = lambda out, s: F.coalesce((last(out).num == s.num) & (last(out).den == s.den), F.lit(False))
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["time", "seq"])
-        kept = _aligned(list(zip(rows["time"], rows["num"], rows["den"], strict=True)), int(rows["tpq"].iloc[0]))
-        return pd.DataFrame([(key[0], i, t, n, d, int(rows["tpq"].iloc[0])) for i, (t, n, d) in enumerate(kept)], columns=["score_id", "seq", "time", "num", "den", "tpq"])
-
-    return signatures.groupBy("score_id").applyInPandas(fold, "score_id long, seq int, time long, num int, den int, tpq int")
+    def step(out: Column, s: Column) -> Column:
+        before = last(out)
+        bar = quotient(F.col("tpq") * 4, before.den) * before.num
+        late = F.greatest(s.time - before.time, F.lit(0))
+        time = F.coalesce(before.time + quotient(late + bar - 1, bar) * bar, s.time)
+        one = F.array(F.struct(time.cast("long").alias("time"), s.num.alias("num"), s.den.alias("den")))
+        shorter = F.slice(out, 1, F.size(out) - 1)
+        replaced = F.when(same(shorter, s), shorter).otherwise(F.concat(shorter, one))
+        return F.when(same(out, s), out).when(F.coalesce(time == before.time, F.lit(False)), replaced).otherwise(F.concat(out, one))
+
+    rows = F.array_sort(F.collect_list(F.struct("time", "seq", "num", "den")))
+    found = signatures.groupBy("score_id").agg(rows.alias("rows"), F.max("tpq").alias("tpq"))
+    kept = F.aggregate("rows", F.expr(f"cast(array() as {kind})"), step)
+    return found.select("score_id", "tpq", F.posexplode(kept).alias("seq", "s")).select("score_id", "seq", "s.time", "s.num", "s.den", "tpq")
 
 
 def sections_of(signatures: DataFrame) -> DataFrame:

@@ -8,6 +8,11 @@ from __future__ import annotations
 
 from .config import CHORD_MAPS, PITCH_CLASSES
 
+#: Which rows of compound tokens are spoiled, where, and how, in the queries of broken sequences.
+OCTUPLE_SPOILED = {37: (2, "Bar_0"), 41: (1, "Position_0"), 43: (4, "Duration_None")}
+CPWORD_SPOILED = {37: (1, "Position_3"), 41: (2, "Pitch_60")}
+MUMIDI_SPOILED = {37: (2, "PositionPosEnc_0"), 41: (0, "Pitch_60"), 43: (0, "PAD_None")}
+
 RAW = """notes_raw AS (
   SELECT l_suppkey AS score_id, CAST(l_linenumber - 1 AS INT) AS track_idx,
     CAST(CASE WHEN l_linenumber = 7 THEN -1 ELSE (l_linenumber - 1) * 8 END AS INT) AS program,
@@ -265,15 +270,26 @@ def no_errors(sql: str) -> str:
     return f"SELECT score_id, CAST(sum(1) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_errors FROM ({sql}) GROUP BY score_id"
 
 
-def errors_broken(sql: str, legal: str, on_off: bool = False) -> str:
-    """Errors of sequences with missing and repeated tokens; ``legal`` lists which type may follow which."""
+def errors_broken(sql: str, legal: str, on_off: bool = False, by_track: bool = False) -> str:
+    """Errors of sequences with missing and repeated tokens; ``legal`` lists which type may follow which.
+
+    ``by_track`` cuts them before every ``Track_Start`` and judges each track by itself.
+    """
     pairs = ", ".join(f"'{a}>{b}'" for group in legal.split() for a, ends in [group.split(">")] for b in ends.split(","))
     so_far = "OVER (PARTITION BY score_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    # A track is judged under a number of its own, that of its score and its place in it.
+    cut = """tracks AS (SELECT score_id * 1000 + greatest(sum(CASE WHEN token = 'Track_Start' THEN 1 ELSE 0 END) OVER (PARTITION BY score_id ORDER BY pos, copy ROWS UNBOUNDED PRECEDING) - 1, 0) AS score_id, pos, copy, token FROM once),
+"""
+    cut, source = (cut, "tracks WHERE token NOT LIKE 'Track_%'") if by_track else ("", "once")
+    program = f"last_value(CASE WHEN type = 'Program' THEN value END IGNORE NULLS) {so_far}"
+    if by_track:
+        program = "first_value(CASE WHEN type = 'Program' THEN value END IGNORE NULLS) OVER (PARTITION BY score_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    whole_id = "score_id // 1000" if by_track else "score_id"
     judged = f"""WITH toks AS ({sql}),
 once AS (SELECT score_id, pos, token, unnest(range(CASE WHEN pos % 31 = 5 THEN 2 ELSE 1 END)) AS copy FROM toks WHERE pos % 23 <> 7),
-damaged AS (SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY pos, copy) AS pos, token, split_part(token, '_', 1) AS type, try_cast(substr(token, instr(token, '_') + 1) AS INT) AS value FROM once),
+{cut}damaged AS (SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY pos, copy) AS pos, token, split_part(token, '_', 1) AS type, try_cast(substr(token, instr(token, '_') + 1) AS INT) AS value FROM {source}),
 seen AS (SELECT *, lag(type) OVER (PARTITION BY score_id ORDER BY pos) AS prev,
-  coalesce(last_value(CASE WHEN type = 'Program' THEN value END IGNORE NULLS) {so_far}, 0) AS program FROM damaged),
+  coalesce({program}, 0) AS program FROM damaged),
 judged AS (SELECT *, prev IS NOT NULL AND NOT list_contains([{pairs}], prev || '>' || type) AS bad_type FROM seen)"""
     if on_off:  # an off without an open note takes the balance of its pitch to a new low
         return f"""{judged}, steps AS (SELECT *, sum(CASE WHEN type IN ('NoteOn', 'DrumOn') THEN 1 ELSE -1 END)
@@ -286,8 +302,8 @@ SELECT score_id, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_type AS BIGINT) AS
   CASE WHEN NOT bad_type AND type IN ('Pitch', 'PitchDrum') THEN value END AS heard, CASE WHEN NOT bad_type AND type = 'Position' THEN value END AS place FROM judged),
 marked AS (SELECT *, heard IS NOT NULL AND row_number() OVER (PARTITION BY score_id, resets, program, heard ORDER BY pos) > 1 AS bad_note,
   last_value(place IGNORE NULLS) OVER (PARTITION BY score_id, bars ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM spans)
-SELECT score_id, count(*) AS n_tokens, CAST(sum(CASE WHEN bad_type THEN 1 ELSE 0 END) AS BIGINT) AS n_type, CAST(sum(CASE WHEN bad_note THEN 1 ELSE 0 END) AS BIGINT) AS n_note,
-  CAST(sum(CASE WHEN place <= coalesce(last, -1) AND prev IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_time FROM marked GROUP BY score_id"""
+SELECT {whole_id} AS score_id, count(*) AS n_tokens, CAST(sum(CASE WHEN bad_type THEN 1 ELSE 0 END) AS BIGINT) AS n_type, CAST(sum(CASE WHEN bad_note THEN 1 ELSE 0 END) AS BIGINT) AS n_note,
+  CAST(sum(CASE WHEN place <= coalesce(last, -1) AND prev IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_time FROM marked GROUP BY {whole_id}"""
 
 
 NOTE_CHAIN = "Program>Pitch,PitchDrum Pitch>Velocity PitchDrum>Velocity Velocity>Duration"
@@ -395,7 +411,89 @@ STEPS = "CASE pitch % 5 WHEN 0 THEN [0, 4, 7] WHEN 1 THEN [0, 3, 7] WHEN 2 THEN
 TRIADS = f"""{RAW}, spread AS (SELECT *, unnest(range(len({STEPS}))) AS i FROM notes_raw WHERE program <> -1),
 notes AS (SELECT score_id, track_idx, program, time // 60 + CASE WHEN velocity % 7 = 0 AND i = 2 THEN 1 ELSE 0 END AS time, CAST(pitch + ({STEPS})[i + 1] AS INT) AS pitch,
   2 + duration % 31 + CASE WHEN velocity % 11 = 0 AND i = 1 THEN 9 ELSE 0 END AS duration, velocity FROM spread)"""
+
+
+def spoiled(sql: str, places: dict[int, tuple[int, str]]) -> str:
+    """CTE ``rows`` (score_id, pos, l): compound rows missing, said twice or with another token at one place."""
+    cases = " ".join(f"WHEN pos % {n} = {n - 3} THEN list_concat(l[1 : {at}], ['{name}'], l[{at + 2} :])" for n, (at, name) in reversed(places.items()))
+    return f"""WITH told AS (SELECT score_id, pos, string_split(token, ' ') AS l FROM ({sql})),
+twice AS (SELECT score_id, pos, CASE {cases} ELSE l END AS l, unnest(range(CASE WHEN pos % 31 = 5 THEN 2 ELSE 1 END)) AS copy FROM told WHERE pos % 23 <> 7),
+rows AS (SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY pos, copy) - 1 AS pos, l FROM twice)"""
+
+
+EARLIER, SO_FAR = "ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", "ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+OUT = "SELECT score_id, pos, bad_type, bad_note, bad_time FROM judged WHERE bad_type OR bad_note OR bad_time"
+
+
+def place_of(i: int) -> str:
+    return f"try_cast(split_part(l[{i}], '_', 2) AS INT)"
+
+
+def legal_after(groups: str) -> str:
+    pairs = ", ".join(f"'{a}>{b}'" for g in groups.split() for a, ends in [g.split(">")] for b in ends.split(","))
+    return f"prev IS NULL OR list_contains([{pairs}], prev || '>' || type)"
+
+
+def octuple_spoiled(places: dict[int, tuple[int, str]]) -> str:
+    whole = "CASE WHEN missing THEN NULL ELSE"
+    return f"""{spoiled(OCTUPLE, places)}, a AS (SELECT *, len(list_filter(l, lambda t: t LIKE '%_None')) > 0 AS missing FROM rows),
+b AS (SELECT *, {whole} {place_of(1)} END AS pitch, {whole} {place_of(2)} END AS place, {whole} {place_of(3)} END AS bar, split_part(l[6], '_', 2) AS program FROM a),
+c AS (SELECT *, coalesce(max(bar) OVER (PARTITION BY score_id {EARLIER}), -1) AS reached FROM b),
+d AS (SELECT *, greatest(reached, coalesce(bar, -1)) AS bar_now FROM c),
+e AS (SELECT *, coalesce(max(place) OVER (PARTITION BY score_id, bar_now {EARLIER}), -1) AS placed FROM d),
+f AS (SELECT *, greatest(placed, coalesce(place, -1)) AS place_now, coalesce(bar < reached OR place < placed, false) AS bad_time FROM e),
+judged AS (SELECT *, missing AS bad_type, NOT bad_time AND pitch IS NOT NULL AND row_number() OVER (PARTITION BY score_id, bar_now, place_now, program, pitch ORDER BY pos) > 1 AS bad_note FROM f) {OUT}"""
+
+
+def cpword_spoiled(places: dict[int, tuple[int, str]]) -> str:
+    return f"""{spoiled(CPWORD, places)}, a AS (SELECT *, CASE WHEN l[1] = 'Family_Note' THEN l[3] ELSE l[2] END AS kind, split_part(l[6], '_', 2) AS program FROM rows),
+b AS (SELECT *, split_part(kind, '_', 1) AS type, split_part(kind, '_', 2) AS value FROM a),
+c AS (SELECT *, lag(type) OVER (PARTITION BY score_id ORDER BY pos) AS prev FROM b),
+d AS (SELECT *, {legal_after("Bar>Position,Bar Position>Pitch,PitchDrum Pitch>Pitch,PitchDrum,Bar,Position PitchDrum>Pitch,PitchDrum,Bar,Position")} AS good FROM c),
+e AS (SELECT *, sum(CASE WHEN good AND type IN ('Bar', 'Position') THEN 1 ELSE 0 END) OVER (PARTITION BY score_id {SO_FAR}) AS resets, sum(CASE WHEN good AND type = 'Bar' THEN 1 ELSE 0 END) OVER (PARTITION BY score_id {SO_FAR}) AS bars,
+  CASE WHEN good AND type IN ('Pitch', 'PitchDrum') THEN value END AS heard, CASE WHEN good AND type = 'Position' THEN CAST(value AS INT) END AS place FROM d),
+f AS (SELECT *, coalesce(last_value(place IGNORE NULLS) OVER (PARTITION BY score_id, bars {EARLIER}), -1) AS last FROM e),
+judged AS (SELECT *, NOT good AS bad_type, heard IS NOT NULL AND row_number() OVER (PARTITION BY score_id, resets, program, heard ORDER BY pos) > 1 AS bad_note,
+  coalesce(place <= last AND prev IS NOT NULL, false) AS bad_time FROM f) {OUT}"""
+
+
+def mumidi_spoiled(places: dict[int, tuple[int, str]]) -> str:
+    kinds = "Bar,Position,Program,Pitch,PitchDrum,PAD"
+    return f"""{spoiled(MUMIDI, places)}, a AS (SELECT *, split_part(l[1], '_', 1) AS type, split_part(l[1], '_', 2) AS value, coalesce({place_of(3)}, -1) AS told,
+  len(list_filter(l, lambda t: starts_with(t, 'PAD_'))) > 0 AS padded FROM rows),
+b AS (SELECT *, lag(type) OVER (PARTITION BY score_id ORDER BY pos) AS prev FROM a),
+c AS (SELECT *, {legal_after(f"Bar>Bar,Position,PAD Position>Program,PAD Program>Pitch,PitchDrum,PAD Pitch>Pitch,Program,Bar,Position,PAD PitchDrum>PitchDrum,Program,Bar,Position,PAD PAD>{kinds}")} AS good FROM b),
+d AS (SELECT *, sum(CASE WHEN good AND type IN ('Bar', 'Position', 'Program') THEN 1 ELSE 0 END) OVER (PARTITION BY score_id {SO_FAR}) AS resets, sum(CASE WHEN good AND type = 'Bar' THEN 1 ELSE 0 END) OVER (PARTITION BY score_id {SO_FAR}) AS bars,
+  CASE WHEN good AND type = 'Pitch' THEN value END AS heard, CASE WHEN good AND type = 'Position' THEN CAST(value AS INT) END AS own FROM c),
+e AS (SELECT *, coalesce(max(own) OVER (PARTITION BY score_id, bars {EARLIER}), -1) AS last FROM d),
+judged AS (SELECT *, NOT good OR padded AS bad_type, heard IS NOT NULL AND row_number() OVER (PARTITION BY score_id, resets, heard ORDER BY pos) > 1 AS bad_note,
+  coalesce(own <= last OR own <> told, false) OR (good AND prev IS NOT NULL AND told < last AND type <> 'Bar') AS bad_time FROM e) {OUT}"""
+
+
+def nearest_step(gap: str) -> str:
+    """The nearest step of a fortieth of a whole, an eightieth beyond it; the shorter of two as near."""
+    return f"(CASE WHEN {gap} <= 1280 THEN 40 * greatest(1, CAST(ceil({gap} / CAST(40 AS DOUBLE) - 0.5) AS BIGINT)) ELSE least(3760, 1280 + 80 * CAST(ceil(({gap} - 1280) / CAST(80 AS DOUBLE) - 0.5) AS BIGINT)) END)"
+
+
+def step_name(ticks: str) -> str:
+    return f"({ticks} // 320 || '.' || {ticks} % 320 || '.320')"
+
+
+# At 320 ticks a quarter; a bar begins 20 ticks before its line, and the clock of a bar moves by the steps that were written.
+PERTOK = f"""WITH RECURSIVE {RAW}, s AS (SELECT score_id, track_idx, program, CAST(round_even(time * 320 / CAST(480 AS DOUBLE), 0) AS BIGINT) AS time,
+  greatest(CAST(round_even(duration * 320 / CAST(480 AS DOUBLE), 0) AS BIGINT), 1) AS duration, pitch, {VELOCITY} AS velocity FROM notes_raw WHERE {IN_RANGE}),
+n AS (SELECT *, greatest(CAST(ceil((time + 20) / CAST(1280 AS DOUBLE)) AS BIGINT) - 1, 0) AS bar FROM s QUALIFY row_number() OVER (PARTITION BY score_id, track_idx, time, pitch ORDER BY duration, velocity) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY {ORDER}) AS rn, row_number() OVER (PARTITION BY score_id, bar ORDER BY {ORDER}) AS k, time - bar * 1280 AS t, {nearest_step("duration")} AS lasting FROM n),
+c AS (SELECT DISTINCT score_id, bar, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS clock, CAST(0 AS BIGINT) AS step FROM o
+  UNION ALL SELECT o.score_id, o.bar, o.k, CASE WHEN t - clock >= 20 THEN clock + {nearest_step("(t - clock)")} ELSE clock END, CASE WHEN t - clock >= 20 THEN {nearest_step("(t - clock)")} ELSE 0 END
+  FROM c JOIN o ON o.score_id = c.score_id AND o.bar = c.bar AND o.k = c.k + 1),
+placed AS (SELECT o.*, clock, step, lag(o.bar, 1, 0) OVER (PARTITION BY o.score_id ORDER BY rn) AS before FROM o JOIN c USING (score_id, bar, k))"""
+PERTOK_TOKENS = f"""{PERTOK} {laid_out(f'''SELECT *, list_concat(list_transform(range(bar - before), lambda x: 'Bar_None'), ['Program_' || program],
+  CASE WHEN step > 0 THEN ['TimeShift_' || {step_name("step")}] ELSE {EMPTY} END, [{PITCH}, 'Velocity_' || velocity, 'Duration_' || {step_name("lasting")}]) AS toks FROM placed''')}"""
 OTHERS = {
+    "pertok_tokens": PERTOK_TOKENS,
+    "pertok_decoded": f"{PERTOK} SELECT score_id, program, CAST(bar * 1280 + clock AS BIGINT) AS time, CAST(lasting AS BIGINT) AS duration, pitch, velocity FROM placed",
+    "pertok_errors": no_errors(PERTOK_TOKENS),
     "durations_resnapped": RESNAPPED,
     "remi_tokens_signatures": REMI_SIGNATURES,
     "octuple_tokens_signatures": OCTUPLE_SIGNATURES,
@@ -500,6 +598,11 @@ SELECT score_id, program, CAST(sum({NEAREST}) OVER (PARTITION BY score_id ORDER
         "mmm_errors": no_errors(f"SELECT * FROM ({MMM}) WHERE token NOT LIKE 'Track_%'"),
     }
     out |= {
+        "structured_errors_broken": errors_broken(STRUCTURED, "Program>Pitch,PitchDrum Pitch>Velocity PitchDrum>Velocity Velocity>Duration Duration>TimeShift TimeShift>Program"),
+        "mmm_errors_broken": errors_broken(MMM, "Program>Pitch,PitchDrum,TimeShift Pitch>Velocity PitchDrum>Velocity Velocity>Duration Duration>Pitch,PitchDrum,Program,TimeShift TimeShift>Pitch,PitchDrum,Program,TimeShift", by_track=True),
+        "octuple_errors_broken": octuple_spoiled(OCTUPLE_SPOILED),
+        "cpword_errors_broken": cpword_spoiled(CPWORD_SPOILED),
+        "mumidi_errors_broken": mumidi_spoiled(MUMIDI_SPOILED),
         "tsd_errors_broken": errors_broken(TSD, f"{NOTE_CHAIN} Duration>Program,TimeShift TimeShift>Program,TimeShift"),
         "remi_errors_broken": errors_broken(REMI, f"{NOTE_CHAIN} Duration>Program,Bar,Position Position>Program Bar>Bar,Position"),
         "midilike_errors_broken": errors_broken(

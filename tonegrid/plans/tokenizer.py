@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -12,37 +13,88 @@ from ..config import TokenizerConfig
 from ..functions import lookup
 from ..graph import Graph, type_graph
 from ..grids import Grids
-from ..operators import compound, decode, pertok, timing, tokens, validate
+from ..operators import compound, decode, pertok, subword, timing, tokens, validate
 from ..operators.controls import Control, available, requested
 from ..operators.events import events
 from ..operators.pertok import PerTokGrid
 from ..operators.scores import ScoreTables, bars, clip_to_bars, preprocess
+from ..sources import midi
 from ..vocabulary import COMPOUND, NAMES, Vocabulary, adapted
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """A tokenizer of one's own, as functions of a configuration and DataFrames.
+
+    ``vocabulary`` lists the tokens after the special ones (lists of them for compound tokens); ``encode`` makes
+    (score_id, seq_idx, pos, token or tokens, tick) of preprocessed tables, ``decode`` the tables again.
+    ``adapt`` changes a configuration before all else; ``preprocess`` and ``errors`` (bad_type,
+    bad_note, bad_time per token) stand in for the common ones.
+    """
+
+    vocabulary: Callable[[TokenizerConfig], list]
+    encode: Callable[[ScoreTables, TokenizerConfig], DataFrame]
+    decode: Callable[[DataFrame, TokenizerConfig], decode.Decoded]
+    adapt: Callable[[TokenizerConfig], TokenizerConfig] = lambda c: c
+    preprocess: Callable[[ScoreTables, TokenizerConfig], ScoreTables] = preprocess
+    errors: Callable[[DataFrame, TokenizerConfig], DataFrame] | None = None
+    graph: Callable[[TokenizerConfig], Graph] | None = None
+
+
+SCHEMES: dict[str, Scheme] = {}
+
+
+def register(name: str, scheme: Scheme) -> None:
+    """Make ``Tokenizer.of(name)`` know a scheme.  Its functions and the tokens of a plain configuration are checked."""
+    if name in NAMES or not name:
+        raise ValueError(f"{name!r} is taken" if name else "a name is needed")
+    functions = ("vocabulary", "encode", "decode", "adapt", "preprocess")
+    if missing := [f for f in functions if not callable(getattr(scheme, f))]:
+        raise TypeError(f"no functions: {', '.join(missing)}")
+    lists = scheme.vocabulary(scheme.adapt(TokenizerConfig()))
+    for part in lists if lists and isinstance(lists[0], list) else [lists]:
+        if not part or any(not isinstance(t, str) or "_" not in t for t in part) or len(set(part)) < len(part):
+            raise ValueError("tokens are different names of a type and a value, as Pitch_60")
+    SCHEMES[name] = scheme
+
+
 @dataclass(frozen=True)
 class Tokenizer:
-    """One of the nine tokenizers with a configuration; immutable, cheap to make, driver-side only."""
+    """One of the nine tokenizers, or a registered one, with a configuration; immutable, cheap to make, driver-side only."""
 
     name: str
     config: TokenizerConfig
     vocabulary: Vocabulary = field(repr=False, default=None)
     controls: tuple[Control, ...] = field(repr=False, default=())
+    model: subword.Model | None = field(repr=False, default=None)
 
     @classmethod
     def of(cls, name: str, config: TokenizerConfig | None = None) -> Tokenizer:
+        if scheme := SCHEMES.get(name):
+            c = scheme.adapt(config or TokenizerConfig())
+            lists = scheme.vocabulary(c)
+            parts = lists if isinstance(lists[0], list) else [lists]
+            return cls(name, c, Vocabulary(tuple(tuple(dict.fromkeys([*c.special_tokens, *p])) for p in parts), c.special_tokens))
         if name not in NAMES:
-            raise ValueError(f"unknown tokenizer {name!r}; known: {', '.join(NAMES)}")
+            raise ValueError(f"unknown tokenizer {name!r}; known: {', '.join([*NAMES, *SCHEMES])}")
         c = adapted(name, config or TokenizerConfig())
         used = available(c)
         return cls(name, c, Vocabulary.of(name, c).with_tokens(*(t for control in used for t in control.names)), used)
 
     @classmethod
     def load(cls, path: str) -> Tokenizer:
-        """A tokenizer file: its type under ``tokenization`` and its configuration under ``config``."""
+        """A tokenizer file: its type under ``tokenization``, its configuration under ``config``.
+
+        A trained one has its model under ``_model`` (a tokenizers file as text), its tokens with their ids under
+        ``_vocab_base`` and the characters that stand for them under ``_vocab_base_byte_to_token``.
+        """
         with open(path, encoding="utf-8") as f:
             values = json.load(f)
-        return cls.of(values["tokenization"], TokenizerConfig.from_dict(values["config"]))
+        out = cls.of(values["tokenization"], TokenizerConfig.from_dict(values["config"]))
+        if base := values.get("_vocab_base"):
+            letters = values.get("_vocab_base_byte_to_token") or {}
+            out = replace(out, vocabulary=Vocabulary.stored(base, letters, out.vocabulary.specials))
+        return replace(out, model=subword.load_model(values["_model"])) if values.get("_model") else out
 
     def with_config(self, **changes) -> Tokenizer:
         return Tokenizer.of(self.name, self.config.with_(**changes))
@@ -67,7 +119,25 @@ class Tokenizer:
 
     @property
     def is_compound(self) -> bool:
-        return self.name in COMPOUND
+        return self.vocabulary.is_compound if self.name in SCHEMES else self.name in COMPOUND
+
+    @property
+    def is_trained(self) -> bool:
+        return self.model is not None
+
+    def encode_ids(self, ids: DataFrame, tables: ScoreTables | None = None) -> DataFrame:
+        """Ids of the trained model, within bars or beats as ``encode_ids_split`` has it (which need the preprocessed tables)."""
+        if self.model is None:
+            raise ValueError("the tokenizer has no trained model")
+        split = self.config.encode_ids_split
+        ticks = None if split == "no" or tables is None else self.bars(tables, split)
+        return subword.encode_ids(ids, self.vocabulary, self.model, ticks)
+
+    def decode_ids(self, encoded: DataFrame) -> DataFrame:
+        """The ids of the vocabulary that ids of the trained model stand for."""
+        if self.model is None:
+            raise ValueError("the tokenizer has no trained model")
+        return subword.decode_ids(encoded, self.vocabulary, self.model)
 
     @property
     def one_stream(self) -> bool:
@@ -80,6 +150,10 @@ class Tokenizer:
 
     @property
     def graph(self) -> Graph:
+        if scheme := SCHEMES.get(self.name):
+            if scheme.graph is None:
+                raise ValueError(f"{self.name} has no type graph")
+            return scheme.graph(self.config)
         return type_graph(self.name, self.config)
 
     @property
@@ -87,6 +161,8 @@ class Tokenizer:
         return Grids(self.config).default_tempo
 
     def preprocess(self, tables: ScoreTables) -> ScoreTables:
+        if scheme := SCHEMES.get(self.name):
+            return scheme.preprocess(tables, self.config)
         if self.name == "PerTok":
             return preprocess(tables, self.config, tpq=PerTokGrid.of(self.config).tpq, snap=False)
         return preprocess(tables, self.config, self.note_on_off)
@@ -99,6 +175,10 @@ class Tokenizer:
         """
         c = self.config
         t = tables if preprocessed else self.preprocess(tables)
+        if scheme := SCHEMES.get(self.name):
+            if request is not None:
+                raise ValueError("attribute controls stand in streams of one track only")
+            return scheme.encode(t, c)
         if self.name in ("Octuple", "MuMIDI"):
             t = clip_to_bars(t, c, c.additional_params["max_bar_embedding"])
         if request is not None and (self.is_compound or self.name == "PerTok" or c.one_token_stream_for_programs):
@@ -137,8 +217,21 @@ class Tokenizer:
         own = {n: getattr(out, n).withColumn("program", told) for n in ("notes", "pedals", "pitch_bends")}
         return replace(out, **own)
 
+    def save_midi(self, sequence: DataFrame, path: str, programs: list[int] | None = None, mode: str = "append") -> None:
+        """Decode to files ``<score_id>.mid`` in ``path``; a stream's programs are tracks of it."""
+        out = self.decode(sequence, programs)
+        of = Grids(self.config).ticks_per_beat
+        tpq = of.get(4, Grids(self.config).positions_per_beat)
+        if self.name == "PerTok":
+            tpq = PerTokGrid.of(self.config).tpq
+        tracks = lambda df: df.withColumn("track_idx", F.col("seq_idx") * 256 + F.col("program") + 1).drop("seq_idx")
+        scores = sequence.select("score_id").distinct().withColumn("tpq", F.lit(tpq))
+        midi.write_midi(ScoreTables(scores, tracks(out.notes), out.tempos, out.time_signatures, tracks(out.pedals), tracks(out.pitch_bends)), path, mode)
+
     def _decoded(self, sequence: DataFrame) -> decode.Decoded:
         c = self.config
+        if scheme := SCHEMES.get(self.name):
+            return scheme.decode(sequence, c)
         if self.name == "MMM":
             streams = tokens.split_tracks(sequence, keep_markers=False)
             return getattr(decode, self.base.lower())(streams, c)
@@ -153,6 +246,10 @@ class Tokenizer:
     def errors(self, sequence: DataFrame) -> DataFrame:
         """Per token: bad_type, bad_note, bad_time."""
         c = self.config
+        if scheme := SCHEMES.get(self.name):
+            if scheme.errors is None:
+                return validate.token_errors(sequence, self.graph, c)
+            return scheme.errors(sequence, c)
         if self.name == "Octuple":
             return validate.octuple_errors(sequence, c)
         if self.name == "PerTok":

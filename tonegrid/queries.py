@@ -14,6 +14,7 @@ from .functions.instruments import instrument_name
 from .operators import controls, decode, events, scores, sequences, subword, tokens
 from .operators.chords import TRACK, chords_among, detect_chords
 from .operators.scores import ScoreTables, bars
+from .oracle import CPWORD_SPOILED, MUMIDI_SPOILED, OCTUPLE_SPOILED
 from .oracle import oracle_sql as oracle_sql  # noqa: PLC0414
 from .plans.tokenizer import Tokenizer
 from .sources import midi
@@ -86,6 +87,30 @@ def _errors_broken(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def spoiled(rows: DataFrame, places: dict[int, tuple[int, str]]) -> DataFrame:
+    """Compound rows some of which are missing, said twice or have another token at one place, by their numbers alone.
+
+    ``places`` maps a modulus to the place that is spoiled in every such row, and its token there.
+    """
+    tokens = F.col("tokens")
+    for n, (place, name) in places.items():
+        changed = F.transform("tokens", lambda t, i: F.when(i == place, F.lit(name)).otherwise(t))  # noqa: B023
+        tokens = F.when(F.col("pos") % n == n - 3, changed).otherwise(tokens)
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("pos") % 31 == 5, 1).otherwise(0))).alias("copy")
+    rows = rows.where(F.col("pos") % 23 != 7).select("score_id", "seq_idx", "pos", tokens.alias("tokens"), copies)
+    order = Window.partitionBy("score_id", "seq_idx").orderBy("pos", "copy")
+    return rows.select("score_id", "seq_idx", (F.row_number().over(order) - 1).cast("long").alias("pos"), "tokens")
+
+
+def _errors_spoiled(name: str, places: dict[int, tuple[int, str]]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, out = encoded(name, spark, sf_dir)
+        rows = t.errors(spoiled(out, places)).where("bad_type or bad_note or bad_time")
+        return rows.select("score_id", "pos", "bad_type", "bad_note", "bad_time")
+
+    return query
+
+
 def notes_pitch_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir).notes.where(scores.in_pitch_range(CONFIG)).select(*NOTE)
 
@@ -447,7 +472,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[f"{name.lower()}_tokens"] = _tokens(name)
         out[f"{name.lower()}_decoded"] = _decoded(name)
         out[f"{name.lower()}_errors"] = _errors(name)
-    for name in ("TSD", "REMI", "MIDILike"):
+    out["octuple_errors_broken"] = _errors_spoiled("Octuple", OCTUPLE_SPOILED)
+    out["cpword_errors_broken"] = _errors_spoiled("CPWord", CPWORD_SPOILED)
+    out["mumidi_errors_broken"] = _errors_spoiled("MuMIDI", MUMIDI_SPOILED)
+    for name in ("TSD", "REMI", "MIDILike", "Structured", "MMM"):
         out[f"{name.lower()}_errors_broken"] = _errors_broken(name)
     out["tsd_tokens_rests"] = _tokens("TSD", **RESTS)
     out["tsd_decoded_rests"] = _decoded("TSD", **RESTS)

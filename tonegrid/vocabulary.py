@@ -216,10 +216,14 @@ def type_of(token: str) -> str:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Tokens with dense ids from 0, in one part or in several (compound tokens)."""
+    """Tokens with dense ids from 0, in one part or in several (compound tokens).
+
+    ``letters`` are the characters that stand for the ids of the first part, where a file tells them.
+    """
 
     parts: tuple[tuple[str, ...], ...]
     specials: tuple[str, ...]
+    letters: tuple[str, ...] = ()
 
     @classmethod
     def of(cls, name: str, config: TokenizerConfig) -> Vocabulary:
@@ -229,6 +233,17 @@ class Vocabulary:
         parts = lists if base in COMPOUND else [lists]
         return cls(tuple(tuple(dict.fromkeys([*config.special_tokens, *p])) for p in parts), config.special_tokens)
 
+    @classmethod
+    def stored(cls, ids: dict[str, int], letters: dict[str, str], specials: tuple[str, ...]) -> Vocabulary:
+        """Of a file's tokens with their ids, and characters with their tokens; ids must run from 0."""
+        if sorted(ids.values()) != list(range(len(ids))):
+            raise ValueError("the ids of the vocabulary are not those from 0 on")
+        own = tuple(sorted(ids, key=ids.get))
+        of = {token: letter for letter, token in letters.items()}
+        if letters and set(own) - set(of):
+            raise ValueError(f"tokens without a character: {sorted(set(own) - set(of))[:5]}")
+        return cls((own,), tuple(t for t in specials if t in ids), tuple(of[t] for t in own) if letters else ())
+
     @property
     def is_compound(self) -> bool:
         return len(self.parts) > 1
@@ -262,13 +277,13 @@ class Vocabulary:
         return [i for i, t in enumerate(self.parts[part]) if type_of(t) == kind]
 
     def byte_of(self, number: int) -> str:
-        return chr(number + FIRST_BYTE)
+        return self.letters[number] if number < len(self.letters) else chr(number + FIRST_BYTE)
 
     def with_tokens(self, *tokens: str, special: bool = False, part: int = 0) -> Vocabulary:
         """A vocabulary with more tokens at the end of a part; known ones keep their id."""
         own = tuple(dict.fromkeys([*self.parts[part], *tokens]))
         specials = tuple(dict.fromkeys([*self.specials, *(tokens if special else ())]))
-        return Vocabulary((*self.parts[:part], own, *self.parts[part + 1 :]), specials)
+        return Vocabulary((*self.parts[:part], own, *self.parts[part + 1 :]), specials, self.letters)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """vocab_idx, token, id, byte, type: a few hundred rows, for broadcast joins."""
