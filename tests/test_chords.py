@@ -49,15 +49,22 @@ def found(frame, n):
 
 
 def dense_track(rng, n, spread):
-    return [(t := rng.randrange(spread), rng.choice((40, 44, 47, 51, 60, 64, 67, 71, 90)), t + rng.choice((2, 4, 8, 9, 14)), rng.randrange(3)) for _ in range(n)]
+    """Chords and single notes, some of their notes late, some longer than the others."""
+    out = []
+    for _ in range(n):
+        t, root, length = rng.randrange(spread), rng.choice((40, 47, 60)), rng.choice((2, 4, 8, 9))
+        for step in rng.choice(((0,), (0, 4, 7), (0, 3, 7), (0, 5), (0, 2, 9), (0, 4, 7, 11))):
+            start = t + (rng.random() < 0.15)
+            out.append((start, root + step, t + length + (7 if rng.random() < 0.1 else 1), rng.randrange(3)))
+    return out
 
 
 def test_random_tracks_and_long_islands(spark):
     rng = random.Random(4)
-    tracks = [dense_track(rng, n, spread) for n, spread in ((1, 5), (3, 1), (60, 9), (200, 400), (200, 60), (300, 3000))]
+    tracks = [dense_track(rng, n, spread) for n, spread in ((1, 5), (3, 1), (30, 9), (200, 4000), (100, 60), (150, 300), (300, 9000))]
     tracks += [[(t, p, t + 8, 1) for t in range(0, 60, 12) for p in (60, 64, 67)], [(3, 60 + i, 11, 1) for i in range(25)]]
     expected = [walked(t, CONFIG) for t in tracks]
-    assert sum(map(len, expected)) > 60
+    assert sum(map(len, expected)) > 150
     for long_island in (4096, 20, 1):
         assert found(chords_among(table(spark, tracks), CONFIG, long_island), len(tracks)) == expected
 

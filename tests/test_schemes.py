@@ -52,7 +52,7 @@ def tables(spark):
 
 def test_a_registered_tokenizer(spark, steps):
     t = Tokenizer.of(steps, TokenizerConfig(pitch_range=(50, 70)))
-    assert t.vocabulary.sizes == [4 + 64 + 20] and not t.is_compound and t.io_format == ("T",)
+    assert t.vocabulary.sizes == [4 + 64 + 20] and not t.is_compound and t.io_format == ("I", "T")
     out = t.encode(tables(spark))
     ids = t.ids(out)
     assert [r.token for r in out.orderBy("pos").limit(4).collect()] == ["Step_0", "Pitch_60", "Step_4", "Pitch_61"]

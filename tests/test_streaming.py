@@ -63,7 +63,7 @@ def test_first_in_first_out_over_batches_and_a_restart(stream):
     s.feed([(60, 0, True, 90), (60, 5, True, 80), (60, 9, False, 0), (61, 9, False, 0)], [(60, 20, False, 0)])
     s.stop()
     s.feed([(60, 21, True, 70), (60, 30, False, 0)], LATER, [(99, 20_000, False, 0)])
-    assert s.notes() == [(60, 0, 9, 90), (60, 5, 15, 80), (60, 21, 9, 70)]
+    assert s.notes() == [(60, 0, 9, 90), (60, 5, 15, 80), (60, 21, 9, 70), (99, 10_000, 10_000, 1)]
 
 
 def test_a_note_without_an_off_closes_by_itself(stream):

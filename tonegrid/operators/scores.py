@@ -7,12 +7,14 @@ them share the hash partitioning by score, so the notes are shuffled once.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TokenizerConfig
 from ..functions import by_value, clamp, half_even, literal_array, lookup, nearest_bin, qpm_to_mspq, quotient, ticks_per_beat
+from ..functions.instruments import instrument_name
 from ..grids import Grids
 from .asof import last_not_after
 
@@ -26,7 +28,8 @@ class ScoreTables:
     scores (score_id, tpq); notes (score_id, track_idx, program, time, duration, pitch, velocity);
     tempos (score_id, seq, time, mspq); time_signatures (score_id, seq, time, num, den); pedals
     (score_id, track_idx, program, time, duration); pitch_bends (score_id, track_idx, program,
-    time, value).  ``sections`` (score_id, sections) is made by preprocessing with time signatures.
+    time, value); controls (score_id, track_idx, program, time, number, value); tracks (score_id,
+    track_idx, program, name).  ``sections`` (score_id, sections) is made by preprocessing with time signatures.
     """
 
     scores: DataFrame
@@ -36,6 +39,8 @@ class ScoreTables:
     pedals: DataFrame | None = None
     pitch_bends: DataFrame | None = None
     sections: DataFrame | None = None
+    controls: DataFrame | None = None
+    tracks: DataFrame | None = None
 
 
 def in_pitch_range(c: TokenizerConfig) -> Column:
@@ -61,6 +66,39 @@ def merge_tracks(df: DataFrame) -> DataFrame:
     return df.withColumn("track_idx", F.min("track_idx").over(Window.partitionBy("score_id", "program")))
 
 
+def tracks_of(tables: ScoreTables) -> DataFrame:
+    """The ``tracks`` of the tables; where there are none, those of all rows, named after their instruments."""
+    if tables.tracks is not None:
+        return tables.tracks
+    kinds = [t for t in (tables.notes, tables.pedals, tables.pitch_bends, tables.controls) if t is not None]
+    rows = reduce(DataFrame.unionByName, (t.select("score_id", "track_idx", "program") for t in kinds)).distinct()
+    return rows.withColumn("name", instrument_name(F.col("program")))
+
+
+def merge_same_program(tables: ScoreTables, effects: bool = True) -> ScoreTables:
+    """Tracks of a score with one program become one at the place of the first, named after all of them (``a / b``).
+
+    Notes of all of them are its own; so are, with ``effects``, pedals, bends and controls.  Without, it keeps those of the
+    first track only.  Tracks without rows count like any other, and null names as empty.
+    """
+    tracks = tracks_of(tables)
+    group = Window.partitionBy("score_id", "program")
+    placed = tracks.select("score_id", "track_idx", "program", F.coalesce("name", F.lit("")).alias("name"), F.min("track_idx").over(group).alias("first"))
+    # A score has few tracks of a program, their names stand in one row.
+    named = placed.groupBy("score_id", "program", F.col("first").alias("track_idx")).agg(F.array_sort(F.collect_list(F.struct("track_idx", "name"))).alias("all"))
+    merged = named.select("score_id", "track_idx", "program", F.array_join(F.transform("all", lambda t: t["name"]), " / ").alias("name"))
+    place = placed.select("score_id", "track_idx", "program", "first")
+
+    def moved(df: DataFrame | None, whole: bool) -> DataFrame | None:
+        if df is None:
+            return None
+        rows = df.join(place, ["score_id", "track_idx", "program"])
+        rows = rows if whole else rows.where(F.col("track_idx") == F.col("first"))
+        return rows.withColumn("track_idx", F.col("first")).select(*df.columns)
+
+    return replace(tables, tracks=merged, notes=moved(tables.notes, True), pedals=moved(tables.pedals, effects), pitch_bends=moved(tables.pitch_bends, effects), controls=moved(tables.controls, effects))
+
+
 def deduplicate_notes(notes: DataFrame) -> DataFrame:
     """Of the notes of a track with equal time and pitch the shortest stays, then the softest."""
     w = Window.partitionBy("score_id", "track_idx", "time", "pitch").orderBy("duration", "velocity")

@@ -412,6 +412,21 @@ TRIADS = f"""{RAW}, spread AS (SELECT *, unnest(range(len({STEPS}))) AS i FROM n
 notes AS (SELECT score_id, track_idx, program, time // 60 + CASE WHEN velocity % 7 = 0 AND i = 2 THEN 1 ELSE 0 END AS time, CAST(pitch + ({STEPS})[i + 1] AS INT) AS pitch,
   2 + duration % 31 + CASE WHEN velocity % 11 = 0 AND i = 1 THEN 9 ELSE 0 END AS duration, velocity FROM spread)"""
 
+INSTRUMENT = """CASE program WHEN -1 THEN 'Drums' WHEN 0 THEN 'Acoustic Grand Piano' WHEN 8 THEN 'Celesta' WHEN 16 THEN 'Drawbar Organ'
+  WHEN 24 THEN 'Acoustic Guitar (nylon)' WHEN 32 THEN 'Acoustic Bass' WHEN 40 THEN 'Violin' END"""
+
+
+def merged(effects: bool) -> str:
+    """Tracks of programs in common, and what belongs to them: of all of them, or of the first."""
+    common = "CAST(CASE WHEN program = -1 THEN -1 ELSE program % 16 END AS INT)"
+    rows = lambda kind, source, idx, a, b: f"SELECT r.score_id, first AS track_idx, p.program, '{kind}' AS kind, time, CAST({a} AS BIGINT) AS a, CAST({b} AS BIGINT) AS b, '' AS name FROM {source} r JOIN p ON p.score_id = r.score_id AND p.track_idx = {idx}{'' if effects else ' AND p.first = p.track_idx'}"
+    return f"""WITH {RAW}, {PEDALS}, {BENDS}, t AS (SELECT DISTINCT score_id, track_idx, {common} AS program, {INSTRUMENT} || ' ' || track_idx AS name FROM notes_raw),
+p AS (SELECT *, min(track_idx) OVER (PARTITION BY score_id, program) AS first FROM t)
+SELECT score_id, CAST(first AS INT) AS track_idx, program, 'track' AS kind, CAST(0 AS BIGINT) AS time, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, string_agg(name, ' / ' ORDER BY track_idx) AS name FROM p GROUP BY score_id, first, program
+UNION ALL {rows("pedal", "pedals_raw", "0", "duration", "0")}
+UNION ALL {rows("bend", "bends_raw", "1", "value", "0")}
+UNION ALL {rows("control", "(SELECT * FROM notes_raw WHERE track_idx IN (1, 3, 6))", "r.track_idx", "pitch", "velocity")}"""
+
 
 def spoiled(sql: str, places: dict[int, tuple[int, str]]) -> str:
     """CTE ``rows`` (score_id, pos, l): compound rows missing, said twice or with another token at one place."""
@@ -517,8 +532,9 @@ FROM ({TSD}) GROUP BY score_id""",
     "velocity_histogram": f"""WITH {RAW}, bins AS (SELECT score_id, unnest(range(8)) AS bin FROM (SELECT DISTINCT score_id FROM notes_raw)),
 counts AS (SELECT score_id, least((velocity - 3) // 12, 7) AS bin, count(*) AS n FROM notes_raw WHERE velocity BETWEEN 3 AND 99 GROUP BY 1, 2)
 SELECT score_id, CAST(bin AS INT) AS bin, coalesce(n, 0) AS n FROM bins LEFT JOIN counts USING (score_id, bin)""",
-    "instrument_names": f"""WITH {RAW} SELECT DISTINCT score_id, track_idx, CASE program WHEN -1 THEN 'Drums' WHEN 0 THEN 'Acoustic Grand Piano' WHEN 8 THEN 'Celesta' WHEN 16 THEN 'Drawbar Organ'
-  WHEN 24 THEN 'Acoustic Guitar (nylon)' WHEN 32 THEN 'Acoustic Bass' WHEN 40 THEN 'Violin' END AS name FROM notes_raw""",
+    "tracks_merged_effects": merged(True),
+    "tracks_merged_plain": merged(False),
+    "instrument_names": f"WITH {RAW} SELECT DISTINCT score_id, track_idx, {INSTRUMENT} AS name FROM notes_raw",
     "tsd_error_counts": f"SELECT score_id, n_tokens, n_type + n_note + n_time AS n_errors FROM ({errors_broken(TSD, f'{NOTE_CHAIN} Duration>Program,TimeShift TimeShift>Program,TimeShift')})",
     "tsd_decoded_programs": f"""{NOTES}, streams AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY score_id ORDER BY track_idx) - 1 AS INT) AS seq_idx FROM notes)
 SELECT score_id, seq_idx, CAST(CASE WHEN seq_idx < 3 THEN 5 + seq_idx ELSE 0 END AS INT) AS program, count(*) AS n_notes, CAST(sum(time) AS BIGINT) AS ticks FROM streams GROUP BY score_id, seq_idx""",

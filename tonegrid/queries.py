@@ -146,6 +146,29 @@ def tracks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.merge_tracks(notes).select("score_id", "track_idx", *NOTE[1:])
 
 
+def _merged(spark: SparkSession, sf_dir: str, effects: bool) -> DataFrame:
+    """Tracks with programs in common, their pedals, bends and controls, merged; one row of each."""
+    t = raw(spark, sf_dir)
+    common = F.when(F.col("program") == -1, -1).otherwise(F.col("program") % 16).cast("int")
+    of = lambda df: df.withColumn("program", common)
+    controls = t.notes.where("track_idx in (1, 3, 6)").select("score_id", "track_idx", "program", "time", F.col("pitch").alias("number"), F.col("velocity").alias("value"))
+    tracks = t.notes.select("score_id", "track_idx", "program").distinct()
+    tracks = tracks.withColumn("name", F.concat(instrument_name(F.col("program")), F.lit(" "), "track_idx"))
+    m = scores.merge_same_program(ScoreTables(t.scores, of(t.notes), pedals=of(t.pedals), pitch_bends=of(t.pitch_bends), controls=of(controls), tracks=of(tracks)), effects)
+    row = lambda df, kind, time, a, b, name: df.select("score_id", "track_idx", "program", F.lit(kind).alias("kind"), time.cast("long").alias("time"), a.cast("long").alias("a"), b.cast("long").alias("b"), name.alias("name"))
+    zero, none, c = F.lit(0), F.lit(""), F.col
+    parts = [row(m.tracks, "track", zero, zero, zero, c("name")), row(m.pedals, "pedal", c("time"), c("duration"), zero, none), row(m.pitch_bends, "bend", c("time"), c("value"), zero, none), row(m.controls, "control", c("time"), c("number"), c("value"), none)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def tracks_merged_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, True)
+
+
+def tracks_merged_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, False)
+
+
 def tracks_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, _ = prepared(spark, sf_dir)
     return t.notes.select("score_id", "track_idx", "program").distinct()
@@ -460,7 +483,7 @@ FULL = {"use_rests": True, "use_tempos": True, "use_time_signatures": True, "use
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
-        notes_pitch_filter, notes_velocity_quantized, notes_resampled, notes_dedup, notes_prepared, notes_prepared_signatures, durations_resnapped, tracks_merged, tracks_nonempty,
+        notes_pitch_filter, notes_velocity_quantized, notes_resampled, notes_dedup, notes_prepared, notes_prepared_signatures, durations_resnapped, tracks_merged, tracks_merged_effects, tracks_merged_plain, tracks_nonempty,
         overlaps_fixed, pedals_merged, tempos_snapped, bends_snapped, signatures_supported, signatures_default, signatures_aligned, bars_ticks, beats_ticks,
         notes_bar_position, pitch_intervals, program_changes, global_events, events_sorted, token_ids, ids_to_tokens, token_bytes, compound_ids, vocab_types,
         note_on_off_pairs, dup_note_errors, split_by_bar, split_by_track, sliced_and_joined, chords, chords_triads, bpe_ids, bpe_decoded,

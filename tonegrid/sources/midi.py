@@ -37,6 +37,8 @@ def chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
     at = 0
     while at + 8 <= len(data):
         kind, size = data[at : at + 4], struct.unpack(">I", data[at + 4 : at + 8])[0]
+        if at + 8 + size > len(data):
+            raise ValueError("the file ends within a chunk")
         yield kind, data[at + 8 : at + 8 + size]
         at += 8 + size
 

@@ -46,9 +46,9 @@ class Files(InputPartition):
 
 def planned(files: list[tuple[str, int]], most: int) -> list[Files]:
     """Files in the order of their paths, cut into parts of about ``most`` bytes; a file is never cut."""
-    out, size = [], most
+    out, size = [], 0
     for path, n in sorted(files):
-        if size + n > most and size:
+        if not out or size and size + n > most:
             out.append(Files([]))
             size = 0
         out[-1].paths.append(path)

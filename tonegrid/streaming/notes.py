@@ -12,6 +12,9 @@ OUT = "score_id long, program int, pitch int, time long, duration long, velocity
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Ticks are moments of the stream, in milliseconds; tick 0 lies after the first watermark, which is 0.
+SHIFT = 1
+
 
 class NotePairing(StatefulProcessor):
     """Pairs the marks of one score, program and pitch, first in, first out.
@@ -31,15 +34,16 @@ class NotePairing(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        marks = [(r.tick, r.is_on, r.velocity or 0) for r in rows if r.tick is not None and r.is_on is not None and r.tick >= passed]
+        marks = [(r.tick, r.is_on, r.velocity or 0) for r in rows if r.tick is not None and r.is_on is not None and r.tick + SHIFT > passed]
         if marks:
             self.waiting.appendList(marks)
             for tick in {m[0] for m in marks}:
-                self.handle.registerTimer(tick)
+                self.handle.registerTimer(tick + SHIFT)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # The stream has passed this tick: what a later timer of this batch would do is done with the first one.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) - SHIFT
         marks = [tuple(m) for m in self.waiting.get()]
         notes = [tuple(n) for n in self.open.get()]
         due = sorted(m for m in marks if m[0] <= now)
@@ -55,7 +59,7 @@ class NotePairing(StatefulProcessor):
             if is_on:
                 notes.append((tick, velocity))
                 if self.longest:
-                    self.handle.registerTimer(tick + self.longest)
+                    self.handle.registerTimer(tick + self.longest + SHIFT)
             elif notes:
                 start, loud = notes.pop(0)
                 out.append((start, tick - start, loud))
@@ -86,5 +90,5 @@ def closed_notes(marks: DataFrame, longest: int | None = None, delay: int = 0) -
     query's checkpoint.  The state store has to be RocksDB, which is set here.
     """
     marks.sparkSession.conf.set(PROVIDER, ROCKS)
-    timed = marks.withColumn("at", F.timestamp_millis("tick")).withWatermark("at", f"{int(delay)} milliseconds")
+    timed = marks.withColumn("at", F.timestamp_millis(F.col("tick") + SHIFT)).withWatermark("at", f"{int(delay)} milliseconds")
     return timed.groupBy("score_id", "program", "pitch").transformWithState(NotePairing(longest), OUT, "Append", "eventTime")
