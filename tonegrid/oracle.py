@@ -266,6 +266,55 @@ SELECT score_id, CAST(row_number() OVER (PARTITION BY score_id ORDER BY {EVENT_O
   own[2] || ' Position_' || place || ' Bar_' || bar || ' ' || own[3] || ' ' || own[4] || ' ' || own[1] || ' ' || tempo || ' TimeSig_' || signature AS token FROM tuned WHERE src = 6"""
 
 
+# Streams with rests, tempos, signatures, pedals and bends: everything that happens, by the tick, with what it keeps sounding (reach).
+SECTION_OF = "CASE WHEN {t} >= x[4] THEN 4 WHEN {t} >= x[3] THEN 3 WHEN {t} >= x[2] THEN 2 ELSE 1 END"
+ON_GRID = f"CASE WHEN den[{SECTION_OF.format(t='t')}] = 4 THEN CAST(round_even(t / CAST(2 AS DOUBLE), 0) AS BIGINT) * 2 ELSE t END"
+EFFECTS = f"""{PEDALS}, {BENDS},
+lines AS (SELECT score_id, [x0, x1, x2, x3] AS x, [bar0, bar1, bar2, bar3] AS len, [num0, num1, num2, num3] AS num, [den0, den1, den2, den3] AS den,
+  [0, (x1 - x0) // bar0, (x1 - x0) // bar0 + (x2 - x1) // bar1, (x1 - x0) // bar0 + (x2 - x1) // bar1 + (x3 - x2) // bar2] AS fb FROM aligned),
+trod AS (SELECT score_id, {ON_GRID} AS time, d FROM (SELECT score_id, {at_sixteen("time")} AS t, greatest({at_sixteen("duration")}, 1) AS d FROM pedals_raw) JOIN lines USING (score_id)),
+trod_reach AS (SELECT *, max(time + d) OVER (PARTITION BY score_id ORDER BY time, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM trod),
+trod_islands AS (SELECT *, sum(CASE WHEN r >= time THEN 0 ELSE 1 END) OVER (PARTITION BY score_id ORDER BY time, d) AS island FROM trod_reach),
+pedals AS (SELECT score_id, min(time) AS time, max(time + d) AS stop FROM trod_islands GROUP BY score_id, island),
+bins AS (SELECT CAST(floor(-8192 + 16383 / CAST(31 AS DOUBLE) * i) AS INT) AS b FROM range(32) AS r(i)),
+bent AS (SELECT score_id, {ON_GRID} AS time, value FROM (SELECT score_id, {at_sixteen("time")} AS t, (SELECT arg_min(b, abs(b - value) * 100000 - b) FROM bins) AS value FROM bends_raw) JOIN lines USING (score_id)),
+bends AS (SELECT * FROM bent QUALIFY row_number() OVER (PARTITION BY score_id, time ORDER BY abs(value) DESC, value DESC) = 1)"""
+
+
+def full_events(notes: str, note_rows: str) -> str:
+    """CTEs up to ``steps``: the rows of all events with what came before; ``note_rows`` selects those of the notes."""
+    order = "time, track_idx, src, seq, sub"
+    return f"""{notes}, {SNAPPED_TEMPOS}, {EFFECTS},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY score_id, track_idx ORDER BY time, pitch, duration, velocity) AS seq FROM notes),
+happening AS (
+  SELECT score_id, x[k + 1] AS time, -1 AS track_idx, 0 AS src, k AS seq, 0 AS sub, ['TimeSig_' || num[k + 1] || '/' || den[k + 1]] AS own, x[k + 1] AS reach FROM lines CROSS JOIN {FOUR}
+  UNION ALL SELECT score_id, time // 30, -1, 1, seq, 0, ['Tempo_' || {TEMPO_NAMED}], time // 30 FROM near
+  UNION ALL SELECT score_id, time, 0, 3, row_number() OVER (PARTITION BY score_id ORDER BY time, stop), 0, ['Pedal_0'], time FROM pedals
+  UNION ALL SELECT score_id, stop, 0, 3, row_number() OVER (PARTITION BY score_id ORDER BY time, stop), 1, ['PedalOff_0'], stop FROM pedals
+  UNION ALL SELECT score_id, time, 1, 4, row_number() OVER (PARTITION BY score_id ORDER BY time, value), 0, ['Program_8', 'PitchBend_' || value], time FROM bends
+  UNION ALL {note_rows}),
+located AS (SELECT h.*, l.* EXCLUDE (score_id), {SECTION_OF.format(t="(h.time - CASE WHEN src = 0 THEN 1 ELSE 0 END)")} AS i FROM happening h JOIN lines l ON h.score_id = l.score_id),
+steps AS (SELECT *, CASE WHEN den[i] = 4 THEN 2 ELSE 1 END AS f, fb[i] + (time - x[i]) // len[i] AS bar, (time - x[i]) % len[i] // (CASE WHEN den[i] = 4 THEN 2 ELSE 1 END) AS place, num[i] || '/' || den[i] AS signature,
+  lag(time) OVER w AS prev, lag(src) OVER w AS prev_src, lag(fb[i] + (time - x[i]) // len[i]) OVER w AS done, row_number() OVER w AS rn,
+  time - coalesce(max(reach) OVER (PARTITION BY score_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS idle FROM located WINDOW w AS (PARTITION BY score_id ORDER BY {order}))"""
+
+
+NAMED_NOTE = f"['Program_' || n.program, CASE WHEN n.program = -1 THEN 'PitchDrum_' ELSE 'Pitch_' END || pitch, 'Velocity_' || velocity, 'Duration_' || {span('(duration // CASE WHEN den[s] = 4 THEN 2 ELSE 1 END)')}]"
+HELD_NOTES = f"""SELECT n.score_id, time, track_idx, 6, seq, 0, {NAMED_NOTE}, time + duration FROM (SELECT m.*, den, {SECTION_OF.format(t="m.time")} AS s FROM numbered m JOIN lines USING (score_id)) n"""
+STRUCK_NOTES = """SELECT score_id, time, track_idx, 6, seq, 0, ['Program_' || program, CASE WHEN program = -1 THEN 'DrumOn_' ELSE 'NoteOn_' END || pitch, 'Velocity_' || velocity], time + duration FROM numbered
+  UNION ALL SELECT score_id, time + duration, track_idx, 6, seq, 3, ['Program_' || program, CASE WHEN program = -1 THEN 'DrumOff_' ELSE 'NoteOff_' END || pitch], time + duration FROM numbered"""
+RESTED = "CASE WHEN prev = time THEN [] WHEN coalesce(prev, 0) = time THEN [] WHEN idle >= f THEN list_concat({rest}, {left}) ELSE {gap} END".format(rest=rest("(idle // f)"), left=shift("(idle % f // f)"), gap=shift("((time - coalesce(prev, 0)) // f)"))
+TSD_FULL = f"WITH {full_events(SIGNED_NOTES, HELD_NOTES)} {laid_out(f'SELECT score_id, rn, list_concat({RESTED}, own) AS toks FROM steps')}"
+# Signatures don't keep anything sounding here; a length is that of notes whose ends were moved.
+RESNAPPED_NOTES = RESNAPPED.removeprefix("WITH ").rpartition("SELECT")[0].rstrip() + ", notes AS (SELECT * FROM ended QUALIFY row_number() OVER (PARTITION BY score_id, track_idx, time, pitch ORDER BY duration, velocity) = 1)"
+MIDILIKE_FULL = f"WITH {full_events(RESNAPPED_NOTES, STRUCK_NOTES).replace('AS own, x[k + 1] AS reach', 'AS own, CAST(NULL AS BIGINT) AS reach')} {laid_out(f'SELECT score_id, rn, list_concat({RESTED}, own) AS toks FROM steps')}"
+MOVED = "(prev IS NULL OR prev <> time OR prev_src = 0)"
+REACHED = "(fb[i] + (time - idle % f - x[i]) // len[i])"
+REMI_FULL = f"""WITH {full_events(SIGNED_NOTES, HELD_NOTES)} {laid_out(f'''SELECT score_id, rn, list_concat(CASE WHEN {MOVED} THEN list_concat(CASE WHEN idle >= f THEN {rest("(idle // f)")} ELSE {EMPTY} END,
+  flatten(list_transform(range(greatest(coalesce(done, -1), CASE WHEN idle >= f THEN {REACHED} ELSE -1 END) + 1, bar + 1), lambda n: CASE WHEN src = 0 AND n = bar THEN ['Bar_None'] ELSE ['Bar_None', 'TimeSig_' || signature] END)),
+  CASE WHEN src = 0 THEN {EMPTY} ELSE ['Position_' || place] END) ELSE {EMPTY} END, own) AS toks FROM steps''')}"""
+
+
 def no_errors(sql: str) -> str:
     return f"SELECT score_id, CAST(sum(1) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_errors FROM ({sql}) GROUP BY score_id"
 
@@ -506,6 +555,9 @@ placed AS (SELECT o.*, clock, step, lag(o.bar, 1, 0) OVER (PARTITION BY o.score_
 PERTOK_TOKENS = f"""{PERTOK} {laid_out(f'''SELECT *, list_concat(list_transform(range(bar - before), lambda x: 'Bar_None'), ['Program_' || program],
   CASE WHEN step > 0 THEN ['TimeShift_' || {step_name("step")}] ELSE {EMPTY} END, [{PITCH}, 'Velocity_' || velocity, 'Duration_' || {step_name("lasting")}]) AS toks FROM placed''')}"""
 OTHERS = {
+    "tsd_tokens_full": TSD_FULL,
+    "midilike_tokens_full": MIDILIKE_FULL,
+    "remi_tokens_full": REMI_FULL,
     "pertok_tokens": PERTOK_TOKENS,
     "pertok_decoded": f"{PERTOK} SELECT score_id, program, CAST(bar * 1280 + clock AS BIGINT) AS time, CAST(lasting AS BIGINT) AS duration, pitch, velocity FROM placed",
     "pertok_errors": no_errors(PERTOK_TOKENS),

@@ -512,6 +512,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["octuple_decoded_signatures"] = _decoded("Octuple", **SIGNATURES)
     out["tsd_decoded_intervals"] = _decoded("TSD", use_pitch_intervals=True)
     for name in ("TSD", "MIDILike", "REMI"):
+        out[f"{name.lower()}_tokens_full"] = _tokens(name, **FULL)
         out[f"{name.lower()}_errors_full"] = _errors(name, **FULL)
     for name in ("TSD", "REMI"):
         out[f"{name.lower()}_tokens_controls"] = _tokens_controlled(name)
