@@ -319,8 +319,8 @@ def no_errors(sql: str) -> str:
     return f"SELECT score_id, CAST(sum(1) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_errors FROM ({sql}) GROUP BY score_id"
 
 
-def errors_broken(sql: str, legal: str, on_off: bool = False, by_track: bool = False) -> str:
-    """Errors of sequences with missing and repeated tokens; ``legal`` lists which type may follow which.
+def errors_broken(sql: str, legal: str, on_off: bool = False, by_track: bool = False, damaged: bool = True) -> str:
+    """Errors of sequences, with missing and repeated tokens if ``damaged``; ``legal`` lists which type may follow which.
 
     ``by_track`` cuts them before every ``Track_Start`` and judges each track by itself.
     """
@@ -335,9 +335,9 @@ def errors_broken(sql: str, legal: str, on_off: bool = False, by_track: bool = F
         program = "first_value(CASE WHEN type = 'Program' THEN value END IGNORE NULLS) OVER (PARTITION BY score_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     whole_id = "score_id // 1000" if by_track else "score_id"
     judged = f"""WITH toks AS ({sql}),
-once AS (SELECT score_id, pos, token, unnest(range(CASE WHEN pos % 31 = 5 THEN 2 ELSE 1 END)) AS copy FROM toks WHERE pos % 23 <> 7),
+once AS ({"SELECT score_id, pos, token, unnest(range(CASE WHEN pos % 31 = 5 THEN 2 ELSE 1 END)) AS copy FROM toks WHERE pos % 23 <> 7" if damaged else "SELECT *, 0 AS copy FROM toks"}),
 {cut}damaged AS (SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY pos, copy) AS pos, token, split_part(token, '_', 1) AS type, try_cast(substr(token, instr(token, '_') + 1) AS INT) AS value FROM {source}),
-seen AS (SELECT *, lag(type) OVER (PARTITION BY score_id ORDER BY pos) AS prev,
+seen AS (SELECT *, lag(type) OVER (PARTITION BY score_id ORDER BY pos) AS prev, lag(type, 2) OVER (PARTITION BY score_id ORDER BY pos) AS two,
   coalesce({program}, 0) AS program FROM damaged),
 judged AS (SELECT *, prev IS NOT NULL AND NOT list_contains([{pairs}], prev || '>' || type) AS bad_type FROM seen)"""
     if on_off:  # an off without an open note takes the balance of its pitch to a new low
@@ -346,13 +346,13 @@ judged AS (SELECT *, prev IS NOT NULL AND NOT list_contains([{pairs}], prev || '
 lows AS (SELECT score_id, sum(n) AS n FROM (SELECT score_id, greatest(0, -min(balance)) AS n FROM steps GROUP BY score_id, program, value) GROUP BY score_id),
 whole AS (SELECT score_id, count(*) AS n_tokens, sum(CASE WHEN bad_type THEN 1 ELSE 0 END) AS n_type FROM judged GROUP BY score_id)
 SELECT score_id, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_type AS BIGINT) AS n_type, CAST(n AS BIGINT) AS n_note, CAST(0 AS BIGINT) AS n_time FROM whole JOIN lows USING (score_id)"""
-    return f"""{judged}, spans AS (SELECT *, sum(CASE WHEN NOT bad_type AND type IN ('TimeShift', 'Position', 'Bar') THEN 1 ELSE 0 END) {so_far} AS resets,
+    return f"""{judged}, spans AS (SELECT *, sum(CASE WHEN NOT bad_type AND type IN ('TimeShift', 'Rest', 'Position', 'Bar') THEN 1 ELSE 0 END) {so_far} AS resets,
   sum(CASE WHEN NOT bad_type AND type = 'Bar' THEN 1 ELSE 0 END) {so_far} AS bars,
   CASE WHEN NOT bad_type AND type IN ('Pitch', 'PitchDrum') THEN value END AS heard, CASE WHEN NOT bad_type AND type = 'Position' THEN value END AS place FROM judged),
 marked AS (SELECT *, heard IS NOT NULL AND row_number() OVER (PARTITION BY score_id, resets, program, heard ORDER BY pos) > 1 AS bad_note,
   last_value(place IGNORE NULLS) OVER (PARTITION BY score_id, bars ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM spans)
 SELECT {whole_id} AS score_id, count(*) AS n_tokens, CAST(sum(CASE WHEN bad_type THEN 1 ELSE 0 END) AS BIGINT) AS n_type, CAST(sum(CASE WHEN bad_note THEN 1 ELSE 0 END) AS BIGINT) AS n_note,
-  CAST(sum(CASE WHEN place <= coalesce(last, -1) AND prev IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_time FROM marked GROUP BY {whole_id}"""
+  CAST(sum(CASE WHEN place <= coalesce(last, -1) AND prev <> 'Rest' AND NOT coalesce(prev = 'TimeSig' AND two = 'Rest', false) THEN 1 ELSE 0 END) AS BIGINT) AS n_time FROM marked GROUP BY {whole_id}"""
 
 
 NOTE_CHAIN = "Program>Pitch,PitchDrum Pitch>Velocity PitchDrum>Velocity Velocity>Duration"
@@ -554,7 +554,12 @@ c AS (SELECT DISTINCT score_id, bar, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) A
 placed AS (SELECT o.*, clock, step, lag(o.bar, 1, 0) OVER (PARTITION BY o.score_id ORDER BY rn) AS before FROM o JOIN c USING (score_id, bar, k))"""
 PERTOK_TOKENS = f"""{PERTOK} {laid_out(f'''SELECT *, list_concat(list_transform(range(bar - before), lambda x: 'Bar_None'), ['Program_' || program],
   CASE WHEN step > 0 THEN ['TimeShift_' || {step_name("step")}] ELSE {EMPTY} END, [{PITCH}, 'Velocity_' || velocity, 'Duration_' || {step_name("lasting")}]) AS toks FROM placed''')}"""
+FIELDS = f"""WITH toks AS ({TSD_FULL}), parts AS (SELECT *, split_part(token, '_', 1) AS type, substr(token, instr(token, '_') + 1) AS value FROM toks),
+cut AS (SELECT *, CASE WHEN type IN ('Duration', 'TimeShift', 'Rest') THEN string_split(value, '.') END AS s, CASE WHEN type = 'TimeSig' THEN string_split(value, '/') END AS n FROM parts)
+SELECT score_id, pos, type, value, CAST(s[1] AS INT) AS beats, CAST(s[2] AS INT) AS position, CAST(s[3] AS INT) AS resolution, CAST(n[1] AS INT) AS num, CAST(n[2] AS INT) AS den,
+  CASE WHEN regexp_full_match(value, '-?[0-9]+') THEN CAST(value AS INT) END AS number, (CAST(s[1] AS BIGINT) * CAST(s[3] AS BIGINT) + CAST(s[2] AS BIGINT)) * 16 // CAST(s[3] AS BIGINT) AS ticks FROM cut"""
 OTHERS = {
+    "token_fields": FIELDS,
     "tsd_tokens_full": TSD_FULL,
     "midilike_tokens_full": MIDILIKE_FULL,
     "remi_tokens_full": REMI_FULL,
@@ -665,7 +670,21 @@ SELECT score_id, program, time, stop - time AS duration, pitch, velocity FROM on
 SELECT score_id, program, CAST(sum({NEAREST}) OVER (PARTITION BY score_id ORDER BY rn) AS BIGINT) AS time, duration, pitch, velocity FROM a""",
         "mmm_errors": no_errors(f"SELECT * FROM ({MMM}) WHERE token NOT LIKE 'Track_%'"),
     }
+    pedals = "Pedal>Pedal,Program,Rest,{0} PedalOff>Pedal,PedalOff,Program,Rest,{0} PitchBend>Program,Rest,{0}"
+    shifts = f"{pedals.format('TimeShift')} Rest>Pedal,PedalOff,PitchBend,Program,Rest,Tempo,TimeShift,TimeSig Tempo>Pedal,PedalOff,Program,Rest,TimeShift TimeShift>Pedal,PedalOff,Program,Tempo,TimeShift,TimeSig TimeSig>Pedal,PedalOff,Program,Rest,Tempo,TimeShift"
+    whole = lambda sql, legal, on_off=False: f"SELECT score_id, n_tokens, n_type + n_note + n_time AS n_errors FROM ({errors_broken(sql, legal, on_off, damaged=False)})"
     out |= {
+        "tsd_errors_full": whole(TSD_FULL, f"{shifts} Program>Pitch,PitchBend,PitchDrum Pitch>Velocity PitchDrum>Velocity Velocity>Duration Duration>Program,Rest,TimeShift"),
+        "midilike_errors_full": whole(
+            MIDILIKE_FULL,
+            f"{shifts} Program>DrumOff,DrumOn,NoteOff,NoteOn,PitchBend NoteOn>Velocity DrumOn>Velocity Velocity>Program,Rest,TimeShift NoteOff>DrumOff,NoteOff,Program,Rest,TimeShift DrumOff>DrumOff,NoteOff,Program,Rest,TimeShift",
+            True,
+        ),
+        "remi_errors_full": whole(
+            REMI_FULL,
+            f"{pedals.format('Bar,Position')} Rest>Bar,Pedal,PedalOff,PitchBend,Position,Program,Rest,Tempo,TimeSig Tempo>Bar,Pedal,PedalOff,Position,Program,Rest,TimeSig TimeSig>Bar,Pedal,PedalOff,Position,Program,Rest "
+            "Bar>TimeSig Position>Pedal,PedalOff,Program,Tempo Program>Pitch,PitchBend,PitchDrum Pitch>Velocity PitchDrum>Velocity Velocity>Duration Duration>Bar,Position,Program,Rest",
+        ),
         "structured_errors_broken": errors_broken(STRUCTURED, "Program>Pitch,PitchDrum Pitch>Velocity PitchDrum>Velocity Velocity>Duration Duration>TimeShift TimeShift>Program"),
         "mmm_errors_broken": errors_broken(MMM, "Program>Pitch,PitchDrum,TimeShift Pitch>Velocity PitchDrum>Velocity Velocity>Duration Duration>Pitch,PitchDrum,Program,TimeShift TimeShift>Pitch,PitchDrum,Program,TimeShift", by_track=True),
         "octuple_errors_broken": octuple_spoiled(OCTUPLE_SPOILED),

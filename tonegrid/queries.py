@@ -11,6 +11,7 @@ from . import fixtures
 from .config import TokenizerConfig
 from .functions import half_even, histogram, linspace
 from .functions.instruments import instrument_name
+from .functions.parsing import register_functions
 from .operators import controls, decode, events, scores, sequences, subword, tokens
 from .operators.chords import TRACK, chords_among, detect_chords
 from .operators.scores import ScoreTables, bars
@@ -275,6 +276,13 @@ def vocab_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.type_counts(t.ids(out), t.vocabulary)
 
 
+def token_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of full streams taken apart in SQL."""
+    _, out = encoded("TSD", spark, sf_dir, **FULL)
+    register_functions(spark)
+    return spark.sql("SELECT score_id, pos, f.*, CASE WHEN f.resolution IS NOT NULL THEN span_ticks(f.value, 16) END AS ticks FROM {tokens}, LATERAL token_fields(token) AS f", tokens=out.select("score_id", "pos", "token"))
+
+
 def note_on_off_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On and off marks of the raw notes, paired first in, first out."""
     n = raw(spark, sf_dir).notes
@@ -488,7 +496,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         notes_bar_position, pitch_intervals, program_changes, global_events, events_sorted, token_ids, ids_to_tokens, token_bytes, compound_ids, vocab_types,
         note_on_off_pairs, dup_note_errors, split_by_bar, split_by_track, sliced_and_joined, chords, chords_triads, bpe_ids, bpe_decoded,
         bpe_tokens, sequences_completed, sequences_equal, sequence_sizes, signatures_outside, velocity_histogram, instrument_names, tsd_error_counts, tsd_decoded_programs,
-        midi_round_trip, midi_globals, pedal_controls, tempos_default,
+        midi_round_trip, midi_globals, pedal_controls, tempos_default, token_fields,
     ]
     out = {f.__name__: f for f in plain}
     for name in ("TSD", "MIDILike", "Structured", "REMI", "MMM", "Octuple", "CPWord", "MuMIDI", "PerTok"):
