@@ -141,3 +141,23 @@ def test_pieces_of_long_texts():
             for n, a, b in zip(numbers.tolist(), starts.tolist(), [*starts.tolist()[1:], len(keys)], strict=True):
                 sizes[n] += b - a
         assert sizes == {n: len((t or "").encode()) + 1 for n, t in enumerate(texts)}
+
+
+def test_rare_contexts_of_many_symbols_are_kept(spark):
+    """Contexts that occur once among more than 2^19 symbols, scored in tasks."""
+    rows = [*((i, "ab" * 140_000) for i in range(2)), (2, "xyzzy xyz"), (3, "xyzzyx \x1c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    slow = Slow([t for i, t in rows if i < 3], 2, 0.0)
+    assert slow.total[0][()] > 2**19
+    found = {r.doc_id: r.score for r in ppm.score(docs, ppm.train(docs, F.col("doc_id") == 3, order=2)).collect()}
+    assert np.allclose([found[2], found[3]], [slow.log_probability(t) for _, t in rows[2:]], atol=1e-9)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 6])
+def test_groups_of_contexts(spark, monkeypatch, order):
+    monkeypatch.setattr(ppm, "GROUP_GRAMS", 3)
+    rows = corpus()
+    model = ppm.train(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 4 == 0, order=order)
+    assert len(model.trie.present) > 4 and model.trie.groups > len(model.trie.present)
+    slow, texts = Slow([t for i, t in rows if i is None or i % 4], order, 0.0), [t for _, t in rows]
+    assert np.allclose(model.trie.log_probability(texts), [slow.log_probability(t) for t in texts], atol=1e-9)

@@ -1,9 +1,11 @@
 """Language-model scores: prediction by partial matching over bytes, and a word model as a base.
 
-The trie holds contexts of up to ORDER bytes and what follows them, counted over all training
-texts.  A continuation is a node of it if it makes up LEAST_SHARE of all training symbols at least, so that each order has
-1 / LEAST_SHARE nodes at most whatever the input; what a context loses thereby counts towards its
-escape.  The chance of a symbol comes from the longest known context that has it: every longer one
+The trie holds all contexts of up to ORDER bytes and what follows them, counted over all training
+texts.  It has no bound, so it never meets in one place: contexts are dealt into groups by the last SPLIT of their symbols,
+which a context shares with its suffixes down to that length.  A task builds a group and writes it to the shared folder, and tasks that
+score map the groups into memory.  (With a ``least_share`` above zero, a smaller model: only continuations that make up so
+much of all training symbols are nodes, and what a context loses thereby counts towards its
+escape.)  The chance of a symbol comes from the longest known context that has it: every longer one
 contributes its escape, (lost + distinct) / (total + distinct), and its symbols are excluded
 below.  In a trie of fixed counts the symbols of a context are a subset of those of its suffix, so
 that what exclusion takes away is a number per context, and whole blocks of text are scored at once.
@@ -14,26 +16,37 @@ every task; the others meet their counts in a join, in which no word can be hot.
 
 from __future__ import annotations
 
+import dataclasses
 import math
+import os
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import append_columns, blocks, without
-from .storage import checkpointed
+from .storage import checkpointed, shared_place
 
 #: Bytes of context, at most 6: a context and its symbol are packed into a long, 9 bits each.
 ORDER = 5
 BITS, END, START = 9, 256, 257
 #: Symbols that can follow: all bytes and the end of the text.
 SYMBOLS = 257
-LEAST_SHARE, FREQUENT_SHARE = 2.0**-19, 2.0**-19
+#: All contexts are kept.
+LEAST_SHARE, FREQUENT_SHARE = 0.0, 2.0**-19
+#: Contexts of a group end in the same symbols, so many of them; shorter ones are few (257 * 258 continuations) and go everywhere.
+SPLIT = 2
+#: Continuations of the longest contexts in a group, about; the groups are as many as they need.
+GROUP_GRAMS = 1 << 18
 #: Added to the counts of words.
 ADDED = 0.1
 #: The token at the end of a text; no word holds a blank.
@@ -165,10 +178,11 @@ class Trie:
     """Contexts of 0 to ``order`` symbols, longest last, from their continuations (k, gram, count).
 
     A context of k symbols is a continuation of one of k - 1, so its total is that one's count; one
-    that ends in START occurs once a text, as END does.
+    that ends in START occurs once a text, as END does.  In a ``whole`` trie, which may lack other groups than
+    its own, the total is the sum of the continuations.
     """
 
-    def __init__(self, order: int, k: np.ndarray, gram: np.ndarray, count: np.ndarray, symbols: int):
+    def __init__(self, order: int, k: np.ndarray, gram: np.ndarray, count: np.ndarray, symbols: int, whole: bool = False):
         self.order, self.levels = order, []
         shorter = None
         for length in range(order + 1):
@@ -181,9 +195,9 @@ class Trie:
             total = np.full(len(contexts), float(symbols))
             if shorter is not None and len(g):
                 above, counts, sums = shorter
-                if length == 1:
+                if length == 1 and not whole:
                     texts = counts[_find(above.grams, np.array([END]))][0] if len(counts) else 0.0
-                total = np.where(contexts & _mask(1) == START, texts, counts[_find(above.grams, contexts)])
+                total = kept if whole else np.where(contexts & _mask(1) == START, texts, counts[_find(above.grams, contexts)])
                 below = _find(above.contexts, contexts & _mask(length - 1))
                 excluded = np.add.reduceat(counts[_find(above.grams, g & _mask(length))], first)
                 t, r, d = (x[below] for x in sums)
@@ -237,6 +251,100 @@ class Trie:
         return out
 
 
+def summed(gram: np.ndarray, count: np.ndarray, longest: int, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k, gram, count) of contexts of ``longest`` symbols and of all shorter ones down to ``shortest``."""
+    out = []
+    for k in range(longest, shortest - 1, -1):
+        gram, where = np.unique(gram & _mask(k + 1), return_inverse=True)
+        count = np.bincount(where, count, len(gram)).astype(np.int64)
+        out.append((np.full(len(gram), k), gram, count))
+    k, gram, count = (np.concatenate(x) for x in zip(*out, strict=True))
+    return k, gram, count
+
+
+def group_of(gram, split: int, groups: int):
+    """The group of a gram's contexts, by their last ``split`` symbols; of a column or of numbers."""
+    if isinstance(gram, Column):
+        mixed = (F.shiftright(gram, BITS).bitwiseAND(F.lit(_mask(split))) * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.shiftright(mixed * F.lit(groups), 32)
+    return (((gram >> BITS & _mask(split)) * 2654435761 & 0xFFFFFFFF) * groups) >> 32
+
+
+#: What of a level is stored, a list each.
+STORED = [f.name for f in dataclasses.fields(Level)]
+
+
+def _store(levels: list[Level], folder: str, name: str) -> None:
+    """Levels as an Arrow file, one a row; a file appears whole or not at all."""
+    columns = [[getattr(level, f) for level in levels] for f in STORED]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.large_list(pa.from_numpy_dtype(c[0].dtype))) for c in columns], names=STORED)
+    files, path = pyarrow.fs.FileSystem.from_uri(folder)
+    files.create_dir(path, recursive=True)
+    part = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with files.open_output_stream(part) as sink, pa.ipc.new_file(sink, batch.schema) as out:
+        out.write_batch(batch)
+    files.move(part, f"{path}/{name}")
+
+
+@cache
+def _stored(folder: str, name: str) -> list[Level]:
+    """Levels that were stored, mapped into memory; from a folder that is not local they are copied once a machine."""
+    files, path = pyarrow.fs.FileSystem.from_uri(folder)
+    path = f"{path}/{name}"
+    if not isinstance(files, pyarrow.fs.LocalFileSystem):
+        here = os.path.join(tempfile.gettempdir(), f"{os.path.basename(folder)}-{name}")
+        if not os.path.exists(here):
+            part = f"{here}-{uuid.uuid4().hex}"
+            pyarrow.fs.copy_files(path, part, source_filesystem=files, destination_filesystem=pyarrow.fs.LocalFileSystem())
+            os.replace(part, here)
+        path = here
+    batch = pa.ipc.open_file(pa.memory_map(path)).get_batch(0)
+    return [Level(*(batch.column(f)[i].values.to_numpy() for f in STORED)) for i in range(batch.num_rows)]
+
+
+class StoredTrie(Trie):
+    """All contexts: short ones held here, others in groups that are read from ``folder`` as they are needed."""
+
+    def __init__(self, base: Trie, split: int, folder: str, groups: int, present: set[int]):
+        self.order, self.levels = base.order, base.levels
+        self.split, self.folder, self.groups, self.present = split, folder, groups, present
+
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        out, group = np.zeros(len(grams)), group_of(grams, self.split, self.groups)
+        order = np.argsort(group, kind="stable")
+        numbers, first = np.unique(group[order], return_index=True)
+        for number, own in zip(numbers.tolist(), np.split(order, first[1:]), strict=True):
+            trie = Trie.__new__(Trie)
+            trie.order, trie.levels = self.order, self.levels
+            if number in self.present:
+                trie.levels = self.levels[: self.split] + _stored(self.folder, str(number))
+            out[own] = trie.score(grams[own])
+        return out
+
+
+def stored_trie(grams: DataFrame, order: int, symbols: int) -> StoredTrie:
+    """The trie of all grams (gram, trained), built group by group in tasks.
+
+    The driver gets the continuations of contexts shorter than SPLIT and the numbers of the groups.
+    """
+    split = min(SPLIT, order)
+    short = grams.groupBy(F.col("gram").bitwiseAND(F.lit(_mask(split))).alias("gram")).agg(F.sum("trained").alias("n"), F.count("*").alias("longest")).toArrow()
+    low = summed(short.column("gram").to_numpy(), short.column("n").to_numpy(), split - 1, 0)
+    groups = max(grams.sparkSession.sparkContext.defaultParallelism, -(-sum(short.column("longest").to_pylist()) // GROUP_GRAMS))
+    folder = shared_place(grams.sparkSession, "trie")
+
+    def build(table: pa.Table) -> pa.Table:
+        high = summed(table.column("gram").to_numpy(), table.column("trained").to_numpy(), order, split)
+        trie = Trie(order, *(np.concatenate(x) for x in zip(low, high, strict=True)), symbols, whole=True)
+        number = table.column("number")[0].as_py()
+        _store(trie.levels[split:], folder, str(number))
+        return pa.table({"number": pa.array([number], pa.int64())})
+
+    own = grams.select(group_of(F.col("gram"), split, groups).cast("long").alias("number"), "gram", "trained")
+    present = {r.number for r in own.groupBy("number").applyInArrow(build, "number long").collect()}
+    return StoredTrie(Trie(order, *low, symbols, whole=True), split, folder, groups, present)
+
+
 @dataclass
 class Model:
     trie: Trie
@@ -268,7 +376,8 @@ def trie_rows(grams: DataFrame, order: int, least: float) -> DataFrame:
 def train(docs: DataFrame, held_out: Column, text: str = "text", order: int = ORDER, least_share: float = LEAST_SHARE, frequent_share: float = FREQUENT_SHARE) -> Model:
     """Count all words and contexts of the texts that are not held out; null texts count as empty.
 
-    The driver gets (order + 1) / least_share rows of the trie and 1 / frequent_share words at most.
+    All contexts count, however rare.  With a ``least_share`` above zero only those of that share do, and the whole trie of
+    (order + 1) / least_share rows at most goes through the driver.  It gets 1 / frequent_share words at most.
     """
     if not 0 < order <= 6:
         raise ValueError("a context has from 1 to 6 bytes")
@@ -277,8 +386,11 @@ def train(docs: DataFrame, held_out: Column, text: str = "text", order: int = OR
     counts = checkpointed(counts.groupBy("word", "gram").agg(F.sum("trained").alias("trained"), F.sum("total").alias("total")))
     grams = counts.where(F.col("gram").isNotNull())
     symbols = grams.agg(F.sum("trained")).first()[0] or 0
-    rows = trie_rows(grams, order, symbols * least_share).toArrow()
-    trie = Trie(order, *(rows.column(c).to_numpy() for c in ("k", "gram", "n")), symbols)
+    if least_share > 0:
+        rows = trie_rows(grams, order, symbols * least_share).toArrow()
+        trie = Trie(order, *(rows.column(c).to_numpy() for c in ("k", "gram", "n")), symbols)
+    else:
+        trie = stored_trie(grams, order, symbols)
     vocabulary = counts.where(F.col("word").isNotNull())
     size = vocabulary.agg(F.sum("trained").alias("n"), F.sum("total").alias("total"), F.count_if(F.col("trained") > 0).alias("v")).first()
     hot = F.col("total") >= (size.total or 0) * frequent_share
@@ -287,8 +399,8 @@ def train(docs: DataFrame, held_out: Column, text: str = "text", order: int = OR
     return Model(trie, table, vocabulary.where(~hot & (F.col("trained") > 0)).select("word", "trained"), size.n or 0, size.v or 0)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, n_known, base_score and score, of whole texts.
+def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (of them only ``columns``, if given: texts are stored otherwise) with n_tokens, n_known, base_score and score, of whole texts.
 
     ``n_tokens`` counts words and one end; ``n_known`` those of training texts; ``base_score`` is the word
     model's log10 probability and ``score`` that of the trie, over all bytes and the end.  A null text counts as empty: an
@@ -323,7 +435,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return run
 
     # Until they meet their counts, rare words count as not seen.
-    found = checkpointed(append_columns(without(docs, ["scored_row", "more_known", "more_base"], keep=(text,)), text, fields, compute)).withColumn("scored_row", F.monotonically_increasing_id())
+    scored = append_columns(without(docs, ["scored_row", "more_known", "more_base"], keep=(text,)), text, fields, compute)
+    if columns is not None:
+        scored = scored.select(*columns, *(f.name for f in fields))
+    found = checkpointed(scored).withColumn("scored_row", F.monotonically_increasing_id())
     more = found.select("scored_row", F.explode("rare_words").alias("r")).select("scored_row", "r.word", "r.times").join(model.rare, "word")
     gain = F.col("times") * (F.log10(F.col("trained") + ADDED) - unseen)
     more = more.groupBy("scored_row").agg(F.sum("times").alias("more_known"), F.sum(gain).alias("more_base"))

@@ -119,7 +119,7 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = ppm.train(docs, held_out("doc_id", 10, 0))
-    scored = ppm.score(docs, model)
+    scored = ppm.score(docs, model, columns=["doc_id"])
     return scored.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
